@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assurance  # noqa: F401
+from . import assurance, labels  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
