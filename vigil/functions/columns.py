@@ -79,7 +79,7 @@ def row_hash(df, columns=None, scale: int = 6) -> Column:
 def plain_number(c, scale: int = 6) -> Column:
     """Number as text without trailing zeros (0.5 -> '0.5', 1.0 -> '1')."""
     s = col(c).cast(f"decimal(38,{scale})").cast("string")
-    return F.rtrim(F.rtrim(s, "0"), ".")
+    return F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))
 
 
 def escalation_id(txn, ts) -> Column:
