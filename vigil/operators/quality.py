@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip_keep_null, recode
-from .stats import exact_median
+from .stats import exact_median, non_null_counts
 
 # Recoding rules of the categorical columns (fixed values).
 EDUCATION_RECODE = {5: 4, 6: 4, 0: 4}
@@ -152,7 +152,11 @@ def impute_zero(df: DataFrame, columns=None) -> DataFrame:
 
 def fit_median(df: DataFrame, columns=MEDIAN_FILL_COLUMNS) -> dict:
     """M3 fit: exact median per column (bounded-memory selection)."""
-    return {c: exact_median(df, c) for c in present(df, columns)}
+    cols = present(df, columns)
+    if not cols:
+        return {}
+    counts = non_null_counts(df, cols)
+    return {c: exact_median(df, c, counts[c]) for c in cols}
 
 
 def fit_mode(df: DataFrame, columns=PAY_STATUS_COLUMNS) -> dict:
@@ -201,8 +205,16 @@ def impute_mode(df: DataFrame, columns=PAY_STATUS_COLUMNS) -> DataFrame:
 
 
 def impute_missing(df: DataFrame) -> DataFrame:
-    """M2 + M3 + M4 in the reference's order."""
-    return impute_mode(impute_median(impute_zero(df)))
+    """M2 + M3 + M4 in the reference's order.
+
+    The fits scan the input several times (counts, medians, modes), so the
+    input is persisted once (memory, spilling to disk) for them.
+    """
+    from pyspark import StorageLevel
+    base = impute_zero(df).persist(StorageLevel.MEMORY_AND_DISK)
+    fills = fit_median(base)
+    modes = fit_mode(base)
+    return fill_values(fill_values(base, fills), modes, keep_type=True)
 
 
 def dedupe_keep_first(df: DataFrame, keys, order=None) -> DataFrame:

@@ -4,9 +4,9 @@ Spark's exact ``percentile``/``median`` aggregate merges a value->count map
 in one task, which is unbounded for a column with many distinct values. Here
 the k-th smallest value is found by narrowing a value bracket with
 ``percentile_approx`` (a fixed-size sketch per task) and exact counts, until
-the bracket holds few enough rows to order them directly. Each round is one
-scan; at n rows the bracket shrinks by about ``accuracy / 4`` per round, so
-10^12 rows need three rounds.
+the bracket holds few enough rows to order them directly (a TakeOrdered of
+at most ``FINISH_ROWS`` rows). Each round is one scan; the bracket shrinks by
+about ``ACCURACY / 8`` per round, so 10^12 rows need three rounds.
 """
 
 from __future__ import annotations
@@ -28,55 +28,56 @@ def _bracket(df: DataFrame, c: str, lo, hi) -> DataFrame:
     return df.where(cond).select(c)
 
 
-def kth_smallest(df: DataFrame, c: str, k: int, n: int | None = None):
-    """The k-th smallest (1-based) non-null value of column ``c``."""
-    base = df.select(c).where(F.col(c).isNotNull())
-    if n is None:
-        n = base.count()
+def kth_values(df: DataFrame, c: str, k: int, n: int, count: int = 1) -> list:
+    """Values of rank k .. k+count-1 (1-based) among the n non-null values of ``c``."""
     if not 1 <= k <= n:
         raise ValueError(f"rank {k} outside 1..{n}")
+    count = min(count, n - k + 1)
     lo = hi = None
-    below, m, r = 0, n, k
+    m, r = n, k
     while m > FINISH_ROWS:
-        sub = _bracket(base, c, lo, hi)
-        frac = (r - 0.5) / m
+        sub = _bracket(df, c, lo, hi)
         delta = 4.0 / ACCURACY
-        qs = [max(0.0, frac - delta), min(1.0, frac + delta)]
+        qs = [max(0.0, (r - 1) / m - delta), min(1.0, (r + count - 1) / m + delta)]
         new_lo, new_hi = sub.agg(F.percentile_approx(c, qs, ACCURACY)).first()[0]
         x = F.col(c)
-        lt, inside = sub.agg(F.count_if(x < F.lit(new_lo)), F.count_if((x >= F.lit(new_lo)) & (x <= F.lit(new_hi)))).first()
-        if not (lt < r <= lt + inside) or inside >= m:
-            # The sketch missed (should not happen within its error bound);
-            # fall back to the current bracket without narrowing further.
-            break
-        lo, hi, below, m, r = new_lo, new_hi, below + lt, inside, r - lt
-    sub = _bracket(base, c, lo, hi)
-    row = sub.orderBy(F.col(c).asc()).offset(r - 1).limit(1).first()
-    return row[0]
+        lt, inside = sub.agg(F.count_if(x < F.lit(new_lo)),
+                             F.count_if((x >= F.lit(new_lo)) & (x <= F.lit(new_hi)))).first()
+        if not (lt < r and r + count - 1 <= lt + inside) or inside >= m:
+            break  # the sketch missed its bound: finish on the current bracket
+        lo, hi, m, r = new_lo, new_hi, inside, r - lt
+    sub = _bracket(df, c, lo, hi)
+    return [row[0] for row in sub.orderBy(F.col(c).asc()).offset(r - 1).limit(count).collect()]
+
+
+def non_null_counts(df: DataFrame, columns) -> dict:
+    row = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    return {c: row[c] for c in columns}
 
 
-def exact_median(df: DataFrame, c: str):
+def exact_median(df: DataFrame, c: str, n: int | None = None):
     """Median as interpolated by DuckDB/pandas: mean of the two middle values."""
-    n = df.where(F.col(c).isNotNull()).count()
+    if n is None:
+        n = non_null_counts(df, [c])[c]
     if n == 0:
         return None
     if n % 2 == 1:
-        return float(kth_smallest(df, c, (n + 1) // 2, n))
-    a = kth_smallest(df, c, n // 2, n)
-    b = kth_smallest(df, c, n // 2 + 1, n)
+        return float(kth_values(df, c, (n + 1) // 2, n)[0])
+    a, b = kth_values(df, c, n // 2, n, count=2)
     return (float(a) + float(b)) / 2.0
 
 
-def exact_quantile_cont(df: DataFrame, c: str, p: float):
+def exact_quantile_cont(df: DataFrame, c: str, p: float, n: int | None = None):
     """Linear-interpolated quantile (``quantile_cont`` / ``percentile``)."""
-    n = df.where(F.col(c).isNotNull()).count()
+    if n is None:
+        n = non_null_counts(df, [c])[c]
     if n == 0:
         return None
     pos = p * (n - 1)
     lo_rank = int(pos) + 1
     frac = pos - int(pos)
-    a = float(kth_smallest(df, c, lo_rank, n))
-    if frac == 0 or lo_rank >= n:
+    vals = kth_values(df, c, lo_rank, n, count=2)
+    a = float(vals[0])
+    if frac == 0 or len(vals) == 1:
         return a
-    b = float(kth_smallest(df, c, lo_rank + 1, n))
-    return a + (b - a) * frac
+    return a + (float(vals[1]) - a) * frac
