@@ -55,17 +55,21 @@ def artifact_key(payload_keys: str):
 
 
 def _typed(events: DataFrame) -> DataFrame:
-    """Events with their artifact (label, id, type, edge) from the type map."""
-    parts = []
-    for etype, keys, label, ntype, edge in EVENT_TYPE_MAP:
-        sub = events.where(F.col("event_type") == etype)
-        if label == "Error":
-            aid = F.concat(F.lit("err-"), F.col("event_id"))
+    """Events with their artifact (label, id, type, edge) from the type map, in one pass."""
+    et = F.col("event_type")
+    label = ntype = edge = aid = None
+    for etype, keys, lab, typ, edg in EVENT_TYPE_MAP:
+        cond = et == etype
+        a = F.concat(F.lit("err-"), F.col("event_id")) if lab == "Error" else artifact_key(keys)
+        if label is None:
+            label, ntype, edge, aid = (F.when(cond, F.lit(lab)), F.when(cond, F.lit(typ)),
+                                       F.when(cond, F.lit(edg)), F.when(cond, a))
         else:
-            aid = artifact_key(keys)
-        parts.append(sub.select("event_id", "created_at", aid.alias("artifact_id"), F.lit(label).alias("artifact_label"),
-                                F.lit(ntype).alias("artifact_type"), F.lit(edge).alias("edge_type")))
-    typed = reduce(DataFrame.unionByName, parts)
+            label, ntype, edge, aid = (label.when(cond, F.lit(lab)), ntype.when(cond, F.lit(typ)),
+                                       edge.when(cond, F.lit(edg)), aid.when(cond, a))
+    typed = events.where(et.isin(*[t[0] for t in EVENT_TYPE_MAP])).select(
+        "event_id", "created_at", aid.alias("artifact_id"), label.alias("artifact_label"),
+        ntype.alias("artifact_type"), edge.alias("edge_type"))
     return typed.where(F.col("artifact_id").isNotNull())
 
 
