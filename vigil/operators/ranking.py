@@ -45,3 +45,49 @@ def rank_in_groups(df: DataFrame, groups, order, rank_col: str = "rank", partiti
     ranked = numbered.join(F.broadcast(s), cond, "inner").drop("_spid", *[f"_g{i}" for i in range(len(groups))])
     ranked = ranked.withColumn(rank_col, (F.col("_offset") + F.col("_local") - F.col("_first") + 1).cast("bigint"))
     return ranked.drop("_pid", "_local", "_first", "_offset")
+
+
+def prefix_sums(df: DataFrame, order, sum_cols, exclusive: bool = True, partitions: int | None = None) -> DataFrame:
+    """Running sums of ``sum_cols`` in ``order`` over the whole table, without a global window.
+
+    Rows are range-partitioned on the order and sorted inside each task; a
+    task computes its local running sums (pandas ``cumsum`` over Arrow
+    batches) and a table with one total per task gives each task its offset.
+    Adds ``cum_<col>`` (sum of the rows before, or up to and including with
+    ``exclusive=False``).
+    """
+    import pandas as pd  # noqa: F401
+    from pyspark import TaskContext
+    from pyspark.sql import types as T
+
+    order = [order] if isinstance(order, str) else list(order)
+    sum_cols = [sum_cols] if isinstance(sum_cols, str) else list(sum_cols)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    fields = list(df.schema.fields) + [T.StructField("_pid", T.IntegerType())] + \
+        [T.StructField(f"_loc_{c}", T.DoubleType()) for c in sum_cols]
+    excl = exclusive
+
+    def local(batches):
+        pid = TaskContext.get().partitionId()
+        carry = {c: 0.0 for c in sum_cols}
+        for pdf in batches:
+            extra = {"_pid": pid}
+            for c in sum_cols:
+                v = pdf[c].astype("float64").fillna(0.0)
+                cs = v.cumsum() + carry[c]
+                carry[c] = float(cs.iloc[-1]) if len(cs) else carry[c]
+                extra[f"_loc_{c}"] = cs - v if excl else cs
+            yield pdf.assign(**extra)
+
+    staged = ordered.mapInPandas(local, T.StructType(fields)).checkpoint(eager=True)
+    totals = staged.groupBy("_pid").agg(*[F.sum(F.col(c).cast("double")).alias(f"_tot_{c}") for c in sum_cols])
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(w), F.lit(0.0)).alias(f"_off_{c}")
+                                      for c in sum_cols])
+    # One row per task: bounded.
+    out = staged.join(F.broadcast(offsets), "_pid", "left")
+    return out.select(*df.columns, *[(F.col(f"_loc_{c}") + F.coalesce(F.col(f"_off_{c}"), F.lit(0.0))).alias(f"cum_{c}")
+                                     for c in sum_cols])

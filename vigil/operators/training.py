@@ -34,3 +34,51 @@ def curriculum_plan(spark: SparkSession, seg: DataFrame, sampled_low: DataFrame)
     epochs = spark.range(start).select((r + 1).cast("int").alias("epoch"), phase.alias("phase"),
                                        F.lit(c["nh"]).cast("bigint").alias("n_high"), low.cast("bigint").alias("n_low"))
     return epochs.withColumn("n_rows", F.col("n_high") + F.col("n_low"))
+
+
+def curriculum_datasets(seg: DataFrame, percent: int = LOW_SAMPLE_PERCENT) -> dict:
+    """The three distinct training sets of the ten epochs (U1 unions)."""
+    from .sampling import sample_exact
+    high = seg.where(F.col("segment") == "high")
+    low = seg.where(F.col("segment") == "low")
+    sample = sample_exact(low, percent)
+    return {"high_only": high, "high_plus_sample": high.unionByName(sample), "high_plus_all": high.unionByName(low)}
+
+
+def curriculum_train(spark: SparkSession, seg: DataFrame, val: DataFrame, features, label: str,
+                     percent: int = LOW_SAMPLE_PERCENT, **gbt_overrides):
+    """Fit once per distinct dataset (fixed seed, so repeated epochs would refit the
+    same model), score the validation rows, and report one metrics row per epoch.
+
+    Returns (epochs DataFrame, {phase: model}, best phase).
+    """
+    from pyspark import StorageLevel
+
+    from .model import evaluate, gbt_fit
+
+    val = val.persist(StorageLevel.MEMORY_AND_DISK)
+    models, results = {}, {}
+    for phase, data in curriculum_datasets(seg, percent).items():
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        n = data.count()
+        models[phase] = gbt_fit(data, features, label, **gbt_overrides)
+        m = evaluate(models[phase], val, label)
+        results[phase] = (n, m["accuracy"], m["f1"], m["roc_auc"])
+        data.unpersist()
+    rows, epoch = [], 0
+    for phase, count in PHASES:
+        for _ in range(count):
+            epoch += 1
+            n, acc, f1, auc = results[phase]
+            rows.append((epoch, phase, n, acc, f1, auc))
+    epochs = spark.createDataFrame(rows, "epoch int, phase string, n_rows bigint, val_acc double, val_f1 double, "
+                                         "val_roc_auc double")
+    best = max(rows, key=lambda r: (r[5] if r[5] is not None else -1.0, -r[0]))
+    return epochs, models, best[1]
+
+
+def best_epoch(epochs: DataFrame) -> DataFrame:
+    """The epoch with the highest validation AUC, the first on ties."""
+    from pyspark.sql import Window
+    w = Window.orderBy(F.col("val_roc_auc").desc_nulls_last(), F.col("epoch"))
+    return epochs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

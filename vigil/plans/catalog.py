@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assurance, audit, governance, labels, questions  # noqa: F401
+from . import assurance, audit, governance, labels, model, questions  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
