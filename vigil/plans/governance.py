@@ -212,3 +212,77 @@ def policy_regulation(spark, sf):
     reg = PO.registry(spark).select("policy", "article")
     return (r.join(F.broadcast(reg), "policy").groupBy("policy", "article", "action_on_violation")
             .agg(F.count(F.lit(1)).alias("n_failed")))
+
+
+def _decision_graph(spark, sf):
+    """FinalDecision, Violation, PolicyCheck and HumanOversight nodes with their edges."""
+    d = decided(spark, sf)
+    dec_id = F.concat(F.lit("decision-"), F.col("id").cast("string"))
+    decisions = d.select(dec_id.alias("node_id"), F.lit("FinalDecision").alias("label"),
+                         F.col("final_decision").alias("node_type"), F.col("id"))
+    viol = d.select("id", dec_id.alias("src"), F.explode("violations").alias("v")).select(
+        "id", "src", F.concat(F.lit("violation-"), F.col("id").cast("string"), F.lit("-"), F.col("v.attribute")).alias("node_id"),
+        F.lit("Violation").alias("label"), F.col("v.attribute").alias("node_type"))
+    checks = PO.policy_results(d).select(
+        "id", F.concat(F.lit("decision-"), F.col("id").cast("string")).alias("src"),
+        F.concat(F.lit("check-"), F.col("id").cast("string"), F.lit("-"), F.col("policy")).alias("node_id"),
+        F.lit("PolicyCheck").alias("label"), F.when(F.col("allow"), "allow").otherwise("deny").alias("node_type"))
+    esc = PO.escalations(d, RUN_TS).select(
+        "id", F.concat(F.lit("decision-"), F.col("id").cast("string")).alias("src"), F.col("escalation_id").alias("node_id"),
+        F.lit("HumanOversight").alias("label"), F.col("action").alias("node_type"))
+    nodes = decisions.select("node_id", "label", "node_type")
+    for part in (viol, checks, esc):
+        nodes = nodes.unionByName(part.select("node_id", "label", "node_type"))
+    edges = (viol.select("src", F.col("node_id").alias("dst"), F.lit("HAS_VIOLATION").alias("edge_type"))
+             .unionByName(checks.select("src", F.col("node_id").alias("dst"), F.lit("CHECKED_BY").alias("edge_type")))
+             .unionByName(esc.select("src", F.col("node_id").alias("dst"), F.lit("ESCALATED_TO").alias("edge_type"))))
+    return nodes, edges
+
+
+_DG_SQL = f"""dn AS (
+  SELECT 'decision-' || CAST(id AS VARCHAR) AS node_id, 'FinalDecision' AS label, final_decision AS node_type FROM dec
+  UNION ALL SELECT 'violation-' || CAST(id AS VARCHAR) || '-' || attribute, 'Violation', attribute FROM viol
+  UNION ALL SELECT 'check-' || CAST(id AS VARCHAR) || '-' || policy, 'PolicyCheck', CASE WHEN allow THEN 'allow' ELSE 'deny' END FROM res
+  UNION ALL SELECT 'ESC-' || client_transaction_id || '-' || strftime(TIMESTAMP '{RUN_TS}', '%Y%m%d%H%M%S'), 'HumanOversight',
+    'Human review required' FROM dec WHERE final_decision = 'BLOCKED'),
+de AS (
+  SELECT 'decision-' || CAST(id AS VARCHAR) AS src, 'violation-' || CAST(id AS VARCHAR) || '-' || attribute AS dst, 'HAS_VIOLATION' AS edge_type FROM viol
+  UNION ALL SELECT 'decision-' || CAST(id AS VARCHAR), 'check-' || CAST(id AS VARCHAR) || '-' || policy, 'CHECKED_BY' FROM res
+  UNION ALL SELECT 'decision-' || CAST(id AS VARCHAR), 'ESC-' || client_transaction_id || '-' || strftime(TIMESTAMP '{RUN_TS}', '%Y%m%d%H%M%S'),
+    'ESCALATED_TO' FROM dec WHERE final_decision = 'BLOCKED')"""
+
+
+@query("decision_nodes", f"WITH {GOV_SQL},\n{_DG_SQL}\nSELECT * FROM dn", SP)
+def decision_nodes(spark, sf):
+    """C22 nodes: decisions, violations, policy checks, human-oversight escalations."""
+    return _decision_graph(spark, sf)[0]
+
+
+@query("decision_edges", f"WITH {GOV_SQL},\n{_DG_SQL}\nSELECT * FROM de", SP)
+def decision_edges(spark, sf):
+    """C22 edges: decision -> violation / check / escalation."""
+    return _decision_graph(spark, sf)[1]
+
+
+@query("escalation_rate", f"WITH {GOV_SQL}\nSELECT count(*) AS predictions, count(*) FILTER (WHERE final_decision = 'BLOCKED') AS blocked, "
+       "round(avg(CASE WHEN final_decision = 'BLOCKED' THEN 1.0 ELSE 0.0 END) * 100, 6) AS escalation_pct FROM dec", SP)
+def escalation_rate(spark, sf):
+    """Share of predictions escalated to human review."""
+    d = decided(spark, sf)
+    blocked = F.col("final_decision") == "BLOCKED"
+    return d.agg(F.count(F.lit(1)).alias("predictions"), F.count_if(blocked).alias("blocked"),
+                 F.round(F.avg(blocked.cast("double")) * 100, 6).alias("escalation_pct"))
+
+
+@query("policy_reevaluation", f"""WITH {GOV_SQL},
+dec2 AS (SELECT id, CASE WHEN (NOT prohibited_allow) OR confidence < CAST(0.8 AS DOUBLE) THEN 'BLOCKED' ELSE 'APPROVED' END AS final_decision
+  FROM ev)
+SELECT a.id, a.final_decision AS decision_before, b.final_decision AS decision_after
+FROM dec a JOIN dec2 b ON a.id = b.id WHERE a.final_decision <> b.final_decision""", SP)
+def policy_reevaluation(spark, sf):
+    """Decisions re-evaluated under a stricter threshold (0.8); only changed ones."""
+    drivers = AT.pack_drivers(views.phi(spark, sf))
+    preds = predictions(spark, sf)
+    before = PO.decide(PO.evaluate(preds, drivers)).select("id", F.col("final_decision").alias("decision_before"))
+    after = PO.decide(PO.evaluate(preds, drivers, threshold=0.8)).select("id", F.col("final_decision").alias("decision_after"))
+    return before.join(after, "id").where(F.col("decision_before") != F.col("decision_after"))
