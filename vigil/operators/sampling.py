@@ -87,3 +87,56 @@ def downsample(df: DataFrame, target: str, key="id") -> DataFrame:
     n_min = min(counts.values())
     ranked = rank_in_groups(df, [target], hash_order(key), rank_col="_r")
     return ranked.where(F.col("_r") <= n_min).drop("_r")
+
+
+SMOTE_K = 5
+
+
+def _unit_fraction(key_col, salt_col):
+    """Deterministic number in [0, 1) from sha2(key-salt)."""
+    h = F.sha2(F.concat(F.col(key_col).cast("string"), F.lit("-"), F.col(salt_col).cast("string")), 256)
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(16 ** 8))
+
+
+def smote(df: DataFrame, target: str, features, key: str = "id", k: int = SMOTE_K) -> DataFrame:
+    """Oversample the minority class to parity by interpolating toward minority neighbours.
+
+    Neighbours: exact k-NN among minority rows on ``features`` (the key and
+    the target are not features). Base rows are taken round-robin in hash
+    order; neighbour choice and gap come from sha2(key, copy), so the output
+    is deterministic. Original rows keep their keys; synthetic rows get
+    max(key) + 1, + 2, ... in (base rank, copy) order. Adds ``synthetic``.
+    """
+    from .neighbors import knn
+    counts = class_counts(df, target)
+    if len(counts) < 2:
+        return df.withColumn("synthetic", F.lit(False))
+    minority = min(counts, key=lambda c: (counts[c], c))
+    n_min, n_maj = counts[minority], max(counts.values())
+    need = n_maj - n_min
+    out = df.withColumn("synthetic", F.lit(False))
+    if need == 0:
+        return out
+    minor = df.where(F.col(target) == F.lit(minority)).select(key, *features)
+    nn = knn(minor, minor, features, k, key, exclude_self=True)
+    kk = min(k, n_min - 1)
+    base = rank_in_groups(minor.withColumn("_g", F.lit(0)), ["_g"], hash_order(key), rank_col="_r").drop("_g")
+    per, extra = divmod(need, n_min)
+    copies = F.lit(per) + F.when(F.col("_r") <= extra, 1).otherwise(0)
+    reps = base.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).where(F.col("copy") >= 1)
+    reps = reps.withColumn("_nn_rank", (F.conv(F.substring(F.sha2(F.concat(F.col(key).cast("string"), F.lit("#"),
+                                                                             F.col("copy").cast("string")), 256), 1, 8),
+                                                16, 10).cast("bigint") % kk + 1).cast("int"))
+    reps = reps.withColumn("_u", _unit_fraction(key, "copy"))
+    pick = nn.select(F.col("query_id").alias(key), F.col("rank").alias("_nn_rank"), F.col("neighbor_id").alias("_nb"))
+    nbr = minor.select(F.col(key).alias("_nb"), *[F.col(c).alias(f"_n_{c}") for c in features])
+    joined = reps.join(pick, [key, "_nn_rank"]).join(nbr, "_nb")
+    synth = joined.select(key, "_r", "copy", *[
+        (F.col(c) + F.col("_u") * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in features])
+    max_id = df.agg(F.max(key)).first()[0]
+    numbered = rank_in_groups(synth.withColumn("_g", F.lit(0)), ["_g"], ["_r", "copy"], rank_col="_seq")
+    new_rows = numbered.select((F.lit(max_id) + F.col("_seq")).alias(key), *features,
+                               F.lit(minority).cast(df.schema[target].dataType).alias(target),
+                               F.lit(True).alias("synthetic"))
+    cols = [key, *features, target, "synthetic"]
+    return out.select(*cols).unionByName(new_rows.select(*cols))

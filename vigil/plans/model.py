@@ -139,3 +139,29 @@ def attribution_check(spark, sf):
     from ..operators.treeshap import additivity_check
     fr, _, models, best = _trained(spark, sf)
     return additivity_check(fr, models[best], MO.FEATURES)
+
+
+@query("smote")
+def smote(spark, sf):
+    """Train split balanced by SMOTE (exact minority k-NN, deterministic gaps, new ids after max id)."""
+    from ..operators.sampling import smote as oversample
+    fr = frame(spark, sf).where("split = 'train'")
+    return oversample(fr.drop("split"), MO.TARGET, MO.FEATURES)
+
+
+@query("nearest_counterfactual")
+def nearest_counterfactual(spark, sf):
+    """For every account predicted to default, the nearest account predicted not to, and what differs."""
+    from ..operators.neighbors import knn
+    fr, _, models, best = _trained(spark, sf)
+    scored = MO.predict(models[best], fr).select("id", "prediction", *MO.FEATURES)
+    pos = scored.where("prediction = 1")
+    neg = scored.where("prediction = 0")
+    nn = knn(pos, neg, MO.FEATURES, 1)
+    a = pos.select("id", *[F.col(c).alias(f"a_{c}") for c in MO.FEATURES])
+    b = neg.select(F.col("id").alias("neighbor_id"), *[F.col(c).alias(f"b_{c}") for c in MO.FEATURES])
+    j = nn.select(F.col("query_id").alias("id"), "neighbor_id", "distance").join(a, "id").join(b, "neighbor_id")
+    changes = F.filter(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a_{c}").alias("from_value"),
+                                          F.col(f"b_{c}").alias("to_value")) for c in MO.FEATURES]),
+                       lambda s: s["from_value"] != s["to_value"])
+    return j.select("id", "neighbor_id", "distance", changes.alias("changes"))
