@@ -323,3 +323,17 @@ def lineage_pattern(spark, sf):
     t, _, ee, _, le = _graph(spark, sf)
     return LI.lineage_pattern(ee.unionByName(le), t["audit_event"]).select(
         "event_id", "client_transaction_id", "edge_type", "target_label", "target_id", "event_type", "created_at")
+
+
+@query("event_artifacts", """SELECT l.link_id, l.event_id, e.event_type, e.client_transaction_id, l.policy_id, l.dataset_id,
+  l.evidence_id, p.kind AS evidence_kind
+FROM event_link l LEFT JOIN audit_event e ON e.event_id = l.event_id
+LEFT JOIN evidence_pointer p ON p.evidence_id = l.evidence_id""", ALL3)
+def event_artifacts(spark, sf):
+    """Every link with its event and the policy / dataset / evidence it points at."""
+    t = _tables(spark, sf)
+    ev = t["audit_event"].select("event_id", "event_type", "client_transaction_id")
+    kinds = t["evidence_pointer"].select("evidence_id", F.col("kind").alias("evidence_kind"))
+    return (t["event_link"].join(ev, "event_id", "left").join(kinds, "evidence_id", "left")
+            .select("link_id", "event_id", "event_type", "client_transaction_id", "policy_id", "dataset_id",
+                    "evidence_id", "evidence_kind"))
