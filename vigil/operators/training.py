@@ -57,14 +57,22 @@ def curriculum_train(spark: SparkSession, seg: DataFrame, val: DataFrame, featur
     from .model import evaluate, gbt_fit
 
     val = val.persist(StorageLevel.MEMORY_AND_DISK)
-    models, results = {}, {}
-    for phase, data in curriculum_datasets(seg, percent).items():
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    datasets = curriculum_datasets(seg, percent)
+
+    def fit_one(phase):
+        data = datasets[phase].persist(StorageLevel.MEMORY_AND_DISK)
         n = data.count()
-        models[phase] = gbt_fit(data, features, label, **gbt_overrides)
-        m = evaluate(models[phase], val, label)
-        results[phase] = (n, m["accuracy"], m["f1"], m["roc_auc"])
+        model = gbt_fit(data, features, label, **gbt_overrides)
+        m = evaluate(model, val, label)
         data.unpersist()
+        return phase, model, (n, m["accuracy"], m["f1"], m["roc_auc"])
+
+    # The three fits are independent: submit them as concurrent Spark jobs.
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(datasets)) as pool:
+        done = list(pool.map(fit_one, list(datasets)))
+    models = {phase: model for phase, model, _ in done}
+    results = {phase: res for phase, _, res in done}
     rows, epoch = [], 0
     for phase, count in PHASES:
         for _ in range(count):
