@@ -81,3 +81,28 @@ def exact_quantile_cont(df: DataFrame, c: str, p: float, n: int | None = None):
     if frac == 0 or len(vals) == 1:
         return a
     return a + (float(vals[1]) - a) * frac
+
+
+def grouped_quantile_cont(df: DataFrame, groups, c: str, p: float, tiebreak=None, out: str = "quantile") -> DataFrame:
+    """Exact linear-interpolated quantile of ``c`` per group, without one task per group.
+
+    Values are ranked inside their group by the range-partitioned ranking
+    (a hot group spreads over many tasks); per group only the two ranks
+    around ``p * (n - 1)`` are kept and interpolated.
+    """
+    from .ranking import rank_in_groups
+    groups = [groups] if isinstance(groups, str) else list(groups)
+    vals = df.where(F.col(c).isNotNull())
+    order = [F.col(c)] + ([F.col(t) for t in ([tiebreak] if isinstance(tiebreak, str) else tiebreak)] if tiebreak else [])
+    ranked = rank_in_groups(vals.select(*groups, c, *([tiebreak] if isinstance(tiebreak, str) else (tiebreak or []))),
+                            groups, order, rank_col="_r")
+    sizes = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    pos = F.lit(p) * (F.col("_n") - 1)
+    lo = F.floor(pos).cast("bigint") + 1
+    j = ranked.join(sizes, groups).where((F.col("_r") == lo) | (F.col("_r") == lo + 1))
+    agg = j.groupBy(*groups).agg(
+        F.max(F.when(F.col("_r") == lo, F.col(c))).alias("_a"), F.max(F.when(F.col("_r") == lo + 1, F.col(c))).alias("_b"),
+        F.first(pos - F.floor(pos)).alias("_f"))
+    val = F.when(F.col("_b").isNull() | (F.col("_f") == 0), F.col("_a")).otherwise(
+        F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
+    return agg.select(*groups, val.cast("double").alias(out))
