@@ -41,8 +41,8 @@ def append_events(events: DataFrame, path: str, time_col: str = "created_at") ->
     dated = events.withColumn("event_date", F.to_date(F.col(time_col)))
     # Clustered by (agent, phase) inside each date so lookups skip row groups by min/max (C4).
     sort_cols = [c for c in ("agent_name", "phase", time_col) if c in events.columns]
-    dated.repartition("event_date").sortWithinPartitions("event_date", *sort_cols).write.mode("append") \
-        .partitionBy("event_date").parquet(path)
+    # No repartition by date: a burst day stays spread over the writing tasks.
+    dated.sortWithinPartitions("event_date", *sort_cols).write.mode("append").partitionBy("event_date").parquet(path)
     return events.sparkSession.read.parquet(path)
 
 
