@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Curriculum schedule (fixed values): epochs per phase.
 PHASES = [("high_only", 3), ("high_plus_sample", 3), ("high_plus_all", 4)]
 LOW_SAMPLE_PERCENT = 30
+ROWS_PER_PARTITION = 200_000
 
 
 def curriculum_plan(spark: SparkSession, seg: DataFrame, sampled_low: DataFrame) -> DataFrame:
@@ -60,11 +61,16 @@ def curriculum_train(spark: SparkSession, seg: DataFrame, val: DataFrame, featur
     datasets = curriculum_datasets(seg, percent)
 
     def fit_one(phase):
-        data = datasets[phase].persist(StorageLevel.MEMORY_AND_DISK)
-        n = data.count()
+        import math
+        staged = datasets[phase].persist(StorageLevel.MEMORY_AND_DISK)
+        n = staged.count()
+        # Tree training runs a few jobs per iteration; partitions sized to the data
+        # (about ROWS_PER_PARTITION rows each) keep per-task overhead proportional.
+        parts = max(2, min(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_PARTITION)))
+        data = staged.coalesce(parts) if parts < staged.rdd.getNumPartitions() else staged
         model = gbt_fit(data, features, label, **gbt_overrides)
         m = evaluate(model, val, label)
-        data.unpersist()
+        staged.unpersist()
         return phase, model, (n, m["accuracy"], m["f1"], m["roc_auc"])
 
     # The three fits are independent: submit them as concurrent Spark jobs.

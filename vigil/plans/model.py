@@ -165,3 +165,10 @@ def nearest_counterfactual(spark, sf):
                                           F.col(f"b_{c}").alias("to_value")) for c in MO.FEATURES]),
                        lambda s: s["from_value"] != s["to_value"])
     return j.select("id", "neighbor_id", "distance", changes.alias("changes"))
+
+
+@query("account_label_audit")
+def account_label_audit(spark, sf):
+    """L1 -> L2/L4: label report of the train split from out-of-fold forest probabilities."""
+    oof = oof_probabilities(spark, sf)
+    return L.label_report(L.with_probs(oof))
