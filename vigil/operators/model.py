@@ -81,16 +81,23 @@ def oof_probabilities(df: DataFrame, folds: DataFrame, features=FEATURES, label=
     ``folds`` is (id, fold); each fit uses the other folds, scoring its own.
     Returns (id, label, p0, p1).
     """
-    tagged = df.join(folds.select("id", "fold"), "id")
-    parts = []
-    for f in range(k):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import StorageLevel
+    tagged = df.join(folds.select("id", "fold"), "id").persist(StorageLevel.MEMORY_AND_DISK)
+    p = vector_to_array("probability")
+
+    def one(f):
         model = forest_pipeline(features, label, **overrides).fit(tagged.where(F.col("fold") != f))
         scored = model.transform(tagged.where(F.col("fold") == f))
-        p = vector_to_array("probability")
-        parts.append(scored.select("id", F.col(label).alias("label"), p[0].alias("p0"), p[1].alias("p1")))
+        return scored.select("id", F.col(label).alias("label"), p[0].alias("p0"), p[1].alias("p1"))
+
+    # The k fits are independent: run them as concurrent Spark jobs.
+    with ThreadPoolExecutor(max_workers=k) as pool:
+        parts = list(pool.map(one, range(k)))
     out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
