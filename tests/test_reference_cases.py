@@ -163,3 +163,22 @@ def test_policy_registry_has_rules(spark):
     reg = PO.registry(spark).collect()
     assert {r.policy for r in reg} == {PO.OVERSIGHT, PO.PROHIBITED, PO.PROVENANCE}
     assert {r.action_on_violation for r in reg} == {"BLOCK", "ESCALATE", "DENY"}
+
+
+def test_csv_scan_with_reference_layout(spark, tmp_path):
+    """S1 + P1 + P3: the credit CSV layout (upper-case names, stray spaces) reads with a declared schema."""
+    from conftest import SF_SMALL
+    from vigil.sources import tables, views
+    acc = views.accounts(spark, SF_SMALL)
+    names = {"id": "ID", "default_payment_next_month": "default_payment_next_month"}
+    raw = acc.select(*[F.col(c).alias(names.get(c, c.upper())) for c in acc.columns])
+    path = str(tmp_path / "accounts_csv")
+    raw.withColumnRenamed("PAY_0", "PAY_0 ").coalesce(1).write.option("header", True).csv(path)
+    back = Q.trim_columns(spark.read.option("header", True).csv(path))
+    assert "PAY_0" in back.columns
+    rep = {r.column_name: r for r in Q.dtype_report(back, {"LIMIT_BAL": "double", "AGE": "bigint", "BILL_AMT1": "bigint"}).collect()}
+    assert rep["limit_bal"].actual == "string" and rep["age"].bad_values == 0 and rep["bill_amt1"].bad_values > 0
+    typed = tables.read_accounts_csv(spark, path, tables.account_schema([c.strip() for c in back.columns]))
+    assert typed.count() == acc.count()
+    with pytest.raises(FileNotFoundError):
+        tables.read_accounts_csv(spark, str(tmp_path / "missing.csv"))
