@@ -8,7 +8,6 @@ broadcast: their size is fixed by the schema, not the data.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -56,7 +56,6 @@ def prefix_sums(df: DataFrame, order, sum_cols, exclusive: bool = True, partitio
     Adds ``cum_<col>`` (sum of the rows before, or up to and including with
     ``exclusive=False``).
     """
-    import pandas as pd  # noqa: F401
     from pyspark import TaskContext
     from pyspark.sql import types as T
 

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import lineage as LI
 from ..operators import questions as QU
 from ..session import scratch_path
 from ..sources import views
