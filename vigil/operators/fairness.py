@@ -104,7 +104,7 @@ def latency_alerts(events: DataFrame) -> DataFrame:
     so a burst hour is spread over many tasks.
     """
     from .stats import grouped_quantile_cont
-    hourly = events.withColumn("hour", F.date_trunc("hour", F.col("created_at")))
+    hourly = events.withColumn("hour", F.date_trunc("hour", F.col("created_at")).cast("timestamp_ntz"))
     p95 = grouped_quantile_cont(hourly, ["hour"], "latency_ms", 0.95, tiebreak="event_id", out="p95")
     counts = hourly.groupBy("hour").agg(F.count(F.lit(1)).alias("events"))
     w = Window.orderBy("hour").rowsBetween(-TRAILING_HOURS, -1)

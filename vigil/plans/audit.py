@@ -190,7 +190,7 @@ def scored_with_latest_model(spark, sf):
 def event_timeline(spark, sf):
     """First ten events per transaction."""
     return AU.event_timeline(views.audit_event(spark, sf)).select(
-        "client_transaction_id", "event_id", "event_type", "created_at", "position")
+        "client_transaction_id", "event_id", "event_type", "created_at", F.col("position").cast("bigint").alias("position"))
 
 
 @query("agent_activity", "SELECT client_transaction_id, agent_name, count(*) AS event_count FROM audit_event "
