@@ -53,10 +53,21 @@ def rows_of_duck(con, sql):
     return [names[i] for i in order], sorted((tuple(_norm(r[i]) for i in order) for r in data), key=repr)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT", "smallint": "SMALLINT"}
+
+
+def type_problems(spark_df, con, sql):
+    rel = con.sql(sql)
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    return [f"type of {c}: spark {t} vs duck {duck_types.get(c)}" for c, t in spark_df.dtypes
+            if SPARK_TO_DUCK.get(t, t) != duck_types.get(c)]
+
+
 def compare(spark_df, con, sql):
     sc, sr = rows_of_spark(spark_df)
     dc, dr = rows_of_duck(con, sql)
-    problems = []
+    problems = type_problems(spark_df, con, sql)
     if sc != dc:
         problems.append(f"columns differ: spark={sc} duck={dc}")
     if len(sr) != len(dr):
