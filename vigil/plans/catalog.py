@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assurance, audit, fingerprint, governance, labels, model, questions, reports, stream  # noqa: F401
+from . import assurance, audit, fingerprint, governance, jobs, labels, model, questions, reports, stream  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
