@@ -29,12 +29,15 @@ def positive_rates(df: DataFrame, group: str, pred="prediction", label=None) ->
 
 
 def disparate_impact(df: DataFrame, group: str, reference, pred="prediction") -> DataFrame:
-    """R2: positive rate of each group divided by the reference group's."""
+    """R2: positive rate of each group divided by the reference group's.
+
+    The reference rate is read with a window over the per-group rows (one row
+    per group), so no join is needed.
+    """
     rates = positive_rates(df, group, pred)
-    ref = rates.where(F.col(group) == F.lit(reference)).select(F.col("positive_rate").alias("_ref"))
-    # One row: the reference group's rate.
-    return rates.join(F.broadcast(ref), how="left").withColumn(
-        "di_ratio", F.try_divide(F.col("positive_rate"), F.col("_ref"))).drop("_ref")
+    w = Window.partitionBy(F.lit(0))
+    ref = F.max(F.when(F.col(group) == F.lit(reference), F.col("positive_rate"))).over(w)
+    return rates.withColumn("di_ratio", F.try_divide(F.col("positive_rate"), ref))
 
 
 def equalized_odds(df: DataFrame, group: str, label: str, pred="prediction") -> DataFrame:
