@@ -164,6 +164,16 @@ def scoring_job(spark: SparkSession, sf: str, out: str, model, txn: str = "TXN-S
         sinks.write_table(decided.select("id", "final_decision", "confidence_status", "violations"),
                           os.path.join(out, "decisions"))
         sinks.write_table(PO.escalations(decided, run_ts), os.path.join(out, "escalations"))  # G7
+        # One HUMAN_ESCALATION audit event per escalation, appended as a distributed projection.
+        esc = spark.read.parquet(os.path.join(out, "escalations"))
+        esc_events = esc.select(
+            F.substring(F.sha2(F.concat_ws("|", F.lit(txn), F.col("escalation_id")), 256), 1, 32).alias("event_id"),
+            F.col("escalated_at").alias("created_at"), F.lit(trace).alias("trace_id"),
+            F.col("client_transaction_id"), F.lit("Critic_Agent").alias("agent_name"),
+            F.lit("Phase3_Governance").alias("phase"), F.lit("HUMAN_ESCALATION").alias("event_type"),
+            F.lit("Prediction requires human review due to policy violations or low confidence").alias("summary"),
+            F.to_json(F.struct("escalation_id", "violation_count", "confidence", "action")).alias("extra_payload"))
+        sinks.append_events(esc_events, os.path.join(trail.root, "audit_event"))
         gov_ev = trail.artifact("evidence_pointer", {"kind": "GOVERNANCE_DECISION", "dvc_path": os.path.join(out, "decisions")},
                                 "evidence_id")
         e3 = trail.event("Phase3_Governance", "POLICY_EVALUATION_COMPLETED", "Policies evaluated",
@@ -206,6 +216,9 @@ def run_lineage(spark, sf):
     arts = spark.read.parquet(os.path.join(root, "artifacts"))
     evidence = arts.where(F.col("table_name") == "evidence_pointer").select("evidence_id", "kind", F.lit(None).cast(
         "timestamp_ntz").alias("created_at"))
-    nodes = LI.artifact_nodes(evidence, links)
+    policies = arts.where(F.col("table_name") == "policy_document").select(
+        F.col("policy_id").alias("node_id"), F.lit("Policy").alias("label"), F.lit("PolicyDocument").alias("node_type"),
+        F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    nodes = LI.artifact_nodes(evidence, links).unionByName(policies)
     return LI.event_edges(ev).unionByName(LI.link_edges(links, ev, nodes))
 
