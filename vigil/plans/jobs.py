@@ -163,9 +163,10 @@ def scoring_job(spark: SparkSession, sf: str, out: str, model, txn: str = "TXN-S
         decided = PO.decide(PO.evaluate(preds, AT.pack_drivers(phi)))                      # G1-G5
         sinks.write_table(decided.select("id", "final_decision", "confidence_status", "violations"),
                           os.path.join(out, "decisions"))
-        sinks.write_table(PO.escalations(decided, run_ts), os.path.join(out, "escalations"))  # G7
+        esc = PO.escalations(decided, run_ts)                                             # G7
+        sinks.write_table(esc, os.path.join(out, "escalations"))
         # One HUMAN_ESCALATION audit event per escalation, appended as a distributed projection.
-        esc = spark.read.parquet(os.path.join(out, "escalations"))
+        esc = spark.read.schema(esc.schema).parquet(os.path.join(out, "escalations"))
         esc_events = esc.select(
             F.substring(F.sha2(F.concat_ws("|", F.lit(txn), F.col("escalation_id")), 256), 1, 32).alias("event_id"),
             F.col("escalated_at").alias("created_at"), F.lit(trace).alias("trace_id"),
@@ -188,7 +189,8 @@ def scoring_job(spark: SparkSession, sf: str, out: str, model, txn: str = "TXN-S
 
 
 def _events(spark, root):
-    return spark.read.parquet(os.path.join(root, "audit_event")).select(
+    schema = EVENT_SCHEMA + ", event_date date"
+    return spark.read.schema(schema).parquet(os.path.join(root, "audit_event")).select(
         "event_id", "created_at", "client_transaction_id", "agent_name", "phase", "event_type", "summary", "extra_payload")
 
 

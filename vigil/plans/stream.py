@@ -60,7 +60,8 @@ def _stream(spark, sf):
 def audit_stream(spark, sf):
     """Streamed events (each delivered twice) after de-duplication, equal to the batch table."""
     base = _stream(spark, sf)
-    return spark.read.parquet(f"{base}/events").drop("batch")
+    schema = views.audit_event(spark, sf).schema
+    return spark.read.schema(schema).parquet(f"{base}/events").drop("batch")
 
 
 @query("stream_escalations", """SELECT 'ESC-' || client_transaction_id || '-' || strftime(created_at, '%Y%m%d%H%M%S') AS escalation_id,
@@ -71,4 +72,5 @@ FROM audit_event WHERE event_type = 'POLICY_EVALUATION_COMPLETED'
 def stream_escalations(spark, sf):
     """Escalations emitted by the stream."""
     base = _stream(spark, sf)
-    return spark.read.parquet(f"{base}/escalations").drop("batch")
+    schema = ST.escalations_from_events(views.audit_event(spark, sf)).schema
+    return spark.read.schema(schema).parquet(f"{base}/escalations").drop("batch")

@@ -24,7 +24,7 @@ def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwr
 def write_splits(df: DataFrame, path: str, split_col: str = "split") -> DataFrame:
     """S2 for splits: one table, one folder per split value."""
     write_table(df, path, partition_by=split_col)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def json_reports(df: DataFrame, key: str, path: str | None = None) -> DataFrame:
@@ -43,7 +43,8 @@ def append_events(events: DataFrame, path: str, time_col: str = "created_at") ->
     sort_cols = [c for c in ("agent_name", "phase", time_col) if c in events.columns]
     # No repartition by date: a burst day stays spread over the writing tasks.
     dated.sortWithinPartitions("event_date", *sort_cols).write.mode("append").partitionBy("event_date").parquet(path)
-    return events.sparkSession.read.parquet(path)
+    # Read back with the writer's schema: an empty append leaves no file to infer it from.
+    return events.sparkSession.read.schema(dated.schema).parquet(path)
 
 
 def natural_key_id(*cols):
@@ -62,7 +63,7 @@ def append_artifacts(frames: dict, path: str, key_cols: dict) -> DataFrame:
               for name, df in frames.items()]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     merged.write.mode("append").partitionBy("table_name").parquet(path)
-    return merged.sparkSession.read.parquet(path)
+    return merged.sparkSession.read.schema(merged.schema).parquet(path)
 
 
 def save_params(params: DataFrame, path: str) -> None:
