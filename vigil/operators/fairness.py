@@ -15,6 +15,8 @@ DRIFT_BIN_WIDTH = 5
 PSI_ALERT = 0.2
 PSI_FLOOR = 1e-6
 LATENCY_SPIKE = 1.5
+# Article vectors are compiled into the expression; their number is bounded.
+MAX_ARTICLES = 1000
 TRAILING_HOURS = 24
 
 
@@ -142,6 +144,8 @@ def nearest_article(vectors: DataFrame, articles: dict, key: str, vec: str) -> D
     ``articles`` is a small dict id -> vector (one per article), compiled into
     the expression, so no join and no pair table is formed.
     """
+    if len(articles) > MAX_ARTICLES:
+        raise ValueError(f"{len(articles)} article vectors exceed the compiled-expression bound {MAX_ARTICLES}")
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
     scored = F.array(*[F.struct(cosine(v, vals).alias("cos"), (-F.lit(aid)).alias("neg_id"))
                        for aid, vals in sorted(articles.items())])

@@ -25,6 +25,9 @@ PHYSICAL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # Post-shuffle partitions are coalesced towards this size; on a cluster set
+    # spark.sql.shuffle.partitions to about (shuffled bytes / 256 MB) and let AQE merge.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
     # Auto-broadcast stays on with Spark's 10 MB bound; explicit broadcasts in
     # this package are only used for sides with a fixed size (rule tables).
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
