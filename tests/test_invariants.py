@@ -116,3 +116,11 @@ def test_treeshap_matches_brute_force_and_adds_up(spark):
         assert np.allclose(row, ref, atol=1e-12)
     expected = sum(w * c["expected"] for c, w in zip(compiled, weights))
     assert np.allclose(phi.sum(1) + expected, margin_batch(X, compiled, weights), atol=1e-12)
+
+
+def test_smote_single_minority_row(spark):
+    df = spark.createDataFrame([(0, 1.0, 1), (1, 2.0, 0), (2, 3.0, 0), (3, 4.0, 0)], "id long, a double, y int")
+    out = smote(df, "y", ["a"])
+    counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
+    assert counts == {0: 3, 1: 3}
+    assert {r.a for r in out.where("synthetic").collect()} == {1.0}

@@ -118,8 +118,14 @@ def smote(df: DataFrame, target: str, features, key: str = "id", k: int = SMOTE_
     if need == 0:
         return out
     minor = df.where(F.col(target) == F.lit(minority)).select(key, *features)
-    nn = knn(minor, minor, features, k, key, exclude_self=True)
     kk = min(k, n_min - 1)
+    if kk == 0:
+        # A single minority row has no neighbour: its copies are the row itself.
+        nn = minor.select(F.col(key).alias("query_id"), F.col(key).alias("neighbor_id"),
+                          F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
+        kk = 1
+    else:
+        nn = knn(minor, minor, features, k, key, exclude_self=True)
     base = rank_in_groups(minor.withColumn("_g", F.lit(0)), ["_g"], hash_order(key), rank_col="_r").drop("_g")
     per, extra = divmod(need, n_min)
     copies = F.lit(per) + F.when(F.col("_r") <= extra, 1).otherwise(0)

@@ -140,7 +140,6 @@ def tree_attribution(df: DataFrame, model, features, key: str = "id", log_odds:
     expected = scale * sum(w * t["expected"] for t, w in zip(compiled, weights))
     bc = spark.sparkContext.broadcast((compiled, weights))
     feats = list(features)
-    key_type = dict(df.dtypes)[key]
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("feature", T.StringType()),
                            T.StructField("phi", T.DoubleType())])
 
@@ -154,7 +153,6 @@ def tree_attribution(df: DataFrame, model, features, key: str = "id", log_odds:
                                 "feature": np.tile(np.array(feats, dtype=object), len(pdf)),
                                 "phi": phi.reshape(-1)})
 
-    _ = key_type
     return df.select(key, *feats).mapInPandas(run, schema), expected
 
 
