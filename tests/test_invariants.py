@@ -124,3 +124,15 @@ def test_smote_single_minority_row(spark):
     counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts == {0: 3, 1: 3}
     assert {r.a for r in out.where("synthetic").collect()} == {1.0}
+
+
+def test_hash_chain_detects_tampering(spark):
+    from vigil.operators.chain import build_chain, verify_chain
+    ev = views.audit_event(spark, SF_SMALL)
+    heads = build_chain(ev)[1].persist()
+    assert verify_chain(heads, ev).where("NOT valid").count() == 0
+    victim = ev.orderBy("event_id").first()
+    tampered = ev.withColumn("extra_payload", F.when(F.col("event_id") == victim.event_id, F.lit('{"k": -1}'))
+                             .otherwise(F.col("extra_payload")))
+    bad = [r.client_transaction_id for r in verify_chain(heads, tampered).where("NOT valid").collect()]
+    assert bad == [victim.client_transaction_id]
