@@ -90,9 +90,10 @@ def answer_why(events, edges, decisions) -> DataFrame:
     """C11: first event of the transaction, its EVALUATED governance node and that decision."""
     first = _first(_events_of(events, edges), 1, ["created_at", "event_id"])
     gov = edges.where(F.col("edge_type") == "EVALUATED").select(F.col("src").alias("event_id"), F.col("dst").alias("gov_id"))
-    d = decisions.select(F.col("id").cast("string").alias("gov_id"), "final_decision", "confidence_status")
+    d = decisions.select(F.col("id").cast("string").alias("gov_id"), "final_decision", "confidence_status",
+                         F.size("violations").alias("violation_count"))
     return first.join(gov, "event_id", "left").join(d, "gov_id", "left").select(
-        "client_transaction_id", "event_type", "final_decision", "confidence_status")
+        "client_transaction_id", "event_type", "final_decision", "confidence_status", "violation_count")
 
 
 def answer_target(events, edges, etype, edge_type, n=1) -> DataFrame:

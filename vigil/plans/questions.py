@@ -53,10 +53,11 @@ questions AS (
   CROSS JOIN (VALUES {_TEMPLATES}) AS q(n, t)),
 routed AS (SELECT *, {_route_sql()} AS intent FROM questions),
 limits AS (SELECT * FROM (VALUES {_LIMITS}) AS l(intent, row_limit)),
-why AS (SELECT f.client_transaction_id, f.event_type, d.final_decision, d.confidence_status FROM (
+why AS (SELECT f.client_transaction_id, f.event_type, d.final_decision, d.confidence_status, d.violation_count FROM (
     SELECT *, row_number() OVER (PARTITION BY client_transaction_id ORDER BY created_at, event_id) AS pos FROM evs) f
   LEFT JOIN (SELECT src AS event_id, dst AS gov_id FROM edges WHERE edge_type = 'EVALUATED') g ON f.event_id = g.event_id
-  LEFT JOIN (SELECT CAST(id AS VARCHAR) AS gov_id, final_decision, confidence_status FROM dec) d ON g.gov_id = d.gov_id
+  LEFT JOIN (SELECT CAST(id AS VARCHAR) AS gov_id, final_decision, confidence_status, violation_count FROM dec) d
+    ON g.gov_id = d.gov_id
   WHERE f.pos = 1),
 {_target_sql("dh", "CREATED", "DATA_HASH_SAVED")},
 {_target_sql("evd", "HAS_EVIDENCE", None, 5)},
@@ -142,14 +143,20 @@ def answer_evidence(spark, sf):
         F.col("target_label").alias("evidence_type"), F.col("position").cast("int").alias("position"))
 
 
-@query("answer_prediction", f"WITH {Q_SQL}\nSELECT client_transaction_id, target_id AS prediction_id, "
-       "'PredictionResult' AS prediction_type FROM pr", VIEWS)
+@query("answer_prediction", f"""WITH {Q_SQL}
+SELECT p.client_transaction_id, p.target_id AS prediction_id, 'PredictionResult' AS prediction_type,
+  CAST(s.p1 >= 0.5 AS INTEGER) AS prediction_label, s.p1 AS probability, s.model_version
+FROM pr p LEFT JOIN scores s ON CAST(s.id AS VARCHAR) = p.target_id""", VIEWS)
 def answer_prediction(spark, sf):
-    """C14: prediction node of the transaction's PREDICTION_EXECUTED event."""
+    """C14: prediction node of the transaction's PREDICTION_EXECUTED event, with its label, probability and model."""
     t, edges = _parts(spark, sf)
     a = QU.answer_target(t["audit_event"], edges, "PREDICTION_EXECUTED", "PREDICTED")
-    return a.select("client_transaction_id", F.col("target_id").alias("prediction_id"),
-                    F.lit("PredictionResult").alias("prediction_type"))
+    sc = views.scores(spark, sf).select(F.col("id").cast("string").alias("target_id"),
+                                         (F.col("p1") >= 0.5).cast("int").alias("prediction_label"),
+                                         F.col("p1").alias("probability"), "model_version")
+    return a.join(sc, "target_id", "left").select(
+        "client_transaction_id", F.col("target_id").alias("prediction_id"), F.lit("PredictionResult").alias("prediction_type"),
+        "prediction_label", "probability", "model_version")
 
 
 @query("answer_model", f"WITH {Q_SQL}\nSELECT client_transaction_id, target_id AS model_id, 'TrainedModel' AS model_type FROM md",
