@@ -3,11 +3,11 @@
 The attribution of a tree is the Shapley value of
 ``v(S) = E[tree(x) | x_S]`` where features outside S are integrated out with
 the training covers of the nodes (Lundberg et al., arXiv:1802.03888,
-Algorithm 1). A tree of depth d uses at most 2^d - 1 features, so every
-subset of its features can be enumerated; each leaf's weight under a subset
-is a product along its path of either the row's branch indicator (feature
-in S) or the cover fraction (feature not in S). This is vectorised over the
-rows of an Arrow batch with numpy inside ``mapInPandas``.
+Algorithm 1). ``v`` is a sum over leaves of ``value x prod(step)``, where a
+step is the row's branch indicator (feature in S) or the cover fraction
+(feature not in S); by linearity each leaf's game is solved over the at most
+``depth`` features on its path. This is vectorised over the rows of an Arrow
+batch with numpy inside ``mapInPandas``.
 
 The model's node table is read from the saved model (Parquet), so it is a
 small broadcast (trees x nodes), never data rows. Values are in margin
@@ -87,31 +87,39 @@ def _shapley_coefs(m: int) -> np.ndarray:
 
 
 def shap_batch(X: np.ndarray, compiled: list, weights: list, n_features: int) -> np.ndarray:
-    """Margin-space attributions (rows x features) of a weighted sum of trees."""
+    """Margin-space attributions (rows x features) of a weighted sum of trees.
+
+    Shapley values are linear in the game, and a tree's game is the sum of
+    its leaves' games; a leaf's game only involves the features on its path
+    (at most the depth), every other feature is a null player there. So each
+    leaf enumerates the subsets of its own path features only.
+    """
     n = X.shape[0]
     phi = np.zeros((n, n_features))
     for t, w in zip(compiled, weights):
-        feats = t["features"]
-        m = len(feats)
-        if m == 0:
-            continue
-        col = {f: j for j, f in enumerate(feats)}
-        subsets = np.arange(1 << m)
-        member = ((subsets[:, None] >> np.arange(m)[None, :]) & 1).astype(bool)  # (2^m, m)
-        v = np.zeros((1 << m, n))
         for value, path in t["leaves"]:
-            lw = np.ones((1 << m, n))
-            for f, thr, left, frac in path:
-                x = X[:, f]
-                ind = (x <= thr) if left else ~(x <= thr)
-                lw *= np.where(member[:, col[f]][:, None], ind[None, :].astype(float), frac)
-            v += value * lw
-        size = member.sum(axis=1)
-        coefs = _shapley_coefs(m)
-        for j, f in enumerate(feats):
-            without = subsets[~member[:, j]]
-            with_j = without | (1 << j)
-            phi[:, f] += w * (coefs[size[without]][:, None] * (v[with_j] - v[without])).sum(axis=0)
+            feats = sorted({f for f, _, _, _ in path})
+            m = len(feats)
+            if m == 0:
+                continue
+            col = {f: j for j, f in enumerate(feats)}
+            # Per step: the row's branch indicator and the cover fraction.
+            steps = [(col[f], ((X[:, f] <= thr) if left else ~(X[:, f] <= thr)).astype(float), frac)
+                     for f, thr, left, frac in path]
+            v = np.empty((1 << m, n))
+            for s_mask in range(1 << m):
+                lw = np.full(n, value)
+                for j, ind, frac in steps:
+                    lw = lw * (ind if (s_mask >> j) & 1 else frac)
+                v[s_mask] = lw
+            coefs = _shapley_coefs(m)
+            for j, f in enumerate(feats):
+                acc = np.zeros(n)
+                for s_mask in range(1 << m):
+                    if (s_mask >> j) & 1:
+                        continue
+                    acc += coefs[bin(s_mask).count("1")] * (v[s_mask | (1 << j)] - v[s_mask])
+                phi[:, f] += w * acc
     return phi
 
 
