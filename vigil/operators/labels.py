@@ -45,9 +45,14 @@ def _half_up(x: float) -> int:
 
 def label_issues(df: DataFrame, label="label", key="id", probs="probs") -> DataFrame:
     """L2: (key, is_issue) for every row."""
-    k = df.select(F.size(probs)).first()[0]
-    # (1) per-class thresholds: mean self-probability over rows of that label.
-    th = {r[0]: r[1] for r in df.groupBy(label).agg(F.avg(self_confidence(probs, label))).collect()}
+    # (1) per-class thresholds (mean self-probability over rows of that label), label
+    # counts and the number of classes in one aggregate: one row per label.
+    per_label = df.groupBy(F.col(label).cast("int").alias("_y")).agg(
+        F.avg(self_confidence(probs, label)).alias("t"), F.count(F.lit(1)).alias("n"),
+        F.max(F.size(probs)).alias("k")).collect()
+    k = max(r["k"] for r in per_label)
+    th = {r["_y"]: r["t"] for r in per_label}
+    label_n = {r["_y"]: r["n"] for r in per_label}
     thresholds = F.array(*[F.lit(float(th.get(c, 1.0)) - THRESHOLD_SLACK) for c in range(k)])
     # (2) candidate = most probable class among those at or above their threshold.
     masked = F.zip_with(F.col(probs), thresholds, lambda p, t: F.when(p >= t, p).otherwise(F.lit(-1.0)))
@@ -56,7 +61,6 @@ def label_issues(df: DataFrame, label="label", key="id", probs="probs") -> DataF
     # (3) confident joint C[y][c]; (4) rows scaled to the label counts, rounded half-up.
     joint = {(r[0], r[1]): r[2] for r in scored.where(F.col("_c").isNotNull())
              .groupBy("_y", "_c").count().collect()}
-    label_n = {r[0]: r[1] for r in scored.groupBy("_y").count().collect()}
     prune = []
     for y in range(k):
         row_sum = sum(joint.get((y, j), 0) for j in range(k))
