@@ -136,3 +136,23 @@ def test_hash_chain_detects_tampering(spark):
                              .otherwise(F.col("extra_payload")))
     bad = [r.client_transaction_id for r in verify_chain(heads, tampered).where("NOT valid").collect()]
     assert bad == [victim.client_transaction_id]
+
+
+def test_results_equal_under_repartitioning(spark):
+    from vigil.operators import labels as L
+    from vigil.operators.quality import dedupe_keep_first
+    from vigil.operators.sampling import sample_exact, stratified_folds
+    pp = L.with_probs(views.pred_probs(spark, SF_SMALL))
+    li = views.accounts(spark, SF_SMALL).select("id", "education", "limit_bal")
+
+    def runs(df):
+        return (
+            sorted(map(tuple, stratified_folds(df.select("id", "label"), "label").select("id", "fold").collect())),
+            sorted(r.id for r in sample_exact(df.select("id"), 30).collect()),
+            sorted(map(tuple, L.label_issues(df).collect())),
+        )
+
+    assert runs(pp.repartition(1)) == runs(pp.repartition(7))
+    d1 = sorted(map(tuple, dedupe_keep_first(li.repartition(1), ["education"], ["limit_bal", "id"]).collect()))
+    d7 = sorted(map(tuple, dedupe_keep_first(li.repartition(7), ["education"], ["limit_bal", "id"]).collect()))
+    assert d1 == d7
