@@ -108,7 +108,10 @@ def smote(df: DataFrame, target: str, features, key: str = "id", k: int = SMOTE_
     max(key) + 1, + 2, ... in (base rank, copy) order. Adds ``synthetic``.
     """
     from .neighbors import knn
-    counts = class_counts(df, target)
+    # Rows and largest key per class in one aggregate (one row per class).
+    per_class = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("m")).collect()
+    counts = {r[target]: r["n"] for r in per_class}
+    max_id = max(r["m"] for r in per_class) if per_class else None
     if len(counts) < 2:
         return df.withColumn("synthetic", F.lit(False))
     minority = min(counts, key=lambda c: (counts[c], c))
@@ -139,7 +142,6 @@ def smote(df: DataFrame, target: str, features, key: str = "id", k: int = SMOTE_
     joined = reps.join(pick, [key, "_nn_rank"]).join(nbr, "_nb")
     synth = joined.select(key, "_r", "copy", *[
         (F.col(c) + F.col("_u") * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in features])
-    max_id = df.agg(F.max(key)).first()[0]
     numbered = rank_in_groups(synth.withColumn("_g", F.lit(0)), ["_g"], ["_r", "copy"], rank_col="_seq")
     new_rows = numbered.select((F.lit(max_id) + F.col("_seq")).alias(key), *features,
                                F.lit(minority).cast(df.schema[target].dataType).alias(target),
