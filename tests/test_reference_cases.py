@@ -182,3 +182,12 @@ def test_csv_scan_with_reference_layout(spark, tmp_path):
     assert typed.count() == acc.count()
     with pytest.raises(FileNotFoundError):
         tables.read_accounts_csv(spark, str(tmp_path / "missing.csv"))
+
+
+def test_article_lookup_bound(spark):
+    from vigil.operators import fairness as FA
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    best = {r.vec_id: r.article for r in FA.nearest_article(vecs, {0: [1.0, 0.1], 1: [0.1, 1.0]}, "vec_id", "embedding").collect()}
+    assert best == {1: 0, 2: 1}
+    with pytest.raises(ValueError):
+        FA.nearest_article(vecs, {i: [1.0, 0.0] for i in range(FA.MAX_ARTICLES + 1)}, "vec_id", "embedding")
