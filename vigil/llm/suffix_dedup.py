@@ -171,17 +171,17 @@ def _merge_map(width: int, n_buckets: int):
 
 
 def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
-    """(d1, d2, settled): byte ranges of keyed() documents that repeats of ``width`` bytes cover."""
+    """(d1, d2, settled): byte ranges of documents (k1, k2, text, row, as from keyed()) that repeats of ``width`` bytes cover."""
     if width <= MODULUS:
         raise ValueError(f"width must be above {MODULUS}")
     n = bl.buckets(docs.sparkSession)
     gram = max(1, width // GRAM_SHARE)
-    text = docs.select("k1", "k2", "text")
-    found = bl.meet(text.mapInArrow(_anchor_map(width, n), bl.ROUTED), n, _compare(width - gram, width, n))
+    # every step takes all columns of docs, so that all read the same exchange
+    found = bl.meet(docs.mapInArrow(_anchor_map(width, n), bl.ROUTED), n, _compare(width - gram, width, n))
     for step, compare in ((_cover_map, _compare(MODULUS - 1, width, n)), (_merge_map, _equal(width, n))):
         known = bl.by_document(found)
         with_text = docs.join(known.hint("shuffle_hash"), (docs.k1 == known.d1) & (docs.k2 == known.d2)).select(
-            "k1", "k2", F.when(F.size("asked") > 0, F.col("text")).otherwise("").alias("text"), "settled", "asked")
+            "k1", "k2", F.when(F.size("asked") > 0, F.col("text")).otherwise("").alias("text"), "settled", "asked", "row")
         found = bl.meet(with_text.mapInArrow(step(width, n), bl.ROUTED), n, compare)
     return bl.by_document(found).select("d1", "d2", "settled")
 
