@@ -19,9 +19,11 @@ MAX_BYTES = 4 << 20
 #: Rows of one Arrow batch: with long documents (50 KB and more) a batch stays within some tens of MB.
 BATCH_ROWS = 1000
 
-ROUTED = "bucket int, kind int, k1 long, k2 long, blob binary"
-#: kind of a routed row: numpy columns for the bucket; spans that are settled; ranges still to be looked at.
-NAMES, SETTLED, ASKED = 9, 0, 1
+ROUTED = "bucket int, kind int, blob binary"
+#: kind of a routed row: records for the bucket of their name; for the bucket of their document, settled ranges, ranges
+#: still to be looked at, and other records of documents. A task sends at most one row of a kind to a bucket and block.
+NAMES, SETTLED, ASKED, OTHER = 9, 0, 1, 2
+RANGES = "i8 i8 u4 u4"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -130,7 +132,7 @@ def route(name: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> list[t
     bucket = ((name >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
     order, cuts = split_by([bucket])
     columns = [c[order] for c in columns]
-    return [(int(bucket[order[a]]), NAMES, 0, 0, pack([c[a:b] for c in columns])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(int(bucket[order[a]]), NAMES, pack([c[a:b] for c in columns])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def spans(k1: np.ndarray, k2: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: int, n_buckets: int) -> list[tuple]:
@@ -147,13 +149,19 @@ def spans(k1: np.ndarray, k2: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind:
     new[1:] = lo[1:] + doc[1:] * wide > reach[:-1]
     first = np.flatnonzero(new)
     ends = reach[np.append(first[1:], len(lo)) - 1] - doc[first] * wide
-    starts, doc, k1, k2 = lo[first].astype(np.uint32), doc[first], k1[first], k2[first]
-    cuts = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
-    ends = ends.astype(np.uint32)
-    return [(int(k1[a] % n_buckets), kind, int(k1[a]), int(k2[a]), pack([starts[a:b], ends[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    starts, k1, k2 = lo[first], k1[first], k2[first]
+    return to_documents([k1, k2, starts.astype(np.uint32), ends.astype(np.uint32)], kind, n_buckets)
 
 
-ROUTED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("blob", pa.binary())])
+def to_documents(columns: list[np.ndarray], kind: int, n_buckets: int) -> list[tuple]:
+    """ROUTED rows of records that begin with the document's k1 and k2, for the document's bucket."""
+    bucket = columns[0] % n_buckets
+    order, cuts = split_by([bucket])
+    columns = [c[order] for c in columns]
+    return [(int(bucket[order[a]]), kind, pack([c[a:b] for c in columns])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+ROUTED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
 
 def rows(found: list[tuple], schema: pa.Schema = ROUTED_ARROW) -> Iterator[pa.RecordBatch]:
@@ -178,18 +186,35 @@ def meet(df: DataFrame, n_buckets: int, fn: Callable[[list[bytes]], list[tuple]]
     return df.repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, ROUTED)
 
 
-def by_document(found: DataFrame) -> DataFrame:
-    """(d1, d2, settled, asked): per document the blobs of each kind. A row has a bucket's merged ranges, so lists stay short."""
-    pick = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("blob")))
-    return found.groupBy(F.col("k1").alias("d1"), F.col("k2").alias("d2")).agg(pick(SETTLED).alias("settled"), pick(ASKED).alias("asked"))
+DOCUMENTS = "d1 long, d2 long, settled binary, asked binary, other binary"
+DOCUMENTS_ARROW = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("settled", pa.binary()), ("asked", pa.binary()), ("other", pa.binary())])
+
+
+def by_document(found: DataFrame, n_buckets: int, other: str = "i8 i8 u4") -> DataFrame:
+    """One row per document that has any: its records of each kind (without the keys) in one blob. other: types of the kind OTHER."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {SETTLED: [], ASKED: [], OTHER: []}
+        for batch in batches:
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                blobs[kind].append(blob)
+        out: dict[tuple[int, int], list] = {}
+        for kind, parts in blobs.items():
+            columns = unpack_all(parts, other if kind == OTHER else RANGES)
+            order, cuts = split_by(columns[:2])
+            k1, k2, *rest = (c[order] for c in columns)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                out.setdefault((int(k1[a]), int(k2[a])), [None, None, None])[kind] = pack([c[a:b] for c in rest])
+        yield from rows([(*key, *values) for key, values in out.items()], DOCUMENTS_ARROW)
+
+    return found.repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, DOCUMENTS)
 
 
 def cover(batch: pa.RecordBatch, column: str, starts: np.ndarray, size: int, widen: int = 0) -> np.ndarray:
     """Boolean mask over a block: inside the ranges that the column lists for each document (widen: that much longer), cut at document ends."""
     edge = np.zeros(size + 1, np.int32)
-    for i, blobs in enumerate(batch.column(column).to_pylist()):
-        if blobs:
-            lo, hi = unpack_all(blobs, "u4 u4")
+    for i, blob in enumerate(batch.column(column).to_pylist()):
+        if blob:
+            lo, hi = unpack(blob, "u4 u4")
             top = starts[i + 1]
             np.add.at(edge, np.minimum(starts[i] + lo, top), 1)
             np.add.at(edge, np.minimum(starts[i] + hi + widen, top), -1)
@@ -198,5 +223,8 @@ def cover(batch: pa.RecordBatch, column: str, starts: np.ndarray, size: int, wid
 
 def passed(batch: pa.RecordBatch, n_buckets: int) -> list[tuple]:
     """The settled ranges that came with the documents, as ROUTED rows."""
-    k1, k2 = ints(batch, "k1"), ints(batch, "k2")
-    return [(int(k1[i] % n_buckets), SETTLED, int(k1[i]), int(k2[i]), b) for i, blobs in enumerate(batch.column("settled").to_pylist()) for b in blobs or ()]
+    blobs = batch.column("settled").to_pylist()
+    some = [i for i, b in enumerate(blobs) if b]
+    lo, hi = unpack_all([blobs[i] for i in some], "u4 u4")
+    doc = np.repeat(np.array(some, np.int64), [len(blobs[i]) // 8 for i in some])
+    return spans(ints(batch, "k1")[doc], ints(batch, "k2")[doc], lo, hi, SETTLED, n_buckets)

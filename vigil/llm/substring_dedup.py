@@ -177,8 +177,8 @@ def _anchor_map(window: int, gram: int, n_buckets: int):
     return run
 
 
-#: kind of the rows that name a passage for a shard: the anchors of a document with their shards.
-PASSAGES = 2
+#: Of kind OTHER: a document's anchors whose passages a shard needs.
+ASKED_FOR = "i8 i8 u8 u4 u1"
 
 
 def _compare(window: int, gram: int, n_buckets: int):
@@ -198,13 +198,13 @@ def _compare(window: int, gram: int, n_buckets: int):
         out = bl.spans(k1[~least], k2[~least], (rel - before)[~least], (rel + window)[~least], bl.SETTLED, n_buckets)
         ask = least & (((n_classes > 1) & several) | hot) & (mark != MARKER)
         name, k1, k2, rel, hot = (x[ask] for x in (name, k1, k2, rel, hot))
-        order, cuts = bl.split_by([k1, k2])
-        name, k1, k2, rel, hot = (x[order] for x in (name, k1, k2, rel, hot.astype(np.uint8)))
-        return out + [(int(k1[a] % n_buckets), PASSAGES, int(k1[a]), int(k2[a]), bl.pack([name[a:b], rel[a:b].astype(np.uint32), hot[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out + (bl.to_documents([k1, k2, name, rel.astype(np.uint32), hot.astype(np.uint8)], bl.OTHER, n_buckets) if len(name) else [])
 
     return run
 
 
+#: kind of the rows for a shard that hold a passage's words; NAMES: windows of hot anchors; SETTLED goes through.
+PASSAGE = 3
 SHARDED = "bucket int, kind int, k1 long, k2 long, id long, start long, blob binary"
 SHARDED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("blob", pa.binary())])
 
@@ -217,27 +217,26 @@ def _passage_map(window: int, gram: int, n_buckets: int):
         for batch, data, starts in bl.blocks(batches):
             key1, key2, ids = (bl.ints(batch, c, LAST) for c in ("k1", "k2", "id"))
             k1, k2, ident = key1.tolist(), key2.tolist(), ids.tolist()
-            settled, passages = batch.column("settled").to_pylist(), batch.column("passages").to_pylist()
+            passages = batch.column("other").to_pylist()
             begin, end, doc, name_a = words(data, starts)
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            raw, out, spread = data.tobytes(), [], []
+            raw, out, spread = data.tobytes(), [(x, kind, 0, 0, 0, 0, blob) for x, kind, blob in bl.passed(batch, n_buckets)], []
             for i in range(batch.num_rows):
-                out += [(k1[i] % n_buckets, bl.SETTLED, k1[i], k2[i], 0, 0, s) for s in settled[i] or ()]
                 if passages[i]:
-                    name, rel, hot = bl.unpack_all(passages[i], "u8 u4 u1")
+                    name, rel, hot = bl.unpack(passages[i], "u8 u4 u1")
                     lo = np.maximum(rel.astype(np.int64) - before, 0)
                     hi = np.minimum(rel.astype(np.int64) + window, first[i + 1] - first[i])
                     spread += [np.arange(a, b - window + 1) + first[i] for a, b in zip(lo[hot == 1], hi[hot == 1], strict=True)]
                     shard = ((name >> np.uint64(40)) % np.uint64(n_buckets)).tolist()
                     for s, h, a, b in zip(shard, hot.tolist(), lo.tolist(), hi.tolist(), strict=True):
                         if not h and b - a >= window:
-                            out.append((s, PASSAGES, k1[i], k2[i], ident[i], a, raw[begin[first[i] + a]:end[first[i] + b - 1]]))
+                            out.append((s, PASSAGE, k1[i], k2[i], ident[i], a, raw[begin[first[i] + a]:end[first[i] + b - 1]]))
             if spread and len(at := np.unique(np.concatenate(spread))):
                 a = Names(name_a).of(at, window)
                 b = Names(words(data, starts, 1)[3], 1).of(at, window)
                 of = doc[at]
                 least, part = _least_only(a, b, key1[of], key2[of], ids[of], at - first[of], window, n_buckets)
-                out += [(x, kind, p, q, 0, 0, blob) for x, kind, p, q, blob in least + part]
+                out += [(x, kind, 0, 0, 0, 0, blob) for x, kind, blob in least + part]
             yield from bl.rows(out, SHARDED_ARROW)
 
     return run
@@ -264,9 +263,9 @@ def _shard(window: int, n_buckets: int):
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
             through = kind == bl.SETTLED
             if through.any():
-                yield batch.filter(pa.array(through)).select(["bucket", "kind", "k1", "k2", "blob"])
+                yield batch.filter(pa.array(through)).select(["bucket", "kind", "blob"])
             named += batch.column("blob").filter(pa.array(kind == bl.NAMES)).to_pylist()
-            part = batch.filter(pa.array(kind == PASSAGES))
+            part = batch.filter(pa.array(kind == PASSAGE))
             for w in part.column("blob").to_pylist():
                 symbols.append(np.fromiter((ids.setdefault(x, len(ids) + 1) for x in w.split()), np.int64))
             for to, c in ((owner, "id"), (start, "start"), (key1, "k1"), (key2, "k2")):
@@ -317,24 +316,23 @@ def remove_later_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str
         new = new.add("kept_text", StringType())
     rest = [c for c in docs.columns if c not in new.names and c != text_col]
     text = bl.keyed(docs, id_col, text_col).select("k1", "k2", "id", "text", F.struct(*[f"row.`{c}`" for c in rest]).alias("row")).repartition(n, "k1", "k2")
-    plain = text.select("k1", "k2", "id", "text")
-    found = bl.meet(plain.mapInArrow(_anchor_map(window, gram, n), bl.ROUTED), n, _compare(window, gram, n))
-    pick = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("blob")))
-    known = found.groupBy(F.col("k1").alias("d1"), F.col("k2").alias("d2")).agg(pick(bl.SETTLED).alias("settled"), pick(PASSAGES).alias("passages"))
-    passages = plain.join(known.hint("shuffle_hash"), (plain.k1 == known.d1) & (plain.k2 == known.d2)).select(
-        "k1", "k2", "id", F.when(F.size("passages") > 0, F.col("text")).otherwise("").alias("text"), "settled", "passages")
+    # every step takes all columns, so that all read the same exchange
+    found = bl.meet(text.mapInArrow(_anchor_map(window, gram, n), bl.ROUTED), n, _compare(window, gram, n))
+    known = bl.by_document(found, n, ASKED_FOR)
+    passages = text.join(known.hint("shuffle_hash"), (text.k1 == known.d1) & (text.k2 == known.d2)).select(
+        "k1", "k2", "id", F.when(F.col("other").isNotNull(), F.col("text")).otherwise("").alias("text"), "settled", "other", "row")
     shards = passages.mapInArrow(_passage_map(window, gram, n), SHARDED).repartitionById(n, F.col("bucket")).mapInArrow(_shard(window, n), bl.ROUTED)
-    done = bl.by_document(shards).select("d1", "d2", "settled")
-    joined = text.join(done.hint("shuffle_hash"), (text.k1 == done.d1) & (text.k2 == done.d2), "left").select("text", "settled", "row")
+    done = bl.by_document(shards, n).select("d1", "d2", "settled")
+    joined = text.join(done.hint("shuffle_hash"), (text.k1 == done.d1) & (text.k2 == done.d2), "left").select("text", "settled", "row", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, starts in bl.blocks(batches):
             raw, n_words, n_removed, sha, kept_text = data.tobytes(), [], [], [], []
-            for i, blobs in enumerate(batch.column("settled").to_pylist()):
+            for i, blob in enumerate(batch.column("settled").to_pylist()):
                 found_words = raw[starts[i]:starts[i + 1]].split()
                 kept = found_words
-                if blobs:
-                    lo, hi = bl.unpack_all(blobs, "u4 u4")
+                if blob:
+                    lo, hi = bl.unpack(blob, "u4 u4")
                     edge = np.zeros(len(found_words) + 1, np.int32)
                     np.add.at(edge, lo, 1)
                     np.add.at(edge, np.minimum(hi, len(found_words)), -1)

@@ -179,11 +179,11 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
     # every step takes all columns of docs, so that all read the same exchange
     found = bl.meet(docs.mapInArrow(_anchor_map(width, n), bl.ROUTED), n, _compare(width - gram, width, n))
     for step, compare in ((_cover_map, _compare(MODULUS - 1, width, n)), (_merge_map, _equal(width, n))):
-        known = bl.by_document(found)
+        known = bl.by_document(found, n)
         with_text = docs.join(known.hint("shuffle_hash"), (docs.k1 == known.d1) & (docs.k2 == known.d2)).select(
-            "k1", "k2", F.when(F.size("asked") > 0, F.col("text")).otherwise("").alias("text"), "settled", "asked", "row")
+            "k1", "k2", F.when(F.col("asked").isNotNull(), F.col("text")).otherwise("").alias("text"), "settled", "asked", "row")
         found = bl.meet(with_text.mapInArrow(step(width, n), bl.ROUTED), n, compare)
-    return bl.by_document(found).select("d1", "d2", "settled")
+    return bl.by_document(found, n).select("d1", "d2", "settled")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, keep_text: bool = True) -> DataFrame:
