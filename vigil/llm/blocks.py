@@ -116,7 +116,7 @@ def split_by(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: A name with more classes than this in one block is hot: its records are dealt out by what they hold besides the name.
-HOT = 32
+HOT = 8
 
 
 def salted(name: np.ndarray, around: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,6 @@ SPACE = "▁".encode()
 FOLDS, HELD_OUT = 7, 2
 #: Words above this length go through the recursion one by one.
 LONG = 48
-BLOCK_BYTES = 8 << 20
 
 
 @lru_cache(2)
@@ -48,34 +48,36 @@ def pieces(path: str) -> tuple[tuple[bytes, ...], np.ndarray]:
     return tuple(found), np.log(weight / weight.sum())
 
 
+SLOTS = 1 << 22
+
+
+def _table(parts) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, bytes): the byte strings as rows, filled up with zeros."""
+    lengths = np.array([len(p) for p in parts], np.int64)
+    width = int(lengths.max(initial=1))
+    return lengths, np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(-1, width)
+
+
 class Lattice:
     """All segmentations of words into pieces with log probabilities."""
 
     def __init__(self, names: tuple[bytes, ...], logp: np.ndarray):
         self.by_piece = {p: i for i, p in enumerate(names)}
         self.logp, self.longest = logp, max(map(len, names))
-        key = self._keys(names)
-        self.order = np.argsort(key)
-        self.key = key[self.order]
-
-    @staticmethod
-    def _keys(parts) -> np.ndarray:
-        out = np.zeros(len(parts), np.uint64)
-        lengths = np.array([len(p) for p in parts])
-        table = np.zeros((len(parts), int(lengths.max(initial=1))), np.uint8)
-        for i, p in enumerate(parts):
-            table[i, :len(p)] = np.frombuffer(p, np.uint8)
+        # keys of the pieces, and one flag per slot for the keys of all their beginnings: a substring that begins no piece ends its row
+        key = np.zeros(len(names), np.uint64)
+        self.begins = np.zeros(SLOTS, bool)
+        lengths, table = _table(names)
         for c in range(table.shape[1]):
             live = lengths > c
-            out[live] = mix(out[live] * np.uint64(257) + table[live, c] + np.uint64(1))
-        return out
+            key[live] = mix(key[live] * np.uint64(257) + table[live, c] + np.uint64(1))
+            self.begins[(key[live] % np.uint64(SLOTS)).astype(np.int64)] = True
+        self.order = np.argsort(key)
+        self.key = key[self.order]
 
     def _arcs(self, parts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, word numbers, piece numbers) of all arcs, by start and then end; words of up to LONG bytes."""
-        lengths = np.array([len(p) for p in parts])
-        table = np.zeros((len(parts), int(lengths.max(initial=1))), np.uint8)
-        for i, p in enumerate(parts):
-            table[i, :len(p)] = np.frombuffer(p, np.uint8)
+        lengths, table = _table(parts)
         for a in range(table.shape[1]):
             rows = np.flatnonzero(lengths > a)
             key = np.zeros(len(rows), np.uint64)
@@ -85,6 +87,8 @@ class Lattice:
                 if not len(rows):
                     break
                 key = mix(key * np.uint64(257) + table[rows, b - 1] + np.uint64(1))
+                live = self.begins[(key % np.uint64(SLOTS)).astype(np.int64)]
+                rows, key = rows[live], key[live]
                 at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
                 hit = self.key[at] == key
                 if hit.any():
@@ -145,79 +149,74 @@ class Lattice:
         return out
 
 
-def _words(batch, data, starts):
-    """Distinct words of a block: word numbers of each occurrence, its document, names and bytes of the distinct ones."""
-    low = LOWER[data]
-    begin, end, doc, name_a = words(low, starts)
-    name_b = words(low, starts, 1)[3]
+BLOCK = "bucket int, kind int, block binary, counts binary, words binary, ids binary"
+BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary()), ("counts", pa.binary()), ("words", pa.binary()), ("ids", pa.binary())])
+DISTINCT, HELD = 0, 1
+
+
+def _distinct(raw: bytes, data: np.ndarray, starts: np.ndarray):
+    """Occurrences of words: (document, word number, names and bytes of the distinct words)."""
+    begin, end, doc, name_a = words(data, starts)
+    name_b = words(data, starts, 1)[3]
     order, cuts = bl.split_by([name_a, name_b])
     number = np.zeros(len(order), np.int64)
     number[order] = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
     first = order[cuts[:-1]]
-    raw = low.tobytes()
-    text = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-    return number, doc, name_a[first], name_b[first], text
-
-
-BLOCK = "bucket int, kind int, block binary, names binary, counts binary, words binary"
-BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary()), ("names", pa.binary()), ("counts", pa.binary()), ("words", pa.binary())])
-DISTINCT, HELD = 0, 1
+    return doc, number, name_a[first], [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
 
 
 def _count_map(n_buckets: int, keep_documents: bool):
-    """Each block: its distinct words with training counts, by bucket; with keep_documents also its documents as word numbers."""
+    """Each block: its distinct words with training counts, by bucket; with keep_documents also its documents as word numbers.
+    Words are numbered by bucket, so that the buckets' answers, one after the other, are in the order of the numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in bl.blocks(batches, max_bytes=BLOCK_BYTES):
-            number, doc, name_a, name_b, text = _words(batch, data, starts)
+        task, serial = TaskContext.get().partitionId(), 0
+        for batch, data, starts in bl.blocks(batches):
+            low = LOWER[data]
+            doc, number, name, text = _distinct(low.tobytes(), low, starts)
+            bucket = ((name >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            renumber = np.zeros(len(order), np.int64)
+            renumber[order] = np.arange(len(order))
+            number, text = renumber[number], [text[i] for i in order]
             train = ~np.array(batch.column("held_out").to_pylist(), bool)
-            count = np.bincount(number[train[doc]], minlength=len(text))
-            # a block is known by what it holds, so that a task that runs again gives the same
-            block = mix(np.array([len(data), batch.num_rows], np.uint64) + np.bitwise_xor.reduce(mix(bl.ints(batch, "k1").astype(np.uint64) * np.uint64(3) + np.arange(batch.num_rows, dtype=np.uint64)))).tobytes()
-            bucket = ((name_a >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
-            order, cuts = bl.split_by([bucket])
-            out = []
-            # every bucket gets a row of every block, as its totals go to every block
-            at = {int(bucket[order[a]]): order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
-            for k in range(n_buckets):
-                rows = at.get(k, np.zeros(0, np.int64))
-                if len(rows) or keep_documents:
-                    out.append((k, DISTINCT, block, bl.pack([name_a[rows], name_b[rows], rows.astype(np.uint32)]), count[rows].astype(np.uint32).tobytes(), b" ".join([text[i] for i in rows])))
+            count = np.bincount(number[train[doc]], minlength=len(text)).astype(np.uint32)
+            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1)).tolist()
+            serial += 1
+            block = f"{task}-{serial}-{len(data)}".encode()  # the same when the task runs again
+            out = [(k, DISTINCT, block, count[a:b].tobytes(), b" ".join(text[a:b]), None)
+                   for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a or keep_documents]  # a bucket's totals go to every block
             if keep_documents:
-                pair = doc * max(1, len(text)) + number
-                distinct, times = np.unique(pair, return_counts=True)
+                distinct, times = np.unique(doc * max(1, len(text)) + number, return_counts=True)
                 of, word = np.divmod(distinct, max(1, len(text)))
-                per_doc = np.bincount(of, minlength=batch.num_rows)
                 ids = pa.record_batch([batch.column("row"), batch.column("held_out")], names=["row", "held_out"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, ids.schema) as writer:
                     writer.write_batch(ids)
-                out.append((int(np.frombuffer(block, np.uint64)[0] % np.uint64(n_buckets)), HELD, block, sink.getvalue().to_pybytes(), per_doc.astype(np.uint32).tobytes(), bl.pack([word.astype(np.uint32), times.astype(np.uint32)])))
+                out.append(((task + serial) % n_buckets, HELD, block, np.bincount(of, minlength=batch.num_rows).astype(np.uint32).tobytes(), bl.pack([word.astype(np.uint32), times.astype(np.uint32)]), sink.getvalue().to_pybytes()))
             yield from bl.rows(out, BLOCK_ARROW)
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch], kind_through: list) -> list[tuple]:
+def _gather(batches: Iterator[pa.RecordBatch], through: list) -> list[tuple]:
+    """(block, counts, words) of the rows of kind DISTINCT; the others go to through."""
     found = []
     for batch in batches:
         kind = batch.column("kind").to_numpy(zero_copy_only=False)
         if (kind == HELD).any():
-            kind_through.append(batch.filter(pa.array(kind == HELD)))
+            through.append(batch.filter(pa.array(kind == HELD)))
         part = batch.filter(pa.array(kind == DISTINCT))
-        found += zip(*(part.column(c).to_pylist() for c in ("block", "names", "counts", "words")), strict=True)
+        found += zip(*(part.column(c).to_pylist() for c in ("block", "counts", "words")), strict=True)
     return found
 
 
 def _totals(found: list[tuple]):
-    """The bucket's words: for each record its word, and the words' counts and bytes."""
-    a, b, rows = bl.unpack_all([f[1] for f in found], "u8 u8 u4")
-    count = np.concatenate([np.frombuffer(f[2], np.uint32) for f in found]) if found else np.zeros(0, np.uint32)
-    order, cuts = bl.split_by([a, b])
-    which = np.zeros(len(order), np.int64)
-    which[order] = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    total = np.bincount(which, count, minlength=len(cuts) - 1).astype(np.int64)
-    text = [w for f in found for w in f[3].split()]
-    return which, rows, total, [text[i] for i in order[cuts[:-1]]]
+    """The bucket's words: for each record its word, and the words' training counts and bytes."""
+    raw = b" ".join(f[2] for f in found)
+    data = np.frombuffer(raw, np.uint8)
+    _, which, _, text = _distinct(raw, data, np.array([0, len(data)]))
+    count = np.concatenate([np.frombuffer(f[1], np.uint32) for f in found])
+    return which, np.bincount(which, count, minlength=len(text)).astype(np.int64), text
 
 
 def fit(documents: DataFrame, vocabulary: str, n_buckets: int) -> np.ndarray:
@@ -228,7 +227,7 @@ def fit(documents: DataFrame, vocabulary: str, n_buckets: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _gather(batches, [])
         if found:
-            _, _, total, text = _totals(found)
+            _, total, text = _totals(found)
             uses = Lattice(names, prior).expected([SPACE + w for w in text], total)
             some = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(uses[some])], names=["piece", "uses"])
@@ -242,8 +241,8 @@ def fit(documents: DataFrame, vocabulary: str, n_buckets: int) -> np.ndarray:
     return np.log(total / total.sum())
 
 
-ANSWER = "block binary, kind int, names binary, counts binary, words binary"
-ANSWER_ARROW = pa.schema([("block", pa.binary()), ("kind", pa.int32()), ("names", pa.binary()), ("counts", pa.binary()), ("words", pa.binary())])
+ANSWER = "block binary, kind int, bucket int, counts binary, words binary, ids binary"
+ANSWER_ARROW = pa.schema([("block", pa.binary()), ("kind", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("words", pa.binary()), ("ids", pa.binary())])
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
@@ -259,63 +258,45 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     new = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = [c for c in docs.columns if c not in new and c != text_col]
     out_of = F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(folds)) == held_out, F.lit(False))
-    held = docs.select(F.struct(*[f"`{c}`" for c in rest]).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), out_of.alias("held_out"),
-                       F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).alias("k1"))
-    logp = fit(held.select("k1", "text", "held_out"), vocabulary, n_buckets)
+    held = docs.select(F.struct(*[f"`{c}`" for c in rest]).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), out_of.alias("held_out"))
+    logp = fit(held.select("text", "held_out"), vocabulary, n_buckets)
     names, _ = pieces(vocabulary)
+    train_docs = held.where("not held_out").count()
     end = float(logp[-1])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         through: list = []
+        bucket = TaskContext.get().partitionId()
         found = _gather(batches, through)
         for batch in through:
-            yield batch.select(["block", "kind", "names", "counts", "words"])
+            yield batch.select(ANSWER_ARROW.names)
         if found:
-            which, rows, total, text = _totals(found)
+            which, total, text = _totals(found)
             score = Lattice(names, logp[:-1]).score([SPACE + w for w in text])
             sums = np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()
             at, out = 0, []
-            for block, packed, _, _ in found:
-                n = len(packed) // 20
-                w = which[at:at + n]
-                out.append((block, DISTINCT, bl.pack([rows[at:at + n], total[w], score[w]]), sums, None))
-                at += n
+            for block, counts, _ in found:
+                w = which[at:at + len(counts) // 4]
+                at += len(w)
+                out.append((block, DISTINCT, bucket, sums, bl.pack([total[w], score[w]]), None))
             yield from bl.rows(out, ANSWER_ARROW)
 
-    def finish(table: pa.Table) -> pa.Table:
-        kind = np.array(table.column("kind").to_pylist())
-        packed, counts = table.column("names").to_pylist(), table.column("counts").to_pylist()
-        answers = np.flatnonzero(kind == DISTINCT)
-        rows, total, score = bl.unpack_all([packed[i] for i in answers], "u4 i8 f8")
-        by_word = np.argsort(rows)
-        total, score = total[by_word], score[by_word]
-        # blocks of equal content share their name, and their answers come once for each
-        copies = max(1, int((kind == HELD).sum()))
-        total, score = total[::copies], score[::copies]
-        sums = np.array([np.frombuffer(counts[i], np.int64) for i in answers]).reshape(-1, 2).sum(0) // copies
-        parts = []
-        for i in np.flatnonzero(kind == HELD):
-            ids = pa.ipc.open_stream(packed[i]).read_all()
-            per_doc = np.frombuffer(counts[i], np.uint32)
-            word, times = bl.unpack(table.column("words")[int(i)].as_py(), "u4 u4")
-            of = np.repeat(np.arange(len(per_doc)), per_doc)
-            times = times.astype(np.int64)
-            sum_of = lambda v: np.bincount(of, v, minlength=len(per_doc))
-            n_tokens = sum_of(times).astype(np.int64) + 1
-            parts.append((ids, n_tokens, sum_of(times * (total[word] > 0)).astype(np.int64), sum_of(times * np.log10(total[word] + 1.0)), sum_of(times * score[word])))
-        return parts, sums
-
-    train_docs = held.where("not held_out").count()
-
     def close(table: pa.Table) -> pa.Table:
-        parts, sums = finish(table)
+        parts = sorted(table.to_pylist(), key=lambda r: (-r["kind"], r["bucket"]))
+        block, answers = parts[0], parts[1:]
+        total, score = bl.unpack_all([a["words"] for a in answers], "i8 f8")
+        sums = np.array([np.frombuffer(a["counts"], np.int64) for a in answers]).sum(0)
         tokens, kinds = int(sums[0]) + train_docs, int(sums[1]) + (1 if train_docs else 0)
-        out = []
-        for ids, n_tokens, known, logs, score in parts:
-            base_score = logs + np.log10(train_docs + 1.0) - n_tokens * np.log10(tokens + 1.0 * (kinds + 1))
-            out.append(pa.table([ids.column("row"), ids.column("held_out"), pa.array(n_tokens), pa.array(known + (1 if train_docs else 0)), pa.array(np.full(len(n_tokens), tokens)),
-                                 pa.array(base_score), pa.array((score + end) / np.log(10))], names=["row", *new]))
-        return pa.concat_tables(out)
+        ids = pa.ipc.open_stream(block["ids"]).read_all()
+        per_doc = np.frombuffer(block["counts"], np.uint32)
+        word, times = bl.unpack(block["words"], "u4 u4")
+        of, times = np.repeat(np.arange(len(per_doc)), per_doc), times.astype(np.int64)
+        sum_of = lambda v: np.bincount(of, v, minlength=len(per_doc))
+        n_tokens = sum_of(times).astype(np.int64) + 1
+        known = sum_of(times * (total[word] > 0)).astype(np.int64) + (1 if train_docs else 0)
+        base_score = sum_of(times * np.log10(total[word] + 1.0)) + np.log10(train_docs + 1.0) - n_tokens * np.log10(tokens + 1.0 * (kinds + 1))
+        score = (sum_of(times * score[word]) + end) / np.log(10)
+        return pa.table([ids.column("row"), ids.column("held_out"), pa.array(n_tokens), pa.array(known), pa.array(np.full(len(n_tokens), tokens)), pa.array(base_score), pa.array(score)], names=["row", *new])
 
     kind = held.schema["row"].dataType.simpleString()
     blocks_ = held.mapInArrow(_count_map(n_buckets, True), BLOCK).repartitionById(n_buckets, F.col("bucket")).mapInArrow(answer, ANSWER)

@@ -88,7 +88,7 @@ LICENCE, GRANT = r"licen[sc]e", r"(?:licen[sc]ed|released|distributed|available|
 
 
 def make_rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, pattern, keyword), 1 being the highest: an identifier, a grant with version, a grant, a name."""
+    """(priority, label, pattern, gate), 1 being the highest: an identifier, a grant with version, a grant, a name."""
     out = []
 
     def add(label: str, name: str, keyword: str, versions: list[str]) -> None:
@@ -98,11 +98,11 @@ def make_rules() -> list[tuple[int, str, str, str]]:
             sure = label + "-" + v
             identifier = f"{label} {v}".replace("-", " ").replace(".", " ")
             out.append((1, sure, f"spdx {LICENCE} identifier {identifier}(?: only| or later)?", "spdx"))
-            out.append((2, sure, f"{GRANT}{name}(?: {LICENCE})?(?: version| v)? ?{number}", "under"))
+            out.append((2, sure, f"{GRANT}{name}(?: {LICENCE})?(?: version| v)? ?{number}", "grant"))
             out.append((3, sure, f"{name} {LICENCE}(?: version| v)? ?{number}", "licen"))
             out.append((3, sure, f"{name} (?:version |v)?{number} {LICENCE}", "licen"))
         out.append((1, label, f"spdx {LICENCE} identifier {label.replace('-', ' ')}", "spdx"))
-        out.append((4, label, f"{GRANT}{name}(?: {LICENCE})?", "under"))
+        out.append((4, label, f"{GRANT}{name}(?: {LICENCE})?", "grant"))
         out.append((5, label, f"{name} {LICENCE}", "licen"))
 
     for label, (name, _, versions) in FAMILIES.items():
@@ -118,14 +118,22 @@ def make_rules() -> list[tuple[int, str, str, str]]:
 SURE = {1: 1.0, 2: 0.95, 3: 0.85, 4: 0.75, 5: 0.6}
 
 
+#: Gates that are no plain keyword: (keywords of which a text must have one, pattern that then must occur).
+GATES = {"grant": (["licens", "licenc", "released", "distributed", "available", "published", "provided"], GRANT), "licen": (["licens", "licenc"], LICENCE)}
+
+
 @lru_cache(1)
 def _compiled():
-    rules = [(p, label, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"), keyword) for p, label, pattern, keyword in make_rules()]
+    """Rules by gate, as [(gate pattern, [(priority, label, pattern)])], and the automaton of all keywords."""
+    gates: dict[str, list] = {}
+    for p, label, pattern, gate in make_rules():
+        gates.setdefault(gate, []).append((p, label, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)")))
     automaton = ahocorasick.Automaton()
-    for k in {r[3] for r in rules}:
-        automaton.add_word(k.split()[0], k.split()[0])
+    for gate in gates:
+        for k in GATES[gate][0] if gate in GATES else [max(gate.split(), key=len)]:
+            automaton.add_word(k, k)
     automaton.make_automaton()
-    return rules, automaton
+    return [(re.compile(GATES[g][1] if g in GATES else re.escape(g)), rules) for g, rules in gates.items()], automaton
 
 
 def resolve(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
@@ -137,10 +145,9 @@ def resolve(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int,
     return sorted(kept, key=lambda d: d[1:])
 
 
-def detect(joined: str, rules) -> list[tuple[int, int, int, str]]:
+def detect(joined: str, gates) -> list[tuple[int, int, int, str]]:
     """Detections in words joined by one space, as character ranges."""
-    found = [(p, m.start(), m.end(), label) for p, label, pattern, keyword in rules if keyword in joined for m in pattern.finditer(joined)]
-    return resolve(found)
+    return resolve([(p, m.start(), m.end(), label) for gate, rules in gates if gate.search(joined) for p, label, pattern in rules for m in pattern.finditer(joined)])
 
 
 WORD = np.zeros(256, bool)
@@ -160,7 +167,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     held = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.struct(*[f"`{c}`" for c in rest]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, automaton = _compiled()
+        gates, automaton = _compiled()
         base = [(re.compile(rf"(?<!\S){p}(?!\S)"), label) for p, label in BASE.items()]
         for batch, data, starts in bl.blocks(batches):
             low = LOWER[data]
@@ -179,7 +186,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     n_base, base_labels = len(places), {label for _, label in places}
                     if places:
                         low_word, high_word = (joined.count(" ", 0, places[k][0]) for k in (0, -1))
-                    found = [{"label": label, "first_word": joined.count(" ", 0, a), "n_words": joined.count(" ", a, b) + 1, "priority": p} for p, a, b, label in detect(joined, rules)]
+                    found = [{"label": label, "first_word": joined.count(" ", 0, a), "n_words": joined.count(" ", a, b) + 1, "priority": p} for p, a, b, label in detect(joined, gates)]
                     labels = base_labels | {f["label"] for f in found}
                     score = max([SURE[f["priority"]] for f in found] + [SURE[5]] * bool(places), default=0.0)
                 for name, value in zip(names[1:], (n_base, low_word, high_word, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, found), strict=True):

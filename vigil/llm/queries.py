@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import lattice_lm, license_scan, near_dedup, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1,
+    "op2_license_scan": license_scan.op2,
+    "op3_lattice_lm": lattice_lm.op3,
+    "op4_url_filter": url_filter.op4,
     "op7_substring_dedup": substring_dedup.op7,
+    "op8_sharding": sharding.op8,
+    "op9_near_dedup": near_dedup.op9,
+    "op10_quality_rules": quality_rules.op10,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_url_filter": url_filter.OP4_SQL}
