@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice_lm, license_scan, near_dedup, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
+from . import decontaminate, lattice_lm, license_scan, near_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1,
     "op2_license_scan": license_scan.op2,
     "op3_lattice_lm": lattice_lm.op3,
     "op4_url_filter": url_filter.op4,
+    "op5_packing": packing.op5,
+    "op6_decontamination": decontaminate.op6,
     "op7_substring_dedup": substring_dedup.op7,
     "op8_sharding": sharding.op8,
     "op9_near_dedup": near_dedup.op9,
