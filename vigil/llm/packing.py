@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ CAPACITY, END = 2048, 0
 #: Tokens that one partition packs.
 PARTITION_TOKENS = 1 << 24
 #: Words whose tokens a Python worker remembers; above that it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 ROUNDS = 8
 
 
@@ -42,11 +43,11 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_CACHE: dict[str, dict[bytes, tuple[int, ...]]] = {}
+_CACHE: dict[str, dict[bytes, bytes]] = {}
 
 
-def token_ids(path: str, text: list[bytes]) -> list[tuple[int, ...]]:
-    """Token ids of words. This tokenizer drops white space and never joins across it, so a text's ids are its words' ids."""
+def token_ids(path: str, text: list[bytes]) -> list[bytes]:
+    """Token ids of words, each as 32-bit numbers. This tokenizer drops white space and never joins across it, so a text's ids are its words' ids."""
     known = _CACHE.setdefault(path, {})
     if len(known) > CACHE_WORDS:
         known.clear()
@@ -54,7 +55,7 @@ def token_ids(path: str, text: list[bytes]) -> list[tuple[int, ...]]:
     for at in range(0, len(new), 10_000):
         part = new[at:at + 10_000]
         for w, e in zip(part, _tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            known[w] = tuple(e.ids)
+            known[w] = array("I", e.ids).tobytes()
     return [known[w] for w in text]
 
 
@@ -67,8 +68,8 @@ def _tokenize(path: str, capacity: int, keep_tokens: bool):
             number[order] = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
             first, raw = order[cuts[:-1]], data.tobytes()
             ids = token_ids(path, [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
-            size = np.array([len(i) for i in ids], np.int64)
-            flat = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
+            size = np.array([len(i) for i in ids], np.int64) // 4
+            flat = np.frombuffer(b"".join(ids), np.uint32)
             offset = np.concatenate([[0], np.cumsum(size)])
             n_ids = size[number]
             at = np.concatenate([[0], np.cumsum(n_ids)])
