@@ -6,9 +6,10 @@ values agree, in some chunk, in all but at most ERRORS of its values (pigeonhole
 of each chunk is a key, and all pairs within that distance meet under some key. A pair of similarity 0.8 lies outside the
 distance with probability 8e-7 (binomial, 24 values).
 
-Within a key's group, size bounds and a second, independent 128-bit sketch rule out pairs. Not all pairs leave a group:
-first every class meets the group's leader (the class next to the group's majority sketch), these links are confirmed on the
-full sets, and only pairs whose classes are still in different components are confirmed in a second round.
+Within a key's group, size bounds and a second, independent 128-bit sketch rule out pairs. Of the pairs that remain, only a spanning
+forest leaves a group, grown from the class next to the group's majority sketch; these links are confirmed on the full sets. What
+could be linked besides lies in one cluster; a cluster of several components sends the sets of its classes to blocks, where those
+outside its largest component meet all others, and a block returns at most one link of a class to a component.
 """
 
 from __future__ import annotations
@@ -132,12 +133,14 @@ def _near(low, high, n, i, j, similarity: float, least: int) -> np.ndarray:
     return (small >= similarity * large - 1e-9) & (SKETCH - differ.astype(np.int64) >= least)
 
 
-PAIRS = "kind int, a binary, b binary, blob binary"
-PAIRS_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("blob", pa.binary())])
+PAIRS = "a binary, b binary"
+PAIRS_ARROW = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+#: Classes of a cluster that one block holds.
+BLOCK = 256
 
 
 def _join(similarity: float):
-    """A bucket: kind 0, pairs with their group's leader; kind 1, groups of which other pairs may have to be confirmed."""
+    """A bucket: of each key's group, a spanning forest of the pairs that can be similar, grown from the group's middle."""
     least = least_matches(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,59 +155,78 @@ def _join(similarity: float):
         two = cuts[:-1][size == 2]
         i, j = order[two], order[two + 1]
         ok = _near(low, high, n, i, j, similarity, least)
-        left, right, groups = [i[ok]], [j[ok]], []
+        left, right = [i[ok]], [j[ok]]
         for a, b in zip(cuts[:-1][size > 2].tolist(), cuts[1:][size > 2].tolist(), strict=True):
-            rest, several = order[a:b], False
-            members = rest
-            while len(rest) > 1:
-                # the leader: next to the bitwise majority of the sketches
-                middle = [np.packbits(np.unpackbits(v[rest].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").mean(0) > 0.5, bitorder="little").view(np.uint64)[0] for v in (low, high)]
-                leader = rest[np.lexsort((y[rest], x[rest], np.bitwise_count((low[rest] ^ middle[0]) | (high[rest] ^ middle[1]))))[0]]
-                rest = rest[rest != leader]
-                ok = _near(low, high, n, np.full(len(rest), leader), rest, similarity, least)
-                left.append(np.full(int(ok.sum()), leader))
-                right.append(rest[ok])
-                several |= int(ok.sum()) > 1 or bool(ok.any() and not ok.all())
-                rest = rest[~ok]
-            if several:
-                groups.append(members)
+            rest = order[a:b]
+            # the first root: next to the bitwise majority of the sketches
+            middle = [np.packbits(np.unpackbits(v[rest].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").mean(0) > 0.5, bitorder="little").view(np.uint64)[0] for v in (low, high)]
+            rest = rest[np.lexsort((y[rest], x[rest], np.bitwise_count((low[rest] ^ middle[0]) | (high[rest] ^ middle[1]))))]
+            queue: list[int] = []
+            while len(rest):
+                if queue:
+                    node = queue.pop()
+                else:
+                    node, rest = int(rest[0]), rest[1:]
+                ok = _near(low, high, n, node, rest, similarity, least)
+                if ok.any():
+                    reached = rest[ok]
+                    left.append(np.full(len(reached), node))
+                    right.append(reached)
+                    queue += reached.tolist()
+                    rest = rest[~ok]
         i, j = np.concatenate(left), np.concatenate(right)
         flip = (x[i] > x[j]) | ((x[i] == x[j]) & (y[i] > y[j]))
         i, j = np.where(flip, j, i), np.where(flip, i, j)
         pairs = np.unique(np.stack([x[i], y[i], x[j], y[j]], 1), axis=0).astype(">u8")  # big-endian bytes sort as the numbers do
-        node = np.stack([x, y], 1).astype(">u8")
-        out = [(0, p[:2].tobytes(), p[2:].tobytes(), None) for p in pairs]
-        for members in groups:
-            for m in members:
-                out.append((1, node[m].tobytes(), int(key[m]).to_bytes(8, "big"), bl.pack([n[m:m + 1].astype(np.uint32), low[m:m + 1], high[m:m + 1]])))
-        yield from bl.rows(out, PAIRS_ARROW)
+        yield from bl.rows([(p[:2].tobytes(), p[2:].tobytes()) for p in pairs], PAIRS_ARROW)
 
     return run
 
 
-def _open_pairs(similarity: float):
-    """Of one key's group, the pairs in different components that can be similar."""
+def _block(similarity: float, percent: int):
+    """Visitors (role 1) against the residents (role 0) of a block: confirmed links between different components, at most one of a
+    visitor to a component."""
     least = least_matches(similarity)
 
     def run(table: pa.Table) -> pa.Table:
-        comp = np.unique(np.array(table.column("comp").to_pylist(), dtype="S32"), return_inverse=True)[1]
-        nodes = table.column("a").to_pylist()
-        n, low, high = bl.unpack_all(table.column("blob").to_pylist(), "u4 u8 u8")
-        n = n.astype(np.int64)
-        order = np.argsort(n, kind="stable")
-        found = []
-        for at, i in enumerate(order[:-1] if comp.max(initial=0) else []):
-            top = np.searchsorted(n[order], n[i] / similarity + 1e-9, "right")
-            j = order[at + 1:top]
-            j = j[comp[j] != comp[i]]
-            j = j[_near(low, high, n, np.full(len(j), i), j, similarity, least)]
-            found += [(min(nodes[i], nodes[k]), max(nodes[i], nodes[k])) for k in j]
-        found = sorted(set(found))
+        role = np.array(table.column("role").to_pylist())
+        node, comp = table.column("node").to_pylist(), np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)[1]
+        n = np.array(table.column("n").to_pylist(), np.int64)
+        low, high = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, 2).T
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        home, found = np.flatnonzero(role == 0), []
+        for i in np.flatnonzero(role == 1):
+            reached: set[int] = set()
+            for j in home[(comp[home] != comp[i]) & _near(low, high, n, i, home, similarity, least)]:
+                if comp[j] not in reached:
+                    at = np.minimum(np.searchsorted(sets[j], sets[i]), len(sets[j]) - 1)
+                    common = int((sets[j][at] == sets[i]).sum())
+                    if 100 * common >= percent * (n[i] + n[j] - common):
+                        reached.add(comp[j])
+                        found.append((min(node[i], node[j]), max(node[i], node[j])))
         return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
 
     return run
 
 
+def _between(met: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, rows_: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the components of one cluster, confirmed on full sets. A cluster holds all classes that could be linked."""
+    cluster = components(met.select("a", "b")).withColumnRenamed("comp", "cluster")
+    member = _written(cluster.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+    sizes = member.groupBy("cluster", "comp").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("comp", "c").alias("largest"), F.sum("c").alias("total"), (F.sum("c") - F.max("c")).alias("outside"))
+    mixed = member.join(sizes.where("outside > 0"), "cluster")
+    mixed = _written(mixed.join(classes.select("node", "n", "sketch"), "node"), "mixed")
+    sets = _sets(docs, rows_, mixed.select("node"), size)
+    whole = mixed.join(sets, "node")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda c, salt: F.pmod(F.xxhash64("node", F.lit(salt)), parts(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    columns = ["cluster", "node", "comp", "n", "sketch", "shingles"]
+    home = whole.select(*columns, F.lit(0).alias("role"), own("total", 1).alias("block"), every("outside").alias("group"))
+    visit = whole.where("comp <> largest").select(*columns, F.lit(1).alias("role"), every("total").alias("block"), own("outside", 2).alias("group"))
+    return home.union(visit).groupBy("cluster", "block", "group").applyInArrow(_block(percent / 100, percent), "a binary, b binary").distinct()
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it is read more than once, and a lost executor doesn't recompute it."""
     path = scratch_path(df.sparkSession, f"near-{name}-{uuid.uuid4().hex}")
@@ -277,25 +299,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = bl.keyed(docs, id_col, text_col)
     described = keyed.select("k1", "k2", "id", "text").mapInArrow(_describe(size), ROW)
     rows_ = _written(described, "rows")
-    classes = rows_.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    classes = _written(rows_.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch")), "classes")
     met = classes.mapInArrow(_key_map(n_buckets), bl.ROUTED).repartitionById(n_buckets, F.col("bucket")).mapInArrow(_join(similarity), PAIRS)
-    met = _written(met, "met")
-    first = met.where("kind = 0").select("a", "b").distinct()
-    groups = met.where("kind = 1")
-    both_sides = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = _written(first, "pairs")
-    sets = _written(_sets(keyed, rows_, both_sides(first), size), "sets")
+    first = _written(met.distinct(), "pairs")
+    sets = _written(_sets(keyed, rows_, first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size), "sets")
     links = _written(_confirmed(first, sets, percent), "links")
     comp = components(links)
-    # groups with more than one component: their open pairs; a group within one component stops before its rows are gathered
-    labelled = groups.join(comp, groups.a == comp.node, "left").select("a", F.col("b").alias("key"), "blob", F.coalesce("comp", "a").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    again = labelled.join(mixed, "key").groupBy("key").applyInArrow(_open_pairs(similarity), "a binary, b binary").distinct().join(first, ["a", "b"], "left_anti")
-    again = _written(again, "pairs")
-    if not again.isEmpty():
-        more = both_sides(again).join(sets, "node", "left_anti")
-        sets = sets.union(_sets(keyed, rows_, more, size))
-        comp = components(links.union(_confirmed(again, sets, percent)))
+    more = _written(_between(first, comp, classes, keyed, rows_, size, percent), "links")
+    if not more.isEmpty():
+        comp = components(links.union(more))
     # the least id of each component; only classes with copies or links need it
     ids = rows_.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     grouped = ids.join(comp, "node", "left").select("node", "least", "copies", "comp")
