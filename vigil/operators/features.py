@@ -52,10 +52,10 @@ def class_balance(df: DataFrame, target=TARGET, by=None) -> DataFrame:
 
 
 def imbalance(df: DataFrame, target=TARGET, threshold=IMBALANCE_RATIO) -> DataFrame:
-    """A2: max class pct / min class pct, and whether it exceeds the threshold."""
-    pct = class_balance(df, target)
-    return pct.agg(F.round(F.max("pct") / F.min("pct"), 6).alias("imbalance_ratio"),
-                   F.count(F.lit(1)).alias("n_classes")).withColumn(
+    """A2: rows of the largest class / rows of the smallest, and whether it exceeds the threshold."""
+    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.round(F.max("n").cast("double") / F.min("n"), 6).alias("imbalance_ratio"),
+                      F.count(F.lit(1)).alias("n_classes")).withColumn(
         "is_imbalanced", F.col("imbalance_ratio") > F.lit(threshold))
 
 

@@ -46,6 +46,8 @@ def kth_values(df: DataFrame, c: str, k: int, n: int, count: int = 1) -> list:
         if not (lt < r and r + count - 1 <= lt + inside) or inside >= m:
             break  # the sketch missed its bound: finish on the current bracket
         lo, hi, m, r = new_lo, new_hi, inside, r - lt
+        if lo == hi:  # all that is left ties: the ranks asked for hold this value
+            return [lo] * count
     sub = _bracket(df, c, lo, hi)
     return [row[0] for row in sub.orderBy(F.col(c).asc()).offset(r - 1).limit(count).collect()]
 

@@ -193,10 +193,10 @@ def class_balance(spark, sf):
     return FE.class_balance(views.accounts(spark, sf))
 
 
-@query("imbalance_flag", """WITH p AS (SELECT round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (), 6) AS pct
+@query("imbalance_flag", """WITH p AS (SELECT CAST(count(*) AS DOUBLE) AS n
   FROM accounts GROUP BY default_payment_next_month)
-SELECT round(max(pct) / min(pct), 6) AS imbalance_ratio, count(*) AS n_classes,
-  round(max(pct) / min(pct), 6) > 1.1 AS is_imbalanced FROM p""", ACC)
+SELECT round(max(n) / min(n), 6) AS imbalance_ratio, count(*) AS n_classes,
+  round(max(n) / min(n), 6) > 1.1 AS is_imbalanced FROM p""", ACC)
 def imbalance_flag(spark, sf):
     """A2: imbalance ratio and flag (ratio > 1.1)."""
     return FE.imbalance(views.accounts(spark, sf))

@@ -243,26 +243,26 @@ def _typed_sql():
             aid = "coalesce(" + ", ".join(f"nullif(json_extract_string(extra_payload, '$.{k}'), '')" for k in ks) + ")"
         parts.append(f"SELECT event_id, created_at, {aid} AS artifact_id, '{label}' AS artifact_label, "
                      f"'{ntype}' AS artifact_type, '{edge}' AS edge_type FROM audit_event WHERE event_type = '{etype}'")
-    return "typed AS (SELECT * FROM (" + "\n  UNION ALL ".join(parts) + ") WHERE artifact_id IS NOT NULL)"
+    return "typed AS MATERIALIZED (SELECT * FROM (" + "\n  UNION ALL ".join(parts) + ") WHERE artifact_id IS NOT NULL)"
 
 
 _KIND_CASE = ("CASE kind " + " ".join(f"WHEN '{k}' THEN '{lab}'" for k, lab, _ in LI.EVIDENCE_KINDS) + " ELSE 'Evidence' END")
 _KIND_TYPE = ("CASE kind " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, _, t in LI.EVIDENCE_KINDS) + " ELSE 'Evidence' END")
 
 GRAPH_SQL = f"""{_typed_sql()},
-enodes AS (
+enodes AS MATERIALIZED (
   SELECT DISTINCT agent_name AS node_id, 'Agent' AS label, CAST(NULL AS VARCHAR) AS node_type, CAST(NULL AS TIMESTAMP) AS created_at FROM audit_event
   UNION ALL SELECT DISTINCT client_transaction_id, 'Transaction', CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP) FROM audit_event WHERE client_transaction_id IS NOT NULL
   UNION ALL SELECT event_id, 'Event', event_type, created_at FROM audit_event
   UNION ALL SELECT DISTINCT artifact_id, artifact_label, artifact_type, CAST(NULL AS TIMESTAMP) FROM typed),
-eedges AS (
+eedges AS MATERIALIZED (
   SELECT 'Agent' AS src_label, agent_name AS src, 'Event' AS dst_label, event_id AS dst, 'PERFORMED' AS edge_type, event_id FROM audit_event
   UNION ALL SELECT 'Event', event_id, 'Transaction', client_transaction_id, 'PART_OF', event_id FROM audit_event WHERE client_transaction_id IS NOT NULL
   UNION ALL SELECT 'Event', event_id, artifact_label, artifact_id, edge_type, event_id FROM typed),
-anodes AS (
+anodes AS MATERIALIZED (
   SELECT evidence_id AS node_id, {_KIND_CASE} AS label, {_KIND_TYPE} AS node_type, created_at FROM evidence_pointer
   UNION ALL SELECT DISTINCT dataset_id, 'Dataset', 'DatasetVersion', CAST(NULL AS TIMESTAMP) FROM event_link WHERE dataset_id IS NOT NULL),
-ledges AS (
+ledges AS MATERIALIZED (
   SELECT 'Event' AS src_label, l.event_id AS src, a.label AS dst_label, l.dst, l.edge_type, l.event_id FROM (
     SELECT event_id, 'USES_POLICY' AS edge_type, policy_id AS dst, 'P' AS kind FROM event_link
     UNION ALL SELECT event_id, 'USES_DATA', dataset_id, 'D' FROM event_link
