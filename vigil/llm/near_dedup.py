@@ -103,15 +103,17 @@ def _key_map(n_buckets: int):
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, CHUNKS * WIDE).astype(np.uint64)
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, 2)
             n = bl.ints(batch, "n").astype(np.uint32)
-            keys = []
-            for number, (_, pick) in enumerate(PICKS):
+            keys, routes = [], []
+            for number, (chunk, pick) in enumerate(PICKS):
+                # by the least value picked: the keys of one chunk go to few buckets, where their pairs are found once
+                routes.append(mix(sig[:, pick].min(1) * np.uint64(31) + np.uint64(chunk + 1)))
                 key = np.full(len(n), number + 1, np.uint64)
                 for column in pick:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, column])
                 keys.append(key)
             key = np.concatenate(keys)
             times = len(PICKS)
-            yield from bl.rows(bl.route(key, [key, *(np.tile(c, times) for c in (node[:, 0], node[:, 1], n, sketch[:, 0], sketch[:, 1]))], n_buckets))
+            yield from bl.rows(bl.route(np.concatenate(routes), [key, *(np.tile(c, times) for c in (node[:, 0], node[:, 1], n, sketch[:, 0], sketch[:, 1]))], n_buckets))
 
     return run
 
