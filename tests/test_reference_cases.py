@@ -189,5 +189,33 @@ def test_article_lookup_bound(spark):
     vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     best = {r.vec_id: r.article for r in FA.nearest_article(vecs, {0: [1.0, 0.1], 1: [0.1, 1.0]}, "vec_id", "embedding").collect()}
     assert best == {1: 0, 2: 1}
-    with pytest.raises(ValueError):
-        FA.nearest_article(vecs, {i: [1.0, 0.0] for i in range(FA.MAX_ARTICLES + 1)}, "vec_id", "embedding")
+    # more articles than one expression holds: the same best one, the smallest id at ties
+    many = {i: [1.0, 0.1 * (i % 7)] for i in range(2 * FA.ARTICLE_BLOCK + 1)}
+    best = {r.vec_id: r.article for r in FA.nearest_article(vecs, many, "vec_id", "embedding").collect()}
+    assert best == {1: 0, 2: 6}
+    assert FA.nearest_article(vecs, {}, "vec_id", "embedding").where("article is null").count() == 2
+
+
+def test_hash_chain_levels_and_null_transactions(spark, monkeypatch):
+    """Blocks of two: segments, the chain fold and events without a transaction, against hashlib."""
+    import hashlib
+    from vigil.operators import chain as CH
+    monkeypatch.setattr(CH, "BLOCK", 2)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = [("a" if i % 3 else None, f"e{i:02d}", "2024-01-01 00:00:00") for i in range(31)]
+    ev = spark.createDataFrame(rows, "client_transaction_id string, event_id string, t string").select(
+        "client_transaction_id", "event_id", F.col("t").cast("timestamp_ntz").alias("created_at"),
+        *[F.lit("x").alias(c) for c in ("agent_name", "phase", "event_type", "extra_payload")])
+    heads = {r.client_transaction_id: r for r in CH.build_chain(ev)[1].collect()}
+    for txn in ("a", None):
+        level = [sha(f"{e}|1704067200000000|x|x|x|x") for t, e, _ in rows if t == txn]
+        n = len(level)
+        for _ in range(2):
+            level = [sha("".join(level[i:i + 2])) for i in range(0, len(level), 2)]
+        head = sha("genesis-" + (txn or "\\N"))
+        for h in level:
+            head = sha(head + h)
+        assert heads[txn].chain_head == head and heads[txn].n_events == n and heads[txn].n_blocks == -(-n // 2)
+    stored = spark.createDataFrame([(t, r.chain_head) for t, r in heads.items()], "client_transaction_id string, chain_head string")
+    touched = ev.withColumn("extra_payload", F.when(F.col("event_id") == "e00", "y").otherwise(F.col("extra_payload")))
+    assert {r.client_transaction_id: r.valid for r in CH.verify_chain(stored, touched).collect()} == {"a": True, None: False}

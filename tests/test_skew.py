@@ -31,6 +31,20 @@ def test_rank_in_groups_hot_group(spark):
     assert spread >= 3
 
 
+def test_rank_in_groups_many_groups_without_broadcast(spark):
+    # 100,000 groups beside a hot one: the span table is joined, not broadcast, where it is over the planner's limit.
+    df = spark.range(150000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("g"), "id")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rank_in_groups(df, ["g"], ["id"])
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.where("g = -1 and rank <> id / 3 + 1").count() == 0
+        assert got.where("g <> -1 and rank <> 1").count() == 0 and got.count() == 150000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_dedupe_hot_key(spark):
     df = skewed(spark).select(F.col("g").alias("k"), "v", "id")
     first = {r.k: (r.v, r.id) for r in dedupe_keep_first(df, ["k"], ["v", "id"]).collect()}

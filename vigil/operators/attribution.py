@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import influence_bucket
 
 TOP_K = 5
+# Share of the total influence above which the sensitive group counts as significant.
+SENSITIVE_SHARE = 0.1
 
 # Feature groups of the account model (fixed values, upper-case feature names).
 FEATURE_GROUPS = {
@@ -67,8 +69,9 @@ def feature_group_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, feature_group string")
 
 
-def group_share(phi: DataFrame) -> DataFrame:
-    """Share of total |phi| per feature group ('ungrouped' for engineered features).
+def group_share(phi: DataFrame, threshold: float = SENSITIVE_SHARE) -> DataFrame:
+    """Share of total |phi| per feature group ('ungrouped' for engineered features); the sensitive group is flagged
+    where its share exceeds ``threshold``.
 
     The group table has one row per model feature, so it is broadcast.
     """
@@ -77,4 +80,5 @@ def group_share(phi: DataFrame) -> DataFrame:
         "feature_group", F.coalesce("feature_group", F.lit("ungrouped")))
     per = tagged.groupBy("feature_group").agg(F.sum(F.abs("phi")).alias("total_abs"))
     w = Window.partitionBy(F.lit(0))
-    return per.withColumn("share", F.col("total_abs") / F.sum("total_abs").over(w))
+    return per.withColumn("share", F.col("total_abs") / F.sum("total_abs").over(w)).withColumn(
+        "flagged", F.coalesce((F.col("feature_group") == "demographic_sensitive") & (F.col("share") > threshold), F.lit(False)))

@@ -3,10 +3,12 @@
 Per transaction, events are ordered by (time, event id) and numbered
 without a per-transaction task (range-partitioned ranking). Consecutive
 runs of ``BLOCK`` events form a block whose hash covers its event hashes in
-order; the chain links the block hashes of a transaction:
-``c_0 = sha2('genesis-' || txn)``, ``c_b = sha2(c_{b-1} || block_hash_b)``.
-A group never holds more than ``BLOCK`` event hashes, and the chain fold runs
-over block hashes only (1/``BLOCK`` of the events).
+order, and ``BLOCK`` blocks form a segment in the same way; the chain links
+the segment hashes of a transaction: ``c_0 = sha2('genesis-' || txn)``,
+``c_s = sha2(c_{s-1} || segment_hash_s)``. A group never holds more than
+``BLOCK`` hashes, and the chain fold runs over segment hashes only
+(1/``BLOCK``^2 of the events). Events without a transaction form a chain of
+their own.
 """
 
 from __future__ import annotations
@@ -29,24 +31,28 @@ def event_hash():
 
 def build_chain(events: DataFrame, txn: str = "client_transaction_id") -> tuple[DataFrame, DataFrame]:
     """(events with position, block and hash; per-transaction chain head)."""
-    hashed = events.where(F.col(txn).isNotNull()).select(txn, "event_id", "created_at", event_hash().alias("event_hash"))
+    hashed = events.select(txn, "event_id", "created_at", event_hash().alias("event_hash"))
     ranked = rank_in_groups(hashed, [txn], ["created_at", "event_id"], rank_col="position")
     ranked = ranked.withColumn("block", ((F.col("position") - 1) / BLOCK).cast("bigint"))
     blocks = ranked.groupBy(txn, "block").agg(
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "event_hash"))),
                                         lambda s: s["event_hash"]), ""), 256).alias("block_hash"),
         F.count(F.lit(1)).alias("n"))
-    start = F.sha2(F.concat(F.lit("genesis-"), F.col(txn)), 256)
-    heads = blocks.groupBy(txn).agg(
-        F.aggregate(F.array_sort(F.collect_list(F.struct("block", "block_hash"))), start,
-                    lambda acc, s: F.sha2(F.concat(acc, s["block_hash"]), 256)).alias("chain_head"),
-        F.sum("n").cast("bigint").alias("n_events"), F.count(F.lit(1)).alias("n_blocks"))
+    segments = blocks.groupBy(txn, F.floor(F.col("block") / BLOCK).alias("segment")).agg(
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "block_hash"))),
+                                        lambda s: s["block_hash"]), ""), 256).alias("segment_hash"),
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_blocks"))
+    start = F.sha2(F.concat(F.lit("genesis-"), F.coalesce(F.col(txn), F.lit(NULL))), 256)
+    heads = segments.groupBy(txn).agg(
+        F.aggregate(F.array_sort(F.collect_list(F.struct("segment", "segment_hash"))), start,
+                    lambda acc, s: F.sha2(F.concat(acc, s["segment_hash"]), 256)).alias("chain_head"),
+        F.sum("n").cast("bigint").alias("n_events"), F.sum("n_blocks").cast("bigint").alias("n_blocks"))
     return ranked, heads
 
 
 def verify_chain(stored_heads: DataFrame, events: DataFrame, txn: str = "client_transaction_id") -> DataFrame:
     """Recompute every chain from the events and compare with the stored heads."""
     _, fresh = build_chain(events, txn)
-    j = stored_heads.select(txn, F.col("chain_head").alias("stored")).join(
-        fresh.select(txn, F.col("chain_head").alias("recomputed"), "n_events"), txn, "full")
-    return j.select(txn, "n_events", F.coalesce(F.col("stored") == F.col("recomputed"), F.lit(False)).alias("valid"))
+    j = stored_heads.select(F.col(txn).alias("_key"), F.col("chain_head").alias("stored")).join(
+        fresh.select(txn, F.col("chain_head").alias("recomputed"), "n_events"), F.col("_key").eqNullSafe(F.col(txn)), "full")
+    return j.select(F.coalesce(F.col(txn), F.col("_key")).alias(txn), "n_events", F.coalesce(F.col("stored") == F.col("recomputed"), F.lit(False)).alias("valid"))

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 # Report constants (fixed values).
 DRIFT_BINS = 10
-DRIFT_BIN_WIDTH = 5
 PSI_ALERT = 0.2
 PSI_FLOOR = 1e-6
 LATENCY_SPIKE = 1.5
-# Article vectors are compiled into the expression; their number is bounded.
-MAX_ARTICLES = 1000
+# Article vectors compiled into one expression.
+ARTICLE_BLOCK = 100
 TRAILING_HOURS = 24
 
 
@@ -62,8 +61,11 @@ def ate_stratified(df: DataFrame, treated: str, outcome: str, strata) -> DataFra
                  F.count(F.lit(1)).alias("n_strata"), F.sum("n").cast("bigint").alias("n_rows"))
 
 
-def ate_ipw(df: DataFrame, treated: str, outcome: str, features) -> DataFrame:
-    """R4 (IPW): propensity from MLlib logistic regression, inverse-probability weighted means."""
+def ate_ipw(df: DataFrame, treated: str, outcome: str, features, clip: float = 0.01) -> DataFrame:
+    """R4 (IPW): propensity from MLlib logistic regression, inverse-probability weighted means.
+
+    Propensities outside [clip, 1 - clip] are moved to its ends (0: none are); ``n_clipped`` counts the rows concerned.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -71,11 +73,11 @@ def ate_ipw(df: DataFrame, treated: str, outcome: str, features) -> DataFrame:
     data = df.withColumn("_t", F.col(treated).cast("double"))
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"),
                             LogisticRegression(featuresCol="_x", labelCol="_t", maxIter=50)])
-    scored = pipe.fit(data).transform(data).withColumn(
-        "_e", F.least(F.greatest(vector_to_array("probability")[1], F.lit(0.01)), F.lit(0.99)))
+    scored = pipe.fit(data).transform(data).withColumn("_p", vector_to_array("probability")[1]).withColumn(
+        "_e", F.least(F.greatest("_p", F.lit(clip)), F.lit(1 - clip)))
     y = F.col(outcome).cast("double")
     return scored.agg((F.avg(F.col("_t") * y / F.col("_e")) - F.avg((1 - F.col("_t")) * y / (1 - F.col("_e")))).alias("ate"),
-                      F.count(F.lit(1)).alias("n_rows"))
+                      F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("_p") != F.col("_e")).alias("n_clipped"))
 
 
 def completeness(events: DataFrame, required) -> DataFrame:
@@ -88,10 +90,17 @@ def completeness(events: DataFrame, required) -> DataFrame:
 
 
 def psi(baseline: DataFrame, current: DataFrame, value: str) -> DataFrame:
-    """Population stability index over fixed-width bins of ``value``."""
+    """Population stability index over the baseline's decile bins of ``value`` (null values don't count).
+
+    Cuts are the exact values of rank ceil(i n / 10); equal cuts make one bin. An empty baseline has no cuts.
+    """
+    from .stats import kth_values
+    n = baseline.where(F.col(value).isNotNull()).count()
+    cuts = sorted({kth_values(baseline, value, -(-i * n // DRIFT_BINS), n)[0] for i in range(1, DRIFT_BINS)}) if n else []
+
     def dist(df, name):
-        b = F.least(F.floor((F.col(value) - 1) / DRIFT_BIN_WIDTH), F.lit(DRIFT_BINS - 1)).cast("int")
-        c = df.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias(name))
+        b = sum([(F.col(value) > F.lit(c)).cast("int") for c in cuts], F.lit(0))
+        c = df.where(F.col(value).isNotNull()).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias(name))
         return c
     base, cur = dist(baseline, "nb"), dist(current, "nc")
     j = base.join(cur, "bin", "full").fillna(0, ["nb", "nc"])
@@ -141,13 +150,19 @@ def cosine(a, b_values):
 def nearest_article(vectors: DataFrame, articles: dict, key: str, vec: str) -> DataFrame:
     """Best article per vector by cosine (ties: smallest article id).
 
-    ``articles`` is a small dict id -> vector (one per article), compiled into
-    the expression, so no join and no pair table is formed.
+    ``articles`` is a dict id -> vector (the stated article set). A block of
+    ``ARTICLE_BLOCK`` of them is compiled into one expression, so no pair table
+    is formed; with several blocks each gives a candidate per key, and the best
+    of a key (vectors have unique keys) is kept. Without articles the answer is null.
     """
-    if len(articles) > MAX_ARTICLES:
-        raise ValueError(f"{len(articles)} article vectors exceed the compiled-expression bound {MAX_ARTICLES}")
-    v = F.transform(F.col(vec), lambda x: x.cast("double"))
-    scored = F.array(*[F.struct(cosine(v, vals).alias("cos"), (-F.lit(aid)).alias("neg_id"))
-                       for aid, vals in sorted(articles.items())])
-    best = F.array_max(scored)
-    return vectors.select(key, (-best["neg_id"]).alias("article"), best["cos"].alias("cosine"))
+    if not articles:
+        return vectors.select(key, F.lit(None).cast("int").alias("article"), F.lit(None).cast("double").alias("cosine"))
+    v, ordered = F.transform(F.col(vec), lambda x: x.cast("double")), sorted(articles.items())
+    found = None
+    for at in range(0, len(ordered), ARTICLE_BLOCK):
+        scored = F.array(*[F.struct(cosine(v, vals).alias("cos"), (-F.lit(aid)).alias("neg_id")) for aid, vals in ordered[at:at + ARTICLE_BLOCK]])
+        part = vectors.select(key, F.array_max(scored).alias("best"))
+        found = part if found is None else found.unionByName(part)
+    if len(ordered) > ARTICLE_BLOCK:
+        found = found.groupBy(key).agg(F.max("best").alias("best"))
+    return found.select(key, (-F.col("best.neg_id")).alias("article"), F.col("best.cos").alias("cosine"))

@@ -38,11 +38,12 @@ def rank_in_groups(df: DataFrame, groups, order, rank_col: str = "rank", partiti
     spans = numbered.groupBy(*groups, "_pid").agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # Bounded by (number of tasks) x (groups present per task).
+    # One row per (task, group): with many groups it grows with the data, so there is no broadcast hint. The planner
+    # broadcasts it where its measured size allows, and else joins by (task, group), a key no hot group can fill.
     s = spans.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_pid").alias("_spid"),
                      "_first", "_offset")
     cond = [F.col("_pid") == F.col("_spid")] + [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
-    ranked = numbered.join(F.broadcast(s), cond, "inner").drop("_spid", *[f"_g{i}" for i in range(len(groups))])
+    ranked = numbered.join(s, cond, "inner").drop("_spid", *[f"_g{i}" for i in range(len(groups))])
     ranked = ranked.withColumn(rank_col, (F.col("_offset") + F.col("_local") - F.col("_first") + 1).cast("bigint"))
     return ranked.drop("_pid", "_local", "_first", "_offset")
 

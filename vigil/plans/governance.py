@@ -107,11 +107,12 @@ _GROUPS_SQL = ", ".join(f"('{f}', '{g}')" for g, fs in AT.FEATURE_GROUPS.items()
 @query("sensitive_share", f"""WITH g AS (SELECT * FROM (VALUES {_GROUPS_SQL}) AS t(feature, feature_group)),
 per AS (SELECT coalesce(g.feature_group, 'ungrouped') AS feature_group, sum(abs(p.phi)) AS total_abs
   FROM phi p LEFT JOIN g ON p.feature = g.feature GROUP BY 1)
-SELECT feature_group, round(total_abs, 6) AS total_abs, round(total_abs / sum(total_abs) OVER (), 6) AS share FROM per""", PH)
+SELECT feature_group, round(total_abs, 6) AS total_abs, round(total_abs / sum(total_abs) OVER (), 6) AS share,
+  feature_group = 'demographic_sensitive' AND total_abs / sum(total_abs) OVER () > CAST({AT.SENSITIVE_SHARE} AS DOUBLE) AS flagged FROM per""", PH)
 def sensitive_share(spark, sf):
-    """Share of total |attribution| per feature group (demographic_sensitive is the one to flag)."""
+    """Share of total |attribution| per feature group; demographic_sensitive is flagged above the threshold."""
     s = AT.group_share(views.phi(spark, sf))
-    return s.select("feature_group", F.round("total_abs", 6).alias("total_abs"), F.round("share", 6).alias("share"))
+    return s.select("feature_group", F.round("total_abs", 6).alias("total_abs"), F.round("share", 6).alias("share"), "flagged")
 
 
 @query("policy_oversight", f"WITH {GOV_SQL}\nSELECT id, oversight_allow AS allow, requires_human_review, "

@@ -74,18 +74,20 @@ def ate_ipw(spark, sf):
 
 @query("ate_placebo", f"""WITH {REC},
 p AS (SELECT seed, a.id, a.education, a.sex, a.y,
-  (CAST(('0x' || substr(sha256(CAST(a.id AS VARCHAR) || '-' || CAST(seed AS VARCHAR)), 1, 8)) AS BIGINT) % 2) = 1 AS treated
+  row_number() OVER (PARTITION BY seed ORDER BY substr(sha256(CAST(a.id AS VARCHAR) || '-' || CAST(seed AS VARCHAR)), 1, 8), a.id)
+    <= (SELECT count(*) FILTER (WHERE treated) FROM a) AS treated
   FROM a CROSS JOIN (SELECT CAST(range AS INTEGER) AS seed FROM range(1, {PLACEBO_SEEDS + 1})) r),
 s AS (SELECT seed, education, sex, count(*) AS n, avg(CASE WHEN treated THEN y END) AS m1, avg(CASE WHEN NOT treated THEN y END) AS m0,
   count(*) FILTER (WHERE treated) AS n1, count(*) FILTER (WHERE NOT treated) AS n0 FROM p GROUP BY seed, education, sex)
 SELECT seed, round(sum(n * (m1 - m0)) / sum(n), 9) AS ate FROM s WHERE n1 > 0 AND n0 > 0 GROUP BY seed""", ("accounts",))
 def ate_placebo(spark, sf):
-    """The stratified effect under hash-permuted placebo treatments, one row per seed."""
-    t = _treatment(spark, sf).select("id", "education", "sex", "y")
-    seeds = t.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(PLACEBO_SEEDS))))
-    h = F.conv(F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit("-"), F.col("seed").cast("string")), 256),
-                           1, 8), 16, 10).cast("bigint")
-    placebo = seeds.withColumn("treated", h % 2 == 1)
+    """The stratified effect under a permuted treatment, one row per seed: as many rows as were treated are, the first by a seeded hash."""
+    from ..operators.ranking import rank_in_groups
+    t = _treatment(spark, sf).select("id", "education", "sex", "y", "treated")
+    n_treated = t.where("treated").count()
+    seeds = t.drop("treated").withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(PLACEBO_SEEDS))))
+    h = F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit("-"), F.col("seed").cast("string")), 256), 1, 8)
+    placebo = rank_in_groups(seeds.withColumn("h", h), ["seed"], ["h", "id"]).withColumn("treated", F.col("rank") <= n_treated)
     tt = F.col("treated")
     y = F.col("y").cast("double")
     s = placebo.groupBy("seed", "education", "sex").agg(
@@ -123,10 +125,12 @@ def audit_completeness(spark, sf):
     return FA.completeness(views.audit_event(spark, sf), REQUIRED_PHASES)
 
 
-@query("drift_alert", f"""WITH b AS (SELECT least(CAST(floor((l_quantity - 1) / 5) AS INTEGER), 9) AS bin, count(*) AS nb
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '{DRIFT_CUT}' GROUP BY 1),
-c AS (SELECT least(CAST(floor((l_quantity - 1) / 5) AS INTEGER), 9) AS bin, count(*) AS nc
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '{DRIFT_CUT}' GROUP BY 1),
+@query("drift_alert", f"""WITH o AS (SELECT l_quantity AS v, row_number() OVER (ORDER BY l_quantity) AS r, count(*) OVER () AS n
+  FROM lineitem WHERE l_shipdate < TIMESTAMP '{DRIFT_CUT}' AND l_quantity IS NOT NULL),
+cuts AS (SELECT list(DISTINCT v) AS vs FROM o, range(1, 10) d(i) WHERE r = (i * n + 9) // 10),
+x AS (SELECT l_shipdate, len(list_filter(vs, lambda c: l_quantity > c)) AS bin FROM lineitem, cuts WHERE l_quantity IS NOT NULL),
+b AS (SELECT bin, count(*) AS nb FROM x WHERE l_shipdate < TIMESTAMP '{DRIFT_CUT}' GROUP BY 1),
+c AS (SELECT bin, count(*) AS nc FROM x WHERE l_shipdate >= TIMESTAMP '{DRIFT_CUT}' GROUP BY 1),
 j AS (SELECT coalesce(b.bin, c.bin) AS bin, coalesce(nb, 0) AS nb, coalesce(nc, 0) AS nc FROM b FULL JOIN c ON b.bin = c.bin),
 p AS (SELECT greatest(nb / sum(nb) OVER (), CAST(1e-6 AS DOUBLE)) AS pb, greatest(nc / sum(nc) OVER (), CAST(1e-6 AS DOUBLE)) AS pc FROM j)
 SELECT round(sum((pc - pb) * ln(pc / pb)), 9) AS psi, sum((pc - pb) * ln(pc / pb)) > 0.2 AS alert FROM p""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
 
 from ..operators import chain as CH
 from ..session import scratch_path
@@ -16,12 +17,14 @@ _EV_HASH = ("sha256(concat_ws('|', coalesce(event_id, '\\N'), coalesce(CAST(epoc
             "coalesce(agent_name, '\\N'), coalesce(phase, '\\N'), coalesce(event_type, '\\N'), coalesce(extra_payload, '\\N')))")
 CHAIN_SQL = f"""r AS (SELECT client_transaction_id, event_id, {_EV_HASH} AS h,
   row_number() OVER (PARTITION BY client_transaction_id ORDER BY created_at, event_id) AS position
-  FROM audit_event WHERE client_transaction_id IS NOT NULL),
+  FROM audit_event),
 b AS (SELECT client_transaction_id, (position - 1) // {CH.BLOCK} AS block, sha256(string_agg(h, '' ORDER BY position)) AS bh,
   count(*) AS n FROM r GROUP BY 1, 2),
+g AS (SELECT client_transaction_id, block // {CH.BLOCK} AS segment, sha256(string_agg(bh, '' ORDER BY block)) AS sh,
+  sum(n) AS n, count(*) AS n_blocks FROM b GROUP BY 1, 2),
 heads AS (SELECT client_transaction_id,
-  list_reduce(list(bh ORDER BY block), lambda acc, x: sha256(acc || x), sha256('genesis-' || client_transaction_id)) AS chain_head,
-  CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_blocks FROM b GROUP BY 1)"""
+  list_reduce(list(sh ORDER BY segment), lambda acc, x: sha256(acc || x), sha256('genesis-' || coalesce(client_transaction_id, '\\N'))) AS chain_head,
+  CAST(sum(n) AS BIGINT) AS n_events, CAST(sum(n_blocks) AS BIGINT) AS n_blocks FROM g GROUP BY 1)"""
 
 
 @query("hash_chain", f"WITH {CHAIN_SQL}\nSELECT * FROM heads", AE)
@@ -30,13 +33,18 @@ def hash_chain(spark, sf):
     return CH.build_chain(views.audit_event(spark, sf))[1]
 
 
-@query("hash_chain_verify", f"WITH {CHAIN_SQL}\nSELECT client_transaction_id, n_events, true AS valid FROM heads", AE)
+@query("hash_chain_verify", f"""WITH {CHAIN_SQL},
+t AS (SELECT client_transaction_id, bool_or(event_id LIKE '%77') AS touched FROM audit_event GROUP BY 1)
+SELECT h.client_transaction_id, h.n_events, NOT t.touched AS valid
+FROM heads h JOIN t ON h.client_transaction_id IS NOT DISTINCT FROM t.client_transaction_id""", AE)
 def hash_chain_verify(spark, sf):
-    """C5 verify: stored chain heads (written, read back) against a recomputation from the events."""
+    """C5 verify: stored chain heads (written, read back) against the events after a change to the payload of those whose id ends in 77."""
     ev = views.audit_event(spark, sf)
     path = scratch_path(spark, f"chain-{uuid.uuid4().hex}")
     CH.build_chain(ev)[1].write.mode("overwrite").parquet(path)
-    return CH.verify_chain(spark.read.parquet(path), ev)
+    changed = F.concat(F.coalesce("extra_payload", F.lit("")), F.lit(" "))
+    tampered = ev.withColumn("extra_payload", F.when(F.col("event_id").endswith("77"), changed).otherwise(F.col("extra_payload")))
+    return CH.verify_chain(spark.read.parquet(path), tampered)
 
 
 _RUNS = {}
@@ -48,17 +56,19 @@ def _stream(spark, sf):
         base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
         ev = views.audit_event(spark, sf)
         src = f"{base}/source"
-        # The same events delivered twice, as two files each.
-        ev.repartition(2).write.mode("append").parquet(src)
-        ev.repartition(2).write.mode("append").parquet(src)
-        ST.run(spark, src, ev.schema, f"{base}/events", f"{base}/escalations", f"{base}/checkpoint")
+        # Three deliveries, each drained by a restarted stream: the later half of the time range, the earlier half, all again.
+        first, last = ev.agg(F.min("created_at"), F.max("created_at")).first()
+        later = F.col("created_at") > F.lit(first + (last - first) / 2 if first else None)
+        for part in (ev.where(later), ev.where(~later), ev):
+            part.write.mode("append").parquet(src)
+            ST.run(spark, src, ev.schema, f"{base}/events", f"{base}/escalations", f"{base}/checkpoint")
         _RUNS[key] = base
     return _RUNS[key]
 
 
 @query("audit_stream", "SELECT * FROM audit_event", AE)
 def audit_stream(spark, sf):
-    """Streamed events (each delivered twice) after de-duplication, equal to the batch table."""
+    """Streamed events (out of order, each delivered twice) after de-duplication, equal to the batch table."""
     base = _stream(spark, sf)
     schema = views.audit_event(spark, sf).schema
     return spark.read.schema(schema).parquet(f"{base}/events").drop("batch")

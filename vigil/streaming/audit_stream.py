@@ -44,7 +44,8 @@ def run(spark: SparkSession, source_dir: str, schema, sink_dir: str, escalation_
         if stored.getFileSystem(session._jsc.hadoopConfiguration()).exists(stored):
             first, last = batch.agg(F.min("created_at"), F.max("created_at")).first()
             known = (session.read.schema(f"{schema.simpleString()[7:-1].replace(':', ' ')}, batch long").parquet(sink_dir)
-                     .where((F.col("batch") != batch_id) & F.col("created_at").between(F.lit(first), F.lit(last))).select("event_id"))
+                     .where((F.col("batch") != batch_id) & (F.col("created_at").isNull() | F.col("created_at").between(F.lit(first), F.lit(last))))
+                     .select("event_id"))
             rows = rows.join(known, "event_id", "left_anti").select(*batch.columns)
         # One folder per batch id: re-running a batch after a failure overwrites it.
         rows.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch={batch_id}"))
