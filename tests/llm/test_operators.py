@@ -139,6 +139,17 @@ def test_near_duplicates(frame, corpus, empty, size):
     assert rows_of(got) == sorted(want, key=str)
     assert near_dedup.near_duplicates(frame, size=size).count() == len(corpus)
     assert near_dedup.near_duplicates(empty, size=size).count() == 0
+    # one document of each component: the least id, or one of those without an id; documents without words all stay
+    kinds = {i: root(i) for i, s in enumerate(sets) if s}
+    stay = near_dedup.one_of_each(frame, size=size)
+    assert stay.columns == frame.columns
+    got = [(r.doc_id, r.text) for r in stay.collect()]
+    for top_ in set(kinds.values()):
+        mine = [corpus[i] for i, k in kinds.items() if k == top_]
+        assert len([g for g in got if g in mine]) == 1
+        assert [g[0] for g in got if g in mine][0] == least.get(top_)
+    assert Counter(g for g in got if not WORD.search(g[1] or "")) == Counter({c for c, s in zip(corpus, sets, strict=True) if not s})
+    assert near_dedup.one_of_each(empty, size=size).count() == 0
 
 
 def test_quality_statistics(frame, corpus, empty):
@@ -290,6 +301,11 @@ def test_decontamination(spark, corpus):
     assert set(got) == set(want)
     assert all(got[d] == (len(v), round(max(v.values()), 6)) for d, v in want.items())
     assert decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    # without ids, each text is judged for itself
+    bad = {t for d, t in corpus if d in got}
+    unnamed = spark.createDataFrame([(None, t) for _, t in corpus], "doc_id long, text string")
+    kept = decontaminate.decontaminated(unnamed, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter(r.text for r in kept) == Counter(t for _, t in corpus if t not in bad)
 
 
 def test_sharding(frame, corpus, empty):

@@ -101,9 +101,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without benchmark passages, unchanged."""
-    bad = contamination(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs without benchmark passages, unchanged. Every text is judged for itself, also where ids are null or shared."""
+    ident, text = F.col(f"`{id_col}`").cast("string"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    key = F.struct(F.xxhash64(ident, F.lit("a"), text).alias("k1"), F.xxhash64(text, F.lit("b"), ident).alias("k2"))
+    bad = contamination(docs.select(key.alias("key"), text.alias("text")), benchmark, "key", "text").select(F.col("key.k1").alias("_k1"), F.col("key.k2").alias("_k2"))
+    return docs.join(bad, (key["k1"] == F.col("_k1")) & (key["k2"] == F.col("_k2")), "left_anti")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,18 +286,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
-    """All rows of docs with: n_shingles, component_id (the least id that links reach, itself included), kept (id = component_id).
-
-    Null and empty texts and texts without words have no shingles and are linked with nothing. Texts with fewer words than
-    ``size`` have their whole sequence as one shingle. Rows with equal sets share a component, repeated rows too. A row with a null id counts
-    for links but never as the least; alone it keeps a null component and is kept. An empty table gives an empty result.
-    Input columns with the names of results are replaced.
-    """
+def _answers(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keyed documents, a row of id, n and node per document, per class with copies or links: the least id that links reach and
+    the key of the one document that stands for all)."""
     spark = docs.sparkSession
     bl.prepare(spark)
     similarity, n_buckets = percent / 100, bl.buckets(spark)
-    names = ["n_shingles", "component_id", "kept"]
     keyed = bl.keyed(docs, id_col, text_col)
     described = keyed.select("k1", "k2", "id", "text").mapInArrow(_describe(size), ROW)
     rows_ = _written(described, "rows")
@@ -311,17 +305,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         comp = components(links.union(more))
     # the least id of each component; only classes with copies or links need it
-    ids = rows_.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    grouped = ids.join(comp, "node", "left").select("node", "least", "copies", "comp")
-    of_comp = grouped.where("comp is not null").groupBy("comp").agg(F.min("least").alias("of_comp"))
-    answer = grouped.where("copies > 1 or comp is not null").join(of_comp, "comp", "left").select("node", F.coalesce("of_comp", "least").alias("found"))
-    done = rows_.select("k1", "k2", "id", "n", "node").join(answer, "node", "left").select(
-        "k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("found", "id").alias("component_id"), F.coalesce("found", "id").eqNullSafe(F.col("id")).alias("kept"))
+    ids = rows_.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("one"))
+    grouped = ids.join(comp, "node", "left").select("node", "least", "copies", "one", "comp")
+    of_comp = grouped.where("comp is not null").groupBy("comp").agg(F.min("least").alias("of_comp"), F.min("one").alias("one_of_comp"))
+    answer = grouped.where("copies > 1 or comp is not null").join(of_comp, "comp", "left").select("node", F.coalesce("of_comp", "least").alias("found"), F.coalesce("one_of_comp", "one").alias("one"))
+    return keyed, rows_.select("k1", "k2", "id", "n", "node"), answer
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
+    """All rows of docs with: n_shingles, component_id (the least id that links reach, itself included), kept (id = component_id).
+
+    Null and empty texts and texts without words have no shingles and are linked with nothing. Texts with fewer words than
+    ``size`` have their whole sequence as one shingle. Rows with equal sets share a component, repeated rows too. A row with a null id counts
+    for links but never as the least; alone it keeps a null component and is kept. An empty table gives an empty result.
+    Input columns with the names of results are replaced.
+    """
+    keyed, rows_, answer = _answers(docs, id_col, text_col, size, percent)
+    names = ["n_shingles", "component_id", "kept"]
+    found = rows_.join(answer.select("node", "found"), "node", "left")
+    results = [F.col("n").alias("n_shingles"), F.coalesce("found", "id").alias("component_id"), F.coalesce("found", "id").eqNullSafe(F.col("id")).alias("kept")]
     if set(docs.columns) <= {id_col, text_col}:
-        return rows_.select("id", "n", "node").join(answer, "node", "left").select(
-            F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("found", "id").alias("component_id"), F.coalesce("found", "id").eqNullSafe(F.col("id")).alias("kept"))
+        return found.select(F.col("id").alias(id_col), *results)
     rest = [c for c in docs.columns if c not in names]
-    return keyed.select("k1", "k2", F.struct(*[f"row.`{c}`" for c in rest]).alias("row")).join(done.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("row.*", *names)
+    done = found.select("k1", "k2", *results).dropDuplicates(["k1", "k2"])
+    return keyed.select("k1", "k2", F.struct(*[f"row.`{c}`" for c in rest]).alias("row")).join(done, ["k1", "k2"]).select("row.*", *names)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay when one document of each component of near duplicates does: the one of least id, null ids last,
+    and among equal ids one of them. Rows equal in id and text are one document. Documents without words stay; so do documents
+    that share an id, or have none, but not a component. An empty table gives an empty result.
+    """
+    keyed, rows_, answer = _answers(docs, id_col, text_col, size, percent)
+    stays = rows_.join(answer.select("node", "one"), "node", "left").where("one is null or (one.k1 = k1 and one.k2 = k2)").select("k1", "k2").distinct()
+    return keyed.select("k1", "k2", "row").join(stays, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
