@@ -48,47 +48,42 @@ def curriculum_datasets(seg: DataFrame, percent: int = LOW_SAMPLE_PERCENT) -> di
 
 def curriculum_train(spark: SparkSession, seg: DataFrame, val: DataFrame, features, label: str,
                      percent: int = LOW_SAMPLE_PERCENT, **gbt_overrides):
-    """Fit once per distinct dataset (fixed seed, so repeated epochs would refit the
-    same model), score the validation rows, and report one metrics row per epoch.
+    """One fit per epoch on its phase's rows, seeded by the epoch (``seed`` + epoch - 1), validated on ``val``.
 
-    Returns (epochs DataFrame, {phase: model}, best phase).
+    Subsampling is seeded per partition, so rows are hashed on ``id`` to a number of partitions that follows from
+    the row count alone and ordered inside: the same rows give the same model on any cluster.
+    Returns (epochs DataFrame, {epoch: model}, best epoch: highest AUC, the first on ties).
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark import StorageLevel
 
-    from .model import evaluate, gbt_fit
+    from .model import GBT_PARAMS, evaluate, gbt_fit
 
+    seed = gbt_overrides.pop("seed", GBT_PARAMS["seed"])
     val = val.persist(StorageLevel.MEMORY_AND_DISK)
-    datasets = curriculum_datasets(seg, percent)
-
-    def fit_one(phase):
-        import math
-        staged = datasets[phase].persist(StorageLevel.MEMORY_AND_DISK)
-        n = staged.count()
-        # Tree training runs a few jobs per iteration; partitions sized to the data
-        # (about ROWS_PER_PARTITION rows each) keep per-task overhead proportional.
-        parts = max(2, min(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_PARTITION)))
-        data = staged.coalesce(parts) if parts < staged.rdd.getNumPartitions() else staged
-        model = gbt_fit(data, features, label, **gbt_overrides)
+    staged, rows_of = {}, {}
+    for phase, data in curriculum_datasets(seg, percent).items():
+        rows_of[phase] = data.count()
+        parts = max(2, -(-rows_of[phase] // ROWS_PER_PARTITION))
+        staged[phase] = data.repartition(parts, "id").sortWithinPartitions("id").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit_one(epoch, phase):
+        model = gbt_fit(staged[phase], features, label, seed=seed + epoch - 1, **gbt_overrides)
         m = evaluate(model, val, label)
-        staged.unpersist()
-        return phase, model, (n, m["accuracy"], m["f1"], m["roc_auc"])
-
-    # The three fits are independent: submit them as concurrent Spark jobs.
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=len(datasets)) as pool:
-        done = list(pool.map(fit_one, list(datasets)))
-    models = {phase: model for phase, model, _ in done}
-    results = {phase: res for phase, _, res in done}
-    rows, epoch = [], 0
-    for phase, count in PHASES:
-        for _ in range(count):
-            epoch += 1
-            n, acc, f1, auc = results[phase]
-            rows.append((epoch, phase, n, acc, f1, auc))
+        return model, (epoch, phase, rows_of[phase], m["accuracy"], m["f1"], m["roc_auc"])
+
+    phases = [phase for phase, count in PHASES for _ in range(count)]
+    # The fits are independent: submit them as concurrent Spark jobs.
+    with ThreadPoolExecutor(max_workers=len(phases)) as pool:
+        done = list(pool.map(fit_one, range(1, len(phases) + 1), phases))
+    for data in [*staged.values(), val]:
+        data.unpersist()
+    rows = [row for _, row in done]
     epochs = spark.createDataFrame(rows, "epoch int, phase string, n_rows bigint, val_acc double, val_f1 double, "
                                          "val_roc_auc double")
     best = max(rows, key=lambda r: (r[5] if r[5] is not None else -1.0, -r[0]))
-    return epochs, models, best[1]
+    return epochs, {row[0]: model for model, row in done}, best[0]
 
 
 def best_epoch(epochs: DataFrame) -> DataFrame:
