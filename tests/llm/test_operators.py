@@ -308,6 +308,29 @@ def test_decontamination(spark, corpus):
     assert Counter(r.text for r in kept) == Counter(t for _, t in corpus if t not in bad)
 
 
+def test_decontamination_of_moved_halves(spark):
+    """An item whose halves stand in another order inside a longer document; the first similar window counts."""
+    rng = random.Random(8)
+    a, b, before, after = ([f"{n}{rng.randrange(10_000)}" for _ in range(k)] for n, k in (("a", 30), ("b", 30), ("c", 100), ("d", 100)))
+    item = a + b
+    texts = {1: before + b + a + after, 2: before + b + after, 3: before + item + after, 4: before + b[8:] + after + a + b[:8]}
+    grams = lambda w: [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    want = {}
+    for d, w in texts.items():
+        own, all_ = grams(item), grams(w)
+        for at in range(len(all_) - len(own) + 1):
+            common = sum((Counter(own) & Counter(all_[at:at + len(own)])).values())
+            s = common / (2 * len(own) - common)
+            if s >= 0.8:
+                want[d] = (max(s, want[d][0]), want[d][1]) if d in want else (s, at)
+    assert set(want) == {1, 3}
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontaminate.contamination(docs, benchmark).collect()
+    assert {r.doc_id: (round(r.similarity, 9), r.first_word) for r in got} == {d: (round(s, 9), at) for d, (s, at) in want.items()}
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, benchmark).collect()) == [2, 4]
+
+
 def test_sharding(frame, corpus, empty):
     got = sharding.shuffled_shards(frame, 7).collect()
     assert sorted(str(r.text) for r in got) == sorted(str(t) for _, t in corpus)

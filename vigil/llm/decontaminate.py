@@ -2,7 +2,8 @@
 join, exact weighted similarity.
 
 A text is its lower-cased words (white space and ASCII punctuation separate them), a shingle the hash of five words (of all
-words, for shorter items). A window is as long as a benchmark item and lies where one of its shingles has the place that the item gives it.
+words, for shorter items). A window is as long as a benchmark item (as the whole text, if that is shorter). All windows count that hold as
+many shingles of items of their size as the similarity needs, in whatever order they stand there; a window with fewer can't be similar.
 Windows and items of one size meet if their 64-bit SimHashes agree in one of 8 bytes but for ERRORS bits, which
 finds all within 8 * (ERRORS + 1) - 1 bits. What meets and lies within that distance is verified by the weighted Jaccard similarity of
 the shingles with their counts.
@@ -52,23 +53,48 @@ def _byte(fingerprint: str, b: int) -> Column:
     return F.shiftright(fingerprint, 8 * b).bitwiseAND(F.lit(255))
 
 
+def _needed(length: Column, size: Column) -> Column:
+    """Least number of common shingles at which length and size shingles reach SIMILARITY = 4 / 5: the least c with 9 c >= 4 (length + size)."""
+    return F.floor((4 * (length + size) + 8) / 9).cast("int")
+
+
+def _starts(p: Column, i: Column) -> Column:
+    """Starts of the windows that hold the hits i to i + need - 1 of ``at`` and not hit i - 1, so over all i each start of a window
+    with need hits or more occurs once."""
+    lo = F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - F.col("length") + 1, F.get("at", i - 1) + 1)
+    hi = F.least(p, F.col("n") - F.col("length"))
+    return F.when((i + F.col("need") <= F.size("at")) & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+
 def _pass(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """(key, item_id, start, similarity) of windows that are similar to items; items: at most PASS_SHINGLES distinct shingles."""
-    wanted = [r[0] for r in items.select(F.explode("shingles").alias("h")).distinct().collect()]  # bounded by PASS_SHINGLES
-    found = docs.select("key", _once(_shingles(width)).alias("shingles"))
-    hits = F.filter(F.transform("shingles", lambda h, i: F.struct(h.alias("h"), i.alias("at"))), lambda x: x.h.isin(wanted))
-    found = found.select("key", "shingles", _once(hits).alias("hits")).where(F.size("hits") > 0)
+    pairs = items.select("size", F.explode("shingles").alias("h")).distinct()
+    held = pairs.collect()  # bounded by PASS_SHINGLES and the sizes
+    wanted = list({r["h"] for r in held})
+    # a similar window has this many shingles at most that no item has (_needed), so its hits lie so close together
+    gap, least = max(r["size"] for r in held) // 9, -(-4 * min(r["size"] for r in held) // 5)
+    found = docs.select("key", "text_a", "text_b", _once(_shingles(width)).alias("shingles"))
+    hits = F.transform(F.filter(F.transform("shingles", lambda h, i: F.struct(h.alias("h"), i.alias("at"))), lambda x: x.h.isin(wanted)), lambda x, i: F.struct(x["at"].alias("at"), i.alias("i")))
+    found = found.select("key", "text_a", "text_b", "shingles", F.size("shingles").alias("n"), _once(hits).alias("hits")).where(F.size("hits") >= least)
+    first = F.filter("hits", lambda x, i: (i == 0) | (x["at"] - F.get("hits", i - 1)["at"] > gap + 1))
+    last = F.filter("hits", lambda x, i: (i == F.size("hits") - 1) | (F.get("hits", i + 1)["at"] - x["at"] > gap + 1))
+    runs = found.select("key", "text_a", "text_b", "shingles", "n", F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("run")).where(F.col("run.last.i") - F.col("run.first.i") + 1 >= least)
+    runs = runs.withColumn("lo", F.greatest(F.lit(0), F.col("run.first.at") - gap)).withColumn("hi", F.least(F.col("n") - 1, F.col("run.last.at") + gap))
+    cells = runs.select("key", "text_a", "text_b", "n", "lo", F.posexplode(F.slice("shingles", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)).alias("pos", "h"))
+    sizes = pairs.groupBy("h").agg(F.collect_set("size").alias("sizes"))
+    cells = cells.join(F.broadcast(sizes), "h", "left").groupBy("key", "text_a", "text_b", "n", "lo").agg(  # bounded as above; equal rows give equal cells
+        F.array_sort(F.collect_set(F.struct((F.col("lo") + F.col("pos")).alias("at"), "h", F.coalesce("sizes", F.array().cast("array<int>")).alias("sizes")))).alias("cells"))
+    cells = cells.withColumn("size", F.explode(F.array_distinct(F.flatten(F.col("cells.sizes"))))).withColumn("length", F.least("n", "size")).withColumn("need", _needed(F.col("length"), F.col("size")))
+    cells = cells.withColumn("at", _once(F.transform(F.filter("cells", lambda c: F.array_contains(c["sizes"], F.col("size"))), lambda c: c["at"])))
+    windows = cells.withColumn("start", F.explode(F.flatten(F.transform("at", _starts)))).select(
+        "key", "text_a", "text_b", "size", "start", F.transform(F.slice("cells", F.col("start") - F.col("lo") + 1, F.col("length")), lambda c: c["h"]).alias("w"))
     prints = _with_fingerprint(items, ["item_id", "number", "size"], "shingles")
-    places = items.select("size", F.posexplode("shingles").alias("place", "h")).distinct()
-    starts = found.select("key", "shingles", F.explode("hits").alias("hit")).join(F.broadcast(places), F.col("hit.h") == F.col("h")).select(  # bounded as above
-        "key", "size", F.greatest(F.lit(0), F.least(F.col("hit.at") - F.col("place"), F.size("shingles") - F.col("size"))).alias("start"), "shingles")
-    windows = starts.select("key", "size", "start", F.slice("shingles", F.col("start") + 1, F.col("size")).alias("w")).groupBy("key", "size", "start").agg(F.first("w").alias("w"))
-    windows = _with_fingerprint(windows, ["key", "size", "start"], "w")
+    windows = _with_fingerprint(windows, ["key", "text_a", "text_b", "size", "start"], "w")
     bytes_ = lambda name: F.array(*[F.struct(F.lit(b).alias("b"), _byte(name, b).alias("v")) for b in range(8)])
     index = prints.select("item_id", "size", F.col("print").alias("own"), F.col("shingles").alias("item"), F.explode(bytes_("print")).alias("p")).select(
         "item_id", "size", "own", "item", F.col("p.b").alias("b"), F.explode(F.transform(F.array(*[F.lit(m) for m in MASKS]), lambda m: F.col("p.v").bitwiseXOR(m.cast("bigint")))).alias("v"))
-    probes = windows.select("key", "size", "start", "w", "print", F.explode(bytes_("print")).alias("p")).select("key", "size", "start", "w", "print", F.col("p.b").alias("b"), F.col("p.v").alias("v"))
-    near = probes.join(index, ["size", "b", "v"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS).groupBy("key", "size", "start", "item_id").agg(F.first("w").alias("w"), F.first("item").alias("item"))
+    probes = windows.select("key", "text_a", "text_b", "size", "start", "w", "print", F.explode(bytes_("print")).alias("p")).select("key", "text_a", "text_b", "size", "start", "w", "print", F.col("p.b").alias("b"), F.col("p.v").alias("v"))
+    near = probes.join(index, ["size", "b", "v"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS).groupBy("key", "text_a", "text_b", "size", "start", "item_id").agg(F.first("w").alias("w"), F.first("item").alias("item"))
     common = F.aggregate(F.array_distinct("item"), F.lit(0), lambda n, h: n + F.least(F.size(F.filter("item", lambda x: x == h)), F.size(F.filter("w", lambda x: x == h))))
     return near.withColumn("common", common).withColumn("similarity", F.col("common") / (F.size("w") + F.size("item") - F.col("common"))).where(F.col("similarity") >= SIMILARITY).select("key", "item_id", "start", "similarity")
 
@@ -77,13 +103,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document with a window that is similar to a benchmark item: id_col, n_items, item_ids (sorted), similarity (the best), first_word
     (start of the first such window). Clean documents have no row.
 
-    Null, empty and wordless texts and items match nothing; a text shorter than an item has no window of its size. Documents are told apart
+    Null, empty and wordless texts and items match nothing; a text shorter than an item is one window. Documents are told apart
     by id: rows with equal ids make one row, null ids are one document. Repeated items and null item ids count as items like any
     other; texts are never cut. An empty table gives an empty result. Extra columns are ignored.
     """
     spark = docs.sparkSession
     hashes = lambda c: _once(F.transform(_words(c.cast("string")), lambda w: F.xxhash64(w))).alias("hashes")
-    held = docs.select(F.col(f"`{id_col}`").alias("key"), hashes(F.col(f"`{text_col}`")))
+    held = docs.select(F.col(f"`{id_col}`").alias("key"), hashes(F.col(f"`{text_col}`"))).select("key", "hashes", F.xxhash64("hashes").alias("text_a"), F.xxhash64(F.lit("b"), "hashes").alias("text_b"))
     named = benchmark.select("item_id", hashes(F.col("text"))).withColumn("n", F.size("hashes")).where("n > 0").withColumn("number", F.xxhash64("hashes"))  # tells items without an id apart
     out = None
     for width in range(1, WIDTH + 1):
