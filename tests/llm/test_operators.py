@@ -221,6 +221,43 @@ def test_lattice_against_all_segmentations():
     assert np.allclose(lattice._one(words[2])[-1], lattice.score(words)[2])
 
 
+@pytest.mark.parametrize("size", [1, 5, 64, 1 << 16])
+def test_expected_uses_on_both_sides_of_long(monkeypatch, size):
+    names = (b"a", b"b", b"ab", b"ba", b"aba", b"c", b"ccccc", "語".encode(), *[bytes([x]) for x in "語".encode()])
+    logp = np.log(np.arange(1, len(names) + 1) / 100)
+
+    def ways(w):
+        if not w:
+            yield ()
+        for i, p in enumerate(names):
+            if w.startswith(p):
+                yield from ((i, *rest) for rest in ways(w[len(p):]))
+
+    words = [b"ab", b"abab", b"c" * 48, b"abacab" * 2 + b"c" * 2, b"aba" + b"bc" * 25, b"bb" * 20 + "語".encode() * 4, "語".encode() * 9 + b"cab" * 9, b"aba"]
+    assert sum(len(w) > lattice_lm.LONG for w in words) >= 3
+    count = np.array([1, 2, 3, 1, 4, 2, 5, 0])
+    want, score = np.zeros(len(names)), []
+    for w, n in zip(words, count, strict=True):
+        all_ = list(ways(w)) if w != b"c" * 48 else None
+        if all_ is None:  # too many to list: positions of the five-letter piece by recursion
+            z, e = [1.0], [np.zeros(len(names))]
+            for k in range(1, 49):
+                steps = [(5, 1)] + ([(6, 5)] if k >= 5 else [])
+                z.append(sum(math.exp(logp[i]) * z[k - m] for i, m in steps))
+                e.append(sum(math.exp(logp[i]) * z[k - m] / z[k] * (e[k - m] + np.eye(len(names))[i]) for i, m in steps))
+            score.append(math.log(z[48]))
+            want += n * e[48]
+            continue
+        weight = np.exp([sum(logp[i] for i in way) for way in all_])
+        score.append(math.log(weight.sum()))
+        for way, x in zip(all_, weight / weight.sum(), strict=True):
+            want += n * x * np.bincount(way, minlength=len(names))
+    monkeypatch.setattr(lattice_lm, "SLICE", size, raising=False)
+    lattice = lattice_lm.Lattice(names, logp)
+    assert np.allclose(lattice.expected(words, count), want)
+    assert np.allclose(lattice.score(words), score)
+
+
 def test_language_model(frame, corpus, empty):
     tokens = [WORD.findall(lower(t)) + [None] for _, t in corpus]
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in corpus]

@@ -11,6 +11,7 @@ answers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +29,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
 #: Documents that are left out of training have this remainder of crc32(id as text) by FOLDS.
 FOLDS, HELD_OUT = 7, 2
-#: Words above this length go through the recursion one by one.
-LONG = 48
+#: Words above this length, in bytes, go through the same recursion one after the other, in slices of SLICE bytes.
+LONG, SLICE = 48, 1 << 14
 
 
 @lru_cache(2)
@@ -58,6 +59,12 @@ def _table(parts) -> tuple[np.ndarray, np.ndarray]:
     return lengths, np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(-1, width)
 
 
+def _logadd(u: float, v: float) -> float:
+    if u < v:
+        u, v = v, u
+    return u if v == -math.inf else u + math.log1p(math.exp(v - u))
+
+
 class Lattice:
     """All segmentations of words into pieces with log probabilities."""
 
@@ -113,6 +120,74 @@ class Lattice:
                     alpha[b] = np.logaddexp(alpha[b], alpha[a] + self.logp[i])
         return alpha
 
+    def _line(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words one after the other, each with one byte behind it for its end, and the places of the ends."""
+        return np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8), np.cumsum([len(p) + 1 for p in parts]) - 1
+
+    def _slice(self, line: np.ndarray, ends: np.ndarray, lo: int):
+        """(start - lo, end - lo, piece, word) of the arcs that start in the slice from lo on, by start."""
+        at = np.arange(lo, min(lo + SLICE, len(line)))
+        word = np.searchsorted(ends, at)
+        rows, key, found = np.arange(len(at)), np.zeros(len(at), np.uint64), []
+        for n in range(1, self.longest + 1):
+            live = at[rows] + n <= ends[word[rows]]
+            rows, key = rows[live], key[live]
+            if not len(rows):
+                break
+            key = mix(key * np.uint64(257) + line[at[rows] + n - 1] + np.uint64(1))
+            live = self.begins[(key % np.uint64(SLOTS)).astype(np.int64)]
+            rows, key = rows[live], key[live]
+            place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            hit = self.key[place] == key
+            found.append((rows[hit], rows[hit] + n, self.order[place[hit]]))
+        a, b, piece = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(a, kind="stable")
+        return a[order], b[order], piece[order], word[a[order]]
+
+    def _forward(self, line: np.ndarray, ends: np.ndarray, lo: int, carry: list[float], arcs) -> list[float]:
+        """alpha from lo to the end of the slice and as far as an arc reaches; carry: what arcs from before lo bring."""
+        alpha = carry + [-math.inf] * min(SLICE, len(line) - lo)
+        begins = np.concatenate([[0], ends + 1])
+        for i in begins[np.searchsorted(begins, lo):np.searchsorted(begins, min(lo + SLICE, len(line)))].tolist():
+            alpha[i - lo] = 0.0
+        a, b, piece, _ = arcs
+        for x, y, w in zip(a.tolist(), b.tolist(), self.logp[piece].tolist(), strict=True):
+            alpha[y] = _logadd(alpha[y], alpha[x] + w)
+        return alpha
+
+    def _long(self, parts: list[bytes]):
+        """Log probability of each word, and of each slice what arcs from before it bring."""
+        line, ends = self._line(parts)
+        whole, carries, carry = np.zeros(len(parts)), [], [-math.inf] * (self.longest + 1)
+        for lo in range(0, len(line), SLICE):
+            carries.append(carry)
+            alpha = self._forward(line, ends, lo, carry, self._slice(line, ends, lo))
+            size = min(SLICE, len(line) - lo)
+            i, j = np.searchsorted(ends, [lo, lo + size])
+            whole[i:j] = [alpha[e - lo] for e in ends[i:j].tolist()]
+            carry = alpha[size:]
+        return line, ends, whole, carries
+
+    def _long_expected(self, parts: list[bytes], count: np.ndarray) -> np.ndarray:
+        """expected() of long words: the slices from the last to the first, with alpha made again in each."""
+        out = np.zeros(len(self.logp))
+        line, ends, whole, carries = self._long(parts)
+        beyond = [-math.inf] * (self.longest + 1)
+        for lo, carry in zip(reversed(range(0, len(line), SLICE)), reversed(carries), strict=True):
+            arcs = self._slice(line, ends, lo)
+            alpha = self._forward(line, ends, lo, carry, arcs)
+            a, b, piece, word = arcs
+            size, logp = min(SLICE, len(line) - lo), self.logp[piece]
+            beta = [-math.inf] * size + beyond
+            for e in ends[np.searchsorted(ends, lo):np.searchsorted(ends, lo + size)].tolist():
+                beta[e - lo] = 0.0
+            for x, y, w in zip(a[::-1].tolist(), b[::-1].tolist(), logp[::-1].tolist(), strict=True):
+                beta[x] = _logadd(beta[x], w + beta[y])
+            uses = np.exp(np.array(alpha)[a] + logp + np.array(beta)[b] - whole[word]) * count[word]
+            out += np.bincount(piece, uses, minlength=len(out))
+            beyond = beta[:self.longest + 1]
+        return out
+
     def score(self, parts: list[bytes]) -> np.ndarray:
         """Log probability of each word over all its segmentations."""
         out = np.zeros(len(parts))
@@ -123,12 +198,13 @@ class Lattice:
                 rows = some[at:at + 20_000]
                 lengths, alpha, _ = self._alpha([parts[i] for i in rows])
                 out[rows] = alpha[np.arange(len(rows)), lengths]
-        for i in np.flatnonzero(size > LONG):
-            out[i] = self._one(parts[i])[-1]
+        some = np.flatnonzero(size > LONG)
+        if len(some):
+            out[some] = self._long([parts[i] for i in some])[2]
         return out
 
     def expected(self, parts: list[bytes], count: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece in words that occur count times; of words above LONG bytes the bytes count."""
+        """Expected number of uses of each piece in words that occur count times."""
         out = np.zeros(len(self.logp))
         size = np.array([len(p) for p in parts], np.int64)
         for lo, hi in ((0, 8), (8, 12), (12, 16), (16, 24), (24, LONG)):
@@ -143,10 +219,8 @@ class Lattice:
                     through = self.logp[piece] + beta[r, b]
                     beta[r, a] = np.logaddexp(beta[r, a], through)
                     np.add.at(out, piece, np.exp(alpha[r, a] + through - whole[r]) * count[rows[r]])
-        for i in np.flatnonzero((size > LONG) & (count > 0)):
-            for b in parts[i]:
-                out[self.by_piece[bytes([b])]] += count[i]
-        return out
+        some = np.flatnonzero((size > LONG) & (count > 0))
+        return out + self._long_expected([parts[i] for i in some], count[some]) if len(some) else out
 
 
 BLOCK = "bucket int, kind int, block binary, counts binary, words binary, ids binary"
