@@ -219,3 +219,19 @@ def test_hash_chain_levels_and_null_transactions(spark, monkeypatch):
     stored = spark.createDataFrame([(t, r.chain_head) for t, r in heads.items()], "client_transaction_id string, chain_head string")
     touched = ev.withColumn("extra_payload", F.when(F.col("event_id") == "e00", "y").otherwise(F.col("extra_payload")))
     assert {r.client_transaction_id: r.valid for r in CH.verify_chain(stored, touched).collect()} == {"a": True, None: False}
+
+
+def test_decision_graph_has_all_kinds_and_why_names_causes(spark):
+    from vigil.operators import questions as QU
+    from vigil.plans.catalog import QUERIES
+    from conftest import SF_SMALL
+
+    kinds = {r.label for r in QUERIES["decision_graph_nodes"](spark, SF_SMALL).select("label").distinct().collect()}
+    assert kinds == {"FinalDecision", "Violation", "PolicyCheck", "HumanOversight", "ExplanationArtifact", "PredictionMetrics"}
+    nodes, edges = QUERIES["decision_graph_nodes"](spark, SF_SMALL), QUERIES["decision_graph_edges"](spark, SF_SMALL)
+    assert edges.join(nodes, edges.dst == nodes.node_id, "left_anti").count() == 0
+    events = spark.createDataFrame([("e1", "T1", "X", 1), ("e2", "T2", "X", 1)], "event_id string, client_transaction_id string, event_type string, created_at long")
+    links = spark.createDataFrame([("e1", "7", "EVALUATED", "G")], "src string, dst string, edge_type string, dst_label string")
+    d = spark.sql("SELECT 7 AS id, 'BLOCKED' AS final_decision, 'pass' AS confidence_status, array(named_struct('attribute', 'SEX'), named_struct('attribute', 'AGE')) AS violations")
+    got = {r.client_transaction_id: (r.violations, r.policies) for r in QU.answer_why_detail(events, links, d).collect()}
+    assert got == {"T1": (["AGE", "SEX"], ["oversight_threshold_check", "prohibited_attribute_check"]), "T2": (None, None)}

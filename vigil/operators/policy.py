@@ -22,6 +22,8 @@ ESCALATION_ACTION = "Human review required"
 OVERSIGHT = "oversight_threshold_check"
 PROHIBITED = "prohibited_attribute_check"
 PROVENANCE = "provenance_compliance_check"
+#: The policies that decide() enforces by default, sorted; provenance is evaluated and reported.
+ENFORCED = [OVERSIGHT, PROHIBITED]
 
 # Policy registry (fixed values): key, name, version, phase, regulation source, article, action.
 REGISTRY = [

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .policy import ENFORCED
+
 # Intents in routing order with their keywords and row limits (fixed values).
 INTENTS = [
     ("why", ["why was", "what caused"], 1),
@@ -96,6 +98,17 @@ def answer_why(events, edges, decisions) -> DataFrame:
         "client_transaction_id", "event_type", "final_decision", "confidence_status", "violation_count")
 
 
+def answer_why_detail(events, edges, decisions) -> DataFrame:
+    """C11 with the violated attributes and the policies enforced, both sorted; null without a decision."""
+    first = _first(_events_of(events, edges), 1, ["created_at", "event_id"])
+    gov = edges.where(F.col("edge_type") == "EVALUATED").select(F.col("src").alias("event_id"), F.col("dst").alias("gov_id"))
+    d = decisions.select(F.col("id").cast("string").alias("gov_id"), "final_decision", "confidence_status",
+                         F.array_sort(F.transform("violations", lambda v: v["attribute"])).alias("violations"),
+                         F.array(*[F.lit(p) for p in ENFORCED]).alias("policies"))
+    return first.join(gov, "event_id", "left").join(d, "gov_id", "left").select(
+        "client_transaction_id", "event_type", "final_decision", "confidence_status", "violations", "policies")
+
+
 def answer_target(events, edges, etype, edge_type, n=1) -> DataFrame:
     """C12/C14/C15 (and C13 with n=5): targets reached from the transaction's events."""
     hits = _events_of(events, edges, etype, edge_type)

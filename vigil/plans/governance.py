@@ -265,6 +265,46 @@ def decision_edges(spark, sf):
     return _decision_graph(spark, sf)[1]
 
 
+def _full_decision_graph(spark, sf):
+    """C22 with all node kinds: also an ExplanationArtifact (the drivers in rank order) where the prediction has attributions,
+    and the PredictionMetrics (the predicted label)."""
+    nodes, edges = _decision_graph(spark, sf)
+    d = decided(spark, sf).withColumn("src", F.concat(F.lit("decision-"), F.col("id").cast("string")))
+    xai = d.where(F.size("drivers") > 0).select(
+        "src", F.concat(F.lit("explanation-"), F.col("id").cast("string")).alias("node_id"), F.lit("ExplanationArtifact").alias("label"),
+        F.array_join(F.transform("drivers", lambda x: x["feature"]), ",").alias("node_type"), F.lit("EXPLAINED_BY").alias("edge_type"))
+    metrics = d.select(
+        "src", F.concat(F.lit("metrics-"), F.col("id").cast("string")).alias("node_id"), F.lit("PredictionMetrics").alias("label"),
+        F.col("prediction_label").cast("string").alias("node_type"), F.lit("HAS_METRICS").alias("edge_type"))
+    for part in (xai, metrics):
+        nodes = nodes.unionByName(part.select("node_id", "label", "node_type"))
+        edges = edges.unionByName(part.select("src", F.col("node_id").alias("dst"), "edge_type"))
+    return nodes, edges
+
+
+_FULL_DG_SQL = f"""{_DG_SQL},
+xai AS (SELECT s.id, string_agg(t.feature, ',' ORDER BY t.rank) AS drivers FROM scores s JOIN top t ON s.id = t.id
+  WHERE t.rank <= 5 GROUP BY s.id)"""
+
+
+@query("decision_graph_nodes", f"""WITH {GOV_SQL},\n{_FULL_DG_SQL}
+SELECT * FROM dn
+UNION ALL SELECT 'explanation-' || CAST(id AS VARCHAR), 'ExplanationArtifact', drivers FROM xai
+UNION ALL SELECT 'metrics-' || CAST(id AS VARCHAR), 'PredictionMetrics', CAST(CAST(p1 >= 0.5 AS INTEGER) AS VARCHAR) FROM scores""", SP)
+def decision_graph_nodes(spark, sf):
+    """C22 nodes of all six kinds."""
+    return _full_decision_graph(spark, sf)[0]
+
+
+@query("decision_graph_edges", f"""WITH {GOV_SQL},\n{_FULL_DG_SQL}
+SELECT * FROM de
+UNION ALL SELECT 'decision-' || CAST(id AS VARCHAR), 'explanation-' || CAST(id AS VARCHAR), 'EXPLAINED_BY' FROM xai
+UNION ALL SELECT 'decision-' || CAST(id AS VARCHAR), 'metrics-' || CAST(id AS VARCHAR), 'HAS_METRICS' FROM scores""", SP)
+def decision_graph_edges(spark, sf):
+    """C22 edges from the decisions to nodes of the five other kinds."""
+    return _full_decision_graph(spark, sf)[1]
+
+
 @query("escalation_rate", f"WITH {GOV_SQL}\nSELECT count(*) AS predictions, count(*) FILTER (WHERE final_decision = 'BLOCKED') AS blocked, "
        "round(avg(CASE WHEN final_decision = 'BLOCKED' THEN 1.0 ELSE 0.0 END) * 100, 6) AS escalation_pct FROM dec", SP)
 def escalation_rate(spark, sf):

@@ -120,6 +120,22 @@ def answer_why(spark, sf):
     return QU.answer_why(t["audit_event"], edges, decided(spark, sf))
 
 
+@query("answer_why_detail", f"""WITH {Q_SQL}
+SELECT f.client_transaction_id, f.event_type, d.final_decision, d.confidence_status, d.violations, d.policies FROM (
+    SELECT *, row_number() OVER (PARTITION BY client_transaction_id ORDER BY created_at, event_id) AS pos FROM evs) f
+  LEFT JOIN (SELECT src AS event_id, dst AS gov_id FROM edges WHERE edge_type = 'EVALUATED') g ON f.event_id = g.event_id
+  LEFT JOIN (SELECT CAST(dec.id AS VARCHAR) AS gov_id, final_decision, confidence_status, coalesce(v.attributes, '') AS violations,
+    'oversight_threshold_check,prohibited_attribute_check' AS policies
+    FROM dec LEFT JOIN (SELECT id, string_agg(attribute, ',' ORDER BY attribute) AS attributes FROM viol GROUP BY id) v ON dec.id = v.id) d
+    ON g.gov_id = d.gov_id
+  WHERE f.pos = 1""", VIEWS)
+def answer_why_detail(spark, sf):
+    """C11 in full: also the violated attributes and the policies enforced (the operator's arrays, joined)."""
+    t, edges = _parts(spark, sf)
+    a = QU.answer_why_detail(t["audit_event"], edges, decided(spark, sf))
+    return a.withColumns({c: F.array_join(c, ",") for c in ("violations", "policies")})
+
+
 @query("answer_data_hash", f"WITH {Q_SQL}\nSELECT client_transaction_id, target_id AS data_hash, 'ProcessedData' AS data_type FROM dh",
        VIEWS)
 def answer_data_hash(spark, sf):
