@@ -368,6 +368,21 @@ def test_decontamination_of_moved_halves(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, benchmark).collect()) == [2, 4]
 
 
+@pytest.mark.parametrize("item_id", [None, 7])
+def test_decontamination_with_equal_ids(spark, item_id):
+    """Items of one size and id, most of them too far from the text; and a clean and a contaminated text of one id."""
+    rng = random.Random(9)
+    docs, items = [], []
+    for d in range(6):
+        own = [f"{d}x{rng.randrange(10_000)}" for _ in range(60)]
+        docs += [(d, " ".join(own)), (d, " ".join(own[:30] + [f"{d}y{i}" for i in range(30)]))]
+        items.append((item_id, " ".join(own)))
+        items += [(item_id, " ".join(own[:48 - k] + [f"{d}z{k}_{i}" for i in range(12 + k)])) for k in range(8)]
+    rng.shuffle(items)
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_items, r.similarity) for r in got} == {d: (1, 1.0) for d in range(6)}
+
+
 def test_sharding(frame, corpus, empty):
     got = sharding.shuffled_shards(frame, 7).collect()
     assert sorted(str(r.text) for r in got) == sorted(str(t) for _, t in corpus)

@@ -91,10 +91,10 @@ def _pass(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     prints = _with_fingerprint(items, ["item_id", "number", "size"], "shingles")
     windows = _with_fingerprint(windows, ["key", "text_a", "text_b", "size", "start"], "w")
     bytes_ = lambda name: F.array(*[F.struct(F.lit(b).alias("b"), _byte(name, b).alias("v")) for b in range(8)])
-    index = prints.select("item_id", "size", F.col("print").alias("own"), F.col("shingles").alias("item"), F.explode(bytes_("print")).alias("p")).select(
-        "item_id", "size", "own", "item", F.col("p.b").alias("b"), F.explode(F.transform(F.array(*[F.lit(m) for m in MASKS]), lambda m: F.col("p.v").bitwiseXOR(m.cast("bigint")))).alias("v"))
+    index = prints.select("item_id", "number", "size", F.col("print").alias("own"), F.col("shingles").alias("item"), F.explode(bytes_("print")).alias("p")).select(
+        "item_id", "number", "size", "own", "item", F.col("p.b").alias("b"), F.explode(F.transform(F.array(*[F.lit(m) for m in MASKS]), lambda m: F.col("p.v").bitwiseXOR(m.cast("bigint")))).alias("v"))
     probes = windows.select("key", "text_a", "text_b", "size", "start", "w", "print", F.explode(bytes_("print")).alias("p")).select("key", "text_a", "text_b", "size", "start", "w", "print", F.col("p.b").alias("b"), F.col("p.v").alias("v"))
-    near = probes.join(index, ["size", "b", "v"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS).groupBy("key", "text_a", "text_b", "size", "start", "item_id").agg(F.first("w").alias("w"), F.first("item").alias("item"))
+    near = probes.join(index, ["size", "b", "v"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS).groupBy("key", "text_a", "text_b", "size", "start", "item_id", "number").agg(F.first("w").alias("w"), F.first("item").alias("item"))
     common = F.aggregate(F.array_distinct("item"), F.lit(0), lambda n, h: n + F.least(F.size(F.filter("item", lambda x: x == h)), F.size(F.filter("w", lambda x: x == h))))
     return near.withColumn("common", common).withColumn("similarity", F.col("common") / (F.size("w") + F.size("item") - F.col("common"))).where(F.col("similarity") >= SIMILARITY).select("key", "item_id", "start", "similarity")
 
@@ -104,13 +104,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (start of the first such window). Clean documents have no row.
 
     Null, empty and wordless texts and items match nothing; a text shorter than an item is one window. Documents are told apart
-    by id: rows with equal ids make one row, null ids are one document. Repeated items and null item ids count as items like any
-    other; texts are never cut. An empty table gives an empty result. Extra columns are ignored.
+    by id: rows with equal ids make one row, null ids are one document; each text among them is compared for itself. So is each item's text,
+    whatever its id; n_items counts ids, items without one as one. Texts are never cut. An empty table gives an empty result. Extra columns are ignored.
     """
     spark = docs.sparkSession
     hashes = lambda c: _once(F.transform(_words(c.cast("string")), lambda w: F.xxhash64(w))).alias("hashes")
     held = docs.select(F.col(f"`{id_col}`").alias("key"), hashes(F.col(f"`{text_col}`"))).select("key", "hashes", F.xxhash64("hashes").alias("text_a"), F.xxhash64(F.lit("b"), "hashes").alias("text_b"))
-    named = benchmark.select("item_id", hashes(F.col("text"))).withColumn("n", F.size("hashes")).where("n > 0").withColumn("number", F.xxhash64("hashes"))  # tells items without an id apart
+    named = benchmark.select("item_id", hashes(F.col("text"))).withColumn("n", F.size("hashes")).where("n > 0").withColumn("number", F.xxhash64("hashes"))  # tells items without an id, or of one id, apart
     out = None
     for width in range(1, WIDTH + 1):
         items = named.where(F.least("n", F.lit(WIDTH)) == width).select("item_id", "number", _once(_shingles(width)).alias("shingles")).withColumn("size", F.size("shingles"))
