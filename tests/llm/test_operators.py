@@ -392,3 +392,16 @@ def test_sharding(frame, corpus, empty):
     sizes = Counter(r.shard for r in got).values()
     assert max(sizes) - min(sizes) <= 1
     assert sharding.shuffled_shards(empty, 7).count() == 0
+
+
+def test_sharding_bounds_rows_and_whole_rows(spark, monkeypatch):
+    """Tables without text are spread too: one file per bucket is written."""
+    heavy = spark.range(400).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text", "repeat('x', 500) AS extra")
+    got = sharding.shuffled_shards(heavy, 4, bucket_bytes=20_000)
+    assert len(got.inputFiles()) >= 10
+    assert sorted(r.doc_id for r in got.collect()) == list(range(400))
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50, raising=False)
+    light = spark.range(400).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text")
+    got = sharding.shuffled_shards(light, 4)
+    assert len(got.inputFiles()) == 8
+    assert sorted(Counter(r.shard for r in got.collect()).values()) == [100] * 4

@@ -20,8 +20,8 @@ from vigil.session import scratch_path
 
 from . import blocks as bl
 
-#: Bytes of text that a bucket holds on average; a task shuffles one bucket in memory.
-BUCKET_BYTES = 32 << 20
+#: Bytes (of the rows as JSON) and rows that a bucket holds on average at most; a task shuffles one bucket in memory.
+BUCKET_BYTES, BUCKET_ROWS = 32 << 20, 1 << 18
 
 
 def shuffle_order(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -39,14 +39,15 @@ def shuffled_shards(docs: DataFrame, n_shards: int, seed: int = 17, text_col: st
     """All rows of docs, written in shuffled order, with shard (0 to n_shards - 1) and slot (place in the shard, gapless from 0).
 
     Sizes of the shards differ by one row at most. Nulls, empty texts and repeated rows are rows like any other. An empty
-    table gives an empty result. Input columns with the names of results are replaced.
+    table gives an empty result. Input columns with the names of results are replaced. Buckets follow the bytes of whole rows and
+    the number of rows, so text_col no longer matters.
     """
     spark = docs.sparkSession
     bl.prepare(spark)
     rest = [c for c in docs.columns if c not in ("shard", "slot")]
-    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    n_buckets = max(1, -(-total // bucket_bytes), min(bl.buckets(spark), -(-total // (1 << 20))))
     held = docs.select(F.struct(*[f"`{c}`" for c in rest]).alias("row"))
+    total, n_rows = held.agg(F.coalesce(F.sum(F.octet_length(F.to_json("row"))), F.lit(0)), F.count("*")).first()
+    n_buckets = max(1, -(-total // bucket_bytes), -(-n_rows // BUCKET_ROWS), min(bl.buckets(spark), -(-total // (1 << 20))))
     own = F.pmod(F.xxhash64(F.lit(seed), F.to_json("row")) + (F.rand(seed) * (1 << 30)).cast("long"), F.lit(n_buckets)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
