@@ -235,3 +235,14 @@ def test_decision_graph_has_all_kinds_and_why_names_causes(spark):
     d = spark.sql("SELECT 7 AS id, 'BLOCKED' AS final_decision, 'pass' AS confidence_status, array(named_struct('attribute', 'SEX'), named_struct('attribute', 'AGE')) AS violations")
     got = {r.client_transaction_id: (r.violations, r.policies) for r in QU.answer_why_detail(events, links, d).collect()}
     assert got == {"T1": (["AGE", "SEX"], ["oversight_threshold_check", "prohibited_attribute_check"]), "T2": (None, None)}
+
+
+@pytest.mark.parametrize("module, name, value", [
+    (Q, "MEDIAN_FILL_COLUMNS", ["age"]), (Q, "ZERO_FILL_PREFIXES", ("bill_amt",)), (Q, "PAY_STATUS_COLUMNS", ["pay_0"]),
+    (FE, "ENGINEERED_COLUMNS", ["utilization_rate"]), (FE, "NUMERIC_COLUMNS", ["age"]), (FE, "IMBALANCE_RATIO", 2.0), (S, "SMOTE_K", 3)])
+def test_rules_record_follows_the_preparation(monkeypatch, module, name, value):
+    from vigil.plans import fingerprint as FP
+
+    assert FP.rules() == FP.RULES
+    monkeypatch.setattr(module, name, value)
+    assert FP.rules() != FP.RULES

@@ -7,7 +7,9 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_row, row_hash
+from ..operators import features as FE
 from ..operators import quality as QU
+from ..operators import sampling as SA
 from ..operators import fingerprint as FP
 from ..operators import model as MO
 from ..sources import views
@@ -62,11 +64,20 @@ def dataset_fingerprint(spark, sf):
 
 
 # What the preparation does, from the constants that its operators run with.
-RULES = {
-    "recode": {"education": {str(k): v for k, v in QU.EDUCATION_RECODE.items()}, "marriage": {str(k): v for k, v in QU.MARRIAGE_RECODE.items()}},
-    "clip": {"columns": QU.PAY_CLIP_COLUMNS, "bounds": list(QU.PAY_CLIP)},
-    "validation_per_mille": MO.VAL_PER_MILLE,
-}
+def rules() -> dict:
+    return {
+        "recode": {"education": {str(k): v for k, v in QU.EDUCATION_RECODE.items()}, "marriage": {str(k): v for k, v in QU.MARRIAGE_RECODE.items()}},
+        "clip": {"columns": QU.PAY_CLIP_COLUMNS, "bounds": list(QU.PAY_CLIP)},
+        "impute": {"zero_prefixes": list(QU.ZERO_FILL_PREFIXES), "median": QU.MEDIAN_FILL_COLUMNS, "mode": QU.PAY_STATUS_COLUMNS},
+        "derive": {"columns": FE.ENGINEERED_COLUMNS, "months_late_of": QU.PAY_STATUS_COLUMNS, "utilization_of": list(FE.add_utilization.__defaults__)},
+        "zscore": {"columns": FE.NUMERIC_COLUMNS + FE.ENGINEERED_COLUMNS, "fitted_on": "train"},
+        "smote": {"columns": MO.FEATURES, "neighbours": SA.SMOTE_K, "above_ratio": FE.IMBALANCE_RATIO},
+        "kept": {"features": MO.FEATURES, "target": MO.TARGET},
+        "validation_per_mille": MO.VAL_PER_MILLE,
+    }
+
+
+RULES = rules()
 RULES_JSON = json.dumps(RULES, sort_keys=True, separators=(",", ":"))
 DATA_VERSION = "1.0"
 
