@@ -377,7 +377,7 @@ def test_decontamination_with_equal_ids(spark, item_id):
         own = [f"{d}x{rng.randrange(10_000)}" for _ in range(60)]
         docs += [(d, " ".join(own)), (d, " ".join(own[:30] + [f"{d}y{i}" for i in range(30)]))]
         items.append((item_id, " ".join(own)))
-        items += [(item_id, " ".join(own[:48 - k] + [f"{d}z{k}_{i}" for i in range(12 + k)])) for k in range(8)]
+        items += [(item_id, " ".join(own[:48 - k] + [f"{d}z{k}z{i}" for i in range(12 + k)])) for k in range(8)]
     rng.shuffle(items)
     got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {r.doc_id: (r.n_items, r.similarity) for r in got} == {d: (1, 1.0) for d in range(6)}
