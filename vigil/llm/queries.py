@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lattice_lm, license_scan, near_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
+from . import decontaminate, lattice_lm, license_scan, merkle_manifest, near_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.op8,
     "op9_near_dedup": near_dedup.op9,
     "op10_quality_rules": quality_rules.op10,
+    "op11_merkle_manifest": merkle_manifest.op11,
 }
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.OP4_SQL}
