@@ -38,7 +38,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered(spark):
-    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{n}" for n in (*range(1, 12), 13))
+    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{n}" for n in range(1, 14))
     con = duck(SF_SMALL)
     for name, sql in queries.ORACLE.items():
         assert not compare(queries.QUERIES[name](spark, SF_SMALL), con, sql)[0]

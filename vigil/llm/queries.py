@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lattice_lm, license_scan, merkle_manifest, near_dedup, packing, periodic_runs, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
+from . import decontaminate, lattice_lm, license_scan, line_dedup, merkle_manifest, near_dedup, packing, periodic_runs, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": near_dedup.op9,
     "op10_quality_rules": quality_rules.op10,
     "op11_merkle_manifest": merkle_manifest.op11,
+    "op12_line_dedup": line_dedup.op12,
     "op13_periodic_runs": periodic_runs.op13,
 }
-ORACLE: dict[str, str] = {"op4_url_filter": url_filter.OP4_SQL}
+ORACLE: dict[str, str] = {"op4_url_filter": url_filter.OP4_SQL, "op12_line_dedup": line_dedup.OP12_SQL}
