@@ -223,3 +223,42 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
     return prove(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"n_chars": tampered}).drop("lang")
+
+
+#: op11 in SQL: the levels of each group's tree and of the tree over groups, then every row's way up; the middle of docs is a crc32.
+OP11_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0 AS tampered
+  FROM documents),
+hashed AS (
+  SELECT r, doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen(CAST(m AS VARCHAR)) || ':' || m, '-') || tail) AS shown
+  FROM (SELECT *, CASE WHEN tampered THEN n_chars + 1 ELSE n_chars END AS m FROM docs)),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+levels AS (
+  SELECT lang, 0 AS level, pos, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM levels WHERE n > 1 GROUP BY lang, level, pos // 2),
+tops AS (SELECT lang, level AS depth, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM levels WHERE n = 1),
+over_ AS (
+  SELECT 0 AS level, pos, h, n FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM over_ WHERE n > 1 GROUP BY level, pos // 2),
+walk AS (
+  SELECT r, l.lang, 0 AS level, l.pos, depth, t.pos AS top, shown AS cur, '' AS proof FROM leaves l JOIN tops t ON l.lang IS NOT DISTINCT FROM t.lang
+  UNION ALL
+  SELECT w.r, w.lang, w.level + 1, w.pos // 2, depth, top, sha256(CASE WHEN s.h IS NULL THEN cur WHEN s.pos < w.pos THEN s.h || cur ELSE cur || s.h END), proof || coalesce(s.h, '')
+  FROM walk w LEFT JOIN levels s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.level < depth),
+up AS (
+  SELECT r, 0 AS level, top AS pos, cur, proof FROM walk WHERE level = depth
+  UNION ALL
+  SELECT w.r, w.level + 1, w.pos // 2, sha256(CASE WHEN s.h IS NULL THEN cur WHEN s.pos < w.pos THEN s.h || cur ELSE cur || s.h END), proof || coalesce(s.h, '')
+  FROM up w LEFT JOIN over_ s ON s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.level < (SELECT max(level) FROM over_))
+SELECT doc_id, leaf, t.h AS subroot, o.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = o.h AS verified
+FROM leaves l JOIN up USING (r) JOIN tops t ON l.lang IS NOT DISTINCT FROM t.lang JOIN over_ o ON o.n = 1
+WHERE up.level = o.level
+"""

@@ -23,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_line_dedup": line_dedup.op12,
     "op13_periodic_runs": periodic_runs.op13,
 }
-ORACLE: dict[str, str] = {"op4_url_filter": url_filter.OP4_SQL, "op12_line_dedup": line_dedup.OP12_SQL}
+ORACLE: dict[str, str] = {"op4_url_filter": url_filter.OP4_SQL, "op11_merkle_manifest": merkle_manifest.OP11_SQL, "op12_line_dedup": line_dedup.OP12_SQL}
