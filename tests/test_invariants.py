@@ -4,14 +4,17 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from vigil.operators import model as MO
+from vigil.operators import neighbors
 from vigil.operators.neighbors import knn
 from vigil.operators.ranking import prefix_sums, rank_in_groups
 from vigil.operators.sampling import smote
+from vigil.operators import stats
 from vigil.operators.stats import exact_median, exact_quantile_cont, kth_values
 from vigil.operators.treeshap import compile_tree, margin_batch, shap_batch, tree_table
 from vigil.sources import views
@@ -43,17 +46,98 @@ def test_exact_order_statistics(spark):
     assert kth_values(df, "x", 10, 501) == [sorted(vals)[9]]
 
 
-def test_knn_matches_brute_force(spark):
-    rng = np.random.default_rng(7)
-    pts = rng.normal(size=(60, 3))
-    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id long, a double, b double, c double")
-    got = knn(df, df, ["a", "b", "c"], 3, exclude_self=True, block=16).collect()
-    d = np.linalg.norm(pts[:, None, :] - pts[None, :, :], axis=2)
-    np.fill_diagonal(d, np.inf)
-    for r in got:
-        order = np.lexsort((np.arange(60), d[r.query_id]))
-        assert r.neighbor_id == order[r["rank"] - 1]
-        assert abs(r.distance - d[r.query_id, r.neighbor_id]) < 1e-9
+def test_selection_of_many_ranks(spark, monkeypatch):
+    """Ties, nulls, constants and several ranks of several columns together, with brackets far below the row count."""
+    monkeypatch.setattr(stats, "FINISH_ROWS", 50)
+    monkeypatch.setattr(stats, "ACCURACY", 100)
+    n = 4001
+    df = spark.range(n).select(
+        F.lit(7).alias("constant"), (F.col("id") % 2).alias("two"), ((F.col("id") * 7919) % n).cast("double").alias("spread"),
+        F.when(F.col("id") % 3 > 0, F.floor(F.sqrt(F.col("id")))).alias("holes")).repartition(5)
+    ranks = {c: [1, 2, 40, 1000, 1333, 2000, 2001, 2600] for c in ("constant", "two", "spread", "holes")}
+    got = stats.select_ranks(df, ranks)
+    rows = df.collect()
+    for c, rs in ranks.items():
+        values = sorted(r[c] for r in rows if r[c] is not None)
+        assert got[c] == {r: values[r - 1] for r in rs}
+    assert stats.exact_medians(df, ["two", "holes"])["holes"] == float(np.median([r.holes for r in rows if r.holes is not None]))
+    with pytest.raises(ValueError):
+        stats.select_ranks(df, {"spread": [n + 1]})
+
+
+def test_ties_are_never_ordered(spark, monkeypatch):
+    """Constant and two-valued columns are answered from counts: no scan collects or orders their rows."""
+    monkeypatch.setattr(stats, "FINISH_ROWS", 1000)
+    df = spark.range(200_000).select(F.lit(3.0).alias("constant"), (F.col("id") % 2).cast("double").alias("two"))
+    rounds = []
+    cut = stats._cut
+    monkeypatch.setattr(stats, "_cut", lambda frame, wanted: rounds.append(cut(frame, wanted)) or rounds[-1])
+    assert stats.exact_medians(df, ["constant", "two"]) == {"constant": 3.0, "two": 0.5}
+    assert len(rounds) == 1 and not any(isinstance(k, stats._Bracket) for k in rounds[0])
+
+
+def brute_knn(queries, refs, k, exclude_self):
+    """{query key: [(neighbour key, distance)]}, nearest first, ties by key; rows are (key, *features)."""
+    out = {}
+    for q in queries:
+        found = []
+        for r in refs:
+            if not (exclude_self and q[0] == r[0]):
+                total = 0.0
+                for a, b in zip(q[1:], r[1:]):
+                    total += (a - b) * (a - b)
+                found.append((math.sqrt(total), r[0]))
+        out[q[0]] = [(key, d) for d, key in sorted(found)[:k]]
+    return out
+
+
+def knn_rows(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.neighbor_id, r.distance))
+    return out
+
+
+def clustered(n, seed, copies=0):
+    """Points around ten centres, with ties: grid coordinates, and copies of one point."""
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(-400, 400, (10, 3))
+    points = centres[rng.integers(0, 10, n)] + rng.integers(-4, 5, (n, 3))
+    points[:copies] = points[0]
+    return [(int(i), *map(float, p)) for i, p in zip(rng.permutation(n), points)]
+
+
+@pytest.mark.parametrize("seed,k,exclude_self", [(1, 1, False), (2, 3, True), (3, 7, False), (4, 5, True)])
+def test_knn_matches_brute_force(spark, monkeypatch, seed, k, exclude_self):
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    monkeypatch.setattr(neighbors, "ROWS_PER_PIVOT", 20)
+    rows = clustered(400, seed, copies=120)
+    refs = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(3)
+    queries = refs if exclude_self else spark.createDataFrame(clustered(90, seed + 50, copies=30), refs.schema)
+    got = knn_rows(knn(queries, refs, ["a", "b", "c"], k, exclude_self=exclude_self))
+    assert got == brute_knn(sorted(map(tuple, queries.collect())), rows, k, exclude_self)
+
+
+def test_knn_small_sides(spark):
+    kinds = "id long, a double"
+    one, none = spark.createDataFrame([(1, 2.0)], kinds), spark.createDataFrame([], kinds)
+    few = spark.createDataFrame([(1, 2.0), (2, None), (3, float("nan")), (4, 5.0)], kinds)
+    assert knn(one, none, ["a"], 3).count() == knn(none, one, ["a"], 3).count() == knn(one, one, ["a"], 3, exclude_self=True).count() == 0
+    assert knn_rows(knn(few, few, ["a"], 3)) == {1: [(1, 0.0), (4, 3.0)], 4: [(4, 0.0), (1, 3.0)]}
+
+
+def test_knn_prunes(spark, monkeypatch):
+    """On clustered rows the ring visits grow with the rows, not with their square."""
+    monkeypatch.setattr(neighbors, "BLOCK", 32)
+    monkeypatch.setattr(neighbors, "ROWS_PER_PIVOT", 32)
+    visits = {}
+    for n in (1000, 4000):
+        df = spark.createDataFrame(clustered(n, 8), "id long, a double, b double, c double")
+        counter = []
+        knn(df, df, ["a", "b", "c"], 3, exclude_self=True, counter=counter).count()
+        visits[n] = counter[0]
+        assert counter[0] < n * counter[1] / 4
+    assert visits[4000] < 8 * visits[1000]
 
 
 def test_smote_parity_ids_and_bounds(spark):

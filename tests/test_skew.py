@@ -80,3 +80,25 @@ def test_as_of_burst_at_one_time(spark):
     for fid, ts in [(r.fid, r.ts) for r in facts.collect()]:
         cands = [e for e in ev if e[0] <= ts]
         assert got[fid] == (max(cands)[1] if cands else None)
+
+
+def test_copies_of_one_row_spread(spark):
+    """One minority row that becomes a million: blocks of copies are dealt out over the tasks."""
+    from vigil.operators.sampling import COPY_BLOCK, repeat_rows, upsample
+    one = spark.createDataFrame([(7, 1, "x")], "id long, y int, z string")
+    out = repeat_rows(one, F.lit(1_000_000), 1_000_000)
+    per_task = out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in per_task) == 1_000_000 and len(per_task) >= 4 and max(r.n for r in per_task) < 500_000
+    assert out.agg(F.min("copy"), F.max("copy"), F.count_distinct("copy")).first() == (1, 1_000_000, 1_000_000)
+    assert [r.copy for r in repeat_rows(one, F.lit(0), 0).collect()] == []
+    major = spark.range(100, 100 + 3 * COPY_BLOCK + 1).select("id", F.lit(0).alias("y"), F.lit("m").alias("z"))
+    counts = {r.y: r["count"] for r in upsample(one.unionByName(major), "y").groupBy("y").count().collect()}
+    assert counts == {0: 3 * COPY_BLOCK + 1, 1: 3 * COPY_BLOCK + 1}
+
+
+def test_smote_need_below_the_minority(spark):
+    """Fewer new rows than minority rows: only so many rows are copied."""
+    from vigil.operators.sampling import smote
+    df = spark.range(25).select("id", (F.col("id") * 7 % 25).cast("double").alias("a"), F.when(F.col("id") < 10, 1).otherwise(0).alias("y"))
+    counts = {r.y: r["count"] for r in smote(df, "y", ["a"], k=3).groupBy("y").count().collect()}
+    assert counts == {0: 15, 1: 15}

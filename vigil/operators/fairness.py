@@ -94,9 +94,9 @@ def psi(baseline: DataFrame, current: DataFrame, value: str) -> DataFrame:
 
     Cuts are the exact values of rank ceil(i n / 10); equal cuts make one bin. An empty baseline has no cuts.
     """
-    from .stats import kth_values
+    from .stats import select_ranks
     n = baseline.where(F.col(value).isNotNull()).count()
-    cuts = sorted({kth_values(baseline, value, -(-i * n // DRIFT_BINS), n)[0] for i in range(1, DRIFT_BINS)}) if n else []
+    cuts = sorted(set(select_ranks(baseline, {value: [-(-i * n // DRIFT_BINS) for i in range(1, DRIFT_BINS)]}, {value: n})[value].values())) if n else []
 
     def dist(df, name):
         b = sum([(F.col(value) > F.lit(c)).cast("int") for c in cuts], F.lit(0))

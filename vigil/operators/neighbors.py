@@ -1,12 +1,17 @@
-"""Exact k-nearest neighbours (Euclidean) as a blocked nested loop.
-
-Query and reference rows are packed into blocks of at most about ``BLOCK``
-rows (by hash of the key). Every query block meets every reference block
-through an equi-join on an exploded block id, so each task holds two bounded
-blocks; numpy computes the block's distance matrix and keeps the k best per
-query row. A final ``row_number() <= k`` per query (with a partial
-WindowGroupLimit before its shuffle) merges the per-block candidates. The
-work is the exact O(n_q x n_r) distance count; no row pairs are materialised.
+"""Exact k-nearest neighbours (Euclidean) over pivot cells, pruned by the triangle inequality.
+
+Reference rows are dealt to the cell of their nearest pivot (a bounded sample of
+the rows) and, within a cell, to rings of at most ``BLOCK`` rows by their
+distance from it. A query row first meets the ring of its own cell that it
+would lie in; its k-th distance there (or the bound that the cells' least
+radii give, where that is lower) is how far it has to look. Then it goes only
+to the cells, and in them to the rings, whose distance from the pivot the
+triangle inequality doesn't rule out.
+
+Queries of a ring come in chunks of about ``BLOCK`` rows, so a task holds
+two bounded blocks, however many queries a ring has. A final ``row_number() <=
+k`` per query (with a partial WindowGroupLimit before its shuffle) merges the
+candidates. Row pairs are never materialised.
 """
 
 from __future__ import annotations
@@ -14,56 +19,163 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 4096
+from ..session import checkpoint_dir
+from .ranking import rank_in_groups
+
+BLOCK = 1024
+#: Pivots: one for about so many reference rows, and at most so many, as every task holds them.
+ROWS_PER_PIVOT, MAX_PIVOTS = 64, 4096
+#: Relative room for rounding in the bounds; too much only costs time.
+SLACK = 1e-9
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances between the rows of a and b, summed feature by feature, so that equal differences give equal distances."""
+    out = np.zeros((len(a), len(b)))
+    for f in range(a.shape[1]):
+        d = a[:, f][:, None] - b[:, f][None, :]
+        out += d * d
+    return np.sqrt(out)
+
+
+def _points(df: DataFrame, key: str, features) -> DataFrame:
+    """k and v; rows with a null or NaN feature have no distance and are left out."""
+    out = df.select(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features]).alias("v"))
+    return out.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+
+
+def _least_keys(points: DataFrame, n: int) -> DataFrame:
+    """Of rows at the same point only the n least keys can be neighbours (a partial WindowGroupLimit runs before the shuffle)."""
+    w = Window.partitionBy("v").orderBy("k")
+    return points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(values.flatten(), dtype=float).reshape(-1, width)
+
+
+def choose_pivots(refs: DataFrame, n: int) -> np.ndarray:
+    """At most MAX_PIVOTS different rows, those of the least hash of the key."""
+    wanted = min(MAX_PIVOTS, max(1, n // ROWS_PER_PIVOT))
+    rows = refs.orderBy(F.xxhash64("k"), "k").limit(wanted).collect()
+    return np.unique(np.array([r["v"] for r in rows], dtype=float), axis=0)
+
+
+def assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """k, v, cell (nearest pivot, the first on ties) and radius (its distance)."""
+    kind = T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
+    width = pivots.shape[1]
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                d = distances(_matrix(part.column("v"), width), pivots)
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("v"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])], names=["k", "v", "cell", "radius"])
+
+    return points.mapInArrow(run, kind)
+
+
+def _rings(assigned: DataFrame) -> DataFrame:
+    """Packed blocks: cell, ring, the rows, least and greatest radius and count."""
+    ranked = rank_in_groups(assigned, ["cell"], ["radius", "k"], rank_col="_r")
+    ring = F.expr(f"cast((_r - 1) div {BLOCK} as int)")
+    return ranked.groupBy("cell", ring.alias("ring")).agg(
+        F.collect_list(F.struct("radius", "k", "v")).alias("rows"), F.min("radius").alias("least"), F.max("radius").alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+def _visit(wanted: DataFrame, rings: DataFrame, key_type, width: int, k: int, exclude_self: bool) -> DataFrame:
+    """Candidates of (k, v, cell, ring) rows: the k best of the ring for each."""
+    # one row per ring: chunks of its queries; each chunk gets a copy of the ring
+    chunks = wanted.groupBy("cell", "ring").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("chunks"))
+    left = wanted.join(chunks, ["cell", "ring"]).withColumn("chunk", F.pmod(F.xxhash64("k"), "chunks").cast("int"))
+    right = rings.select("cell", "ring", "rows").join(chunks, ["cell", "ring"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    out = T.StructType([T.StructField("query_id", key_type), T.StructField("neighbor_id", key_type), T.StructField("distance", T.DoubleType())])
+
+    def best(queries: pa.Table, ring: pa.Table) -> pa.Table:
+        rows = ring.column("rows").combine_chunks().flatten() if ring.num_rows else None
+        if rows is None or not queries.num_rows:
+            return pa.table({"query_id": queries.column("k").slice(0, 0), "neighbor_id": queries.column("k").slice(0, 0), "distance": pa.array([], pa.float64())})
+        ids, own = np.array(rows.field("k").to_pylist()), queries.column("k").to_pylist()
+        d = distances(_matrix(queries.column("v"), width), _matrix(rows.field("v"), width))
+        if exclude_self:
+            d[np.array(own)[:, None] == ids[None, :]] = np.inf
+        order = np.argsort(ids, kind="stable")
+        d, ids = d[:, order], ids[order]
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]  # ties by id
+        far = np.take_along_axis(d, near, axis=1)
+        real = np.isfinite(far)
+        which = np.repeat(np.arange(len(own)), near.shape[1])[real.reshape(-1)]
+        return pa.table({"query_id": queries.column("k").combine_chunks().take(pa.array(which)), "neighbor_id": rows.field("k").take(pa.array(order[near[real]])), "distance": pa.array(far[real])})
+
+    right = right.select(F.col("cell").alias("r_cell"), F.col("ring").alias("r_ring"), F.col("chunk").alias("r_chunk"), "rows")
+    return left.select("cell", "ring", "chunk", "k", "v").groupBy("cell", "ring", "chunk").cogroup(right.groupBy("r_cell", "r_ring", "r_chunk")).applyInArrow(best, out)
+
+
+def _reach(queries: DataFrame, pivots: np.ndarray, cells: dict, k: int) -> DataFrame:
+    """For queries (k, v, seen): the cells to look at, as k, v, cell, away (distance from the cell's pivot) and far (how far to look)."""
+    width = pivots.shape[1]
+    ids = np.array(sorted(cells), np.int32)
+    least, most = (np.array([cells[i][f] for i in ids]) for f in ("least", "most"))
+    near = np.full((len(ids), k), np.inf)
+    for at, i in enumerate(ids):
+        near[at, :len(cells[i]["near"])] = cells[i]["near"]
+    kind = T.StructType([f for f in queries.schema.fields if f.name != "seen"] + [T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType()), T.StructField("far", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                away = distances(_matrix(part.column("v"), width), pivots[ids])
+                # the k rows nearest to each pivot are no farther than by way of it
+                bound = np.partition((away[:, :, None] + near[None]).reshape(part.num_rows, -1), k - 1, axis=1)[:, k - 1]
+                seen = np.nan_to_num(part.column("seen").to_numpy(zero_copy_only=False).astype(float), nan=np.inf)
+                far = np.minimum(bound, seen)
+                room = SLACK * (1 + away + most[None])
+                row, at = np.nonzero(np.maximum(away - most[None], least[None] - away) <= far[:, None] + room)
+                yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(row)), part.column("v").take(pa.array(row)), pa.array(ids[at]), pa.array(away[row, at]), pa.array(far[row])], names=kind.names)
 
+    return queries.mapInArrow(run, kind)
 
-def _pack(df: DataFrame, key: str, features, nblocks: int, prefix: str) -> DataFrame:
-    vec = F.array(*[F.col(c).cast("double") for c in features])
-    b = F.pmod(F.xxhash64(F.col(key)), F.lit(nblocks)).cast("int")
-    return df.select(b.alias(f"{prefix}b"), F.struct(F.col(key).alias("k"), vec.alias("v")).alias("r")).groupBy(
-        f"{prefix}b").agg(F.collect_list("r").alias(f"{prefix}rows"))
 
+def knn(queries: DataFrame, refs: DataFrame, features, k: int, key: str = "id", exclude_self: bool = False, counter: list | None = None) -> DataFrame:
+    """(query_id, neighbor_id, distance, rank) with rank 1..k per query row, ties by the neighbour's key.
 
-def knn(queries: DataFrame, refs: DataFrame, features, k: int, key: str = "id", exclude_self: bool = False,
-        block: int = BLOCK) -> DataFrame:
-    """(query_id, neighbor_id, distance, rank) with rank 1..k per query row."""
-    nq = max(1, math.ceil(queries.count() / block))
-    nr = max(1, math.ceil(refs.count() / block))
-    qp = _pack(queries, key, features, nq, "q")
-    rp = _pack(refs, key, features, nr, "r")
-    pairs = qp.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).join(rp, "rb")
+    ``counter`` gets the number of (query, ring) visits and of rings, for tests and reports. An empty side gives no rows.
+    """
+    checkpoint_dir(queries.sparkSession)
     key_type = queries.schema[key].dataType
-    out_schema = T.StructType([T.StructField("query_id", key_type), T.StructField("neighbor_id", key_type),
-                               T.StructField("distance", T.DoubleType())])
-
-    def block_knn(batches):
-        import pandas as pd
-        for pdf in batches:
-            outs = []
-            for qrows, rrows in zip(pdf["qrows"], pdf["rrows"]):
-                qk = np.array([r["k"] for r in qrows])
-                qv = np.array([r["v"] for r in qrows], dtype=float)
-                rk = np.array([r["k"] for r in rrows])
-                rv = np.array([r["v"] for r in rrows], dtype=float)
-                d2 = (qv * qv).sum(1)[:, None] + (rv * rv).sum(1)[None, :] - 2 * qv @ rv.T
-                d2 = np.maximum(d2, 0.0)
-                if exclude_self:
-                    d2[qk[:, None] == rk[None, :]] = np.inf
-                kk = min(k, d2.shape[1])
-                idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < d2.shape[1] else \
-                    np.tile(np.arange(d2.shape[1]), (d2.shape[0], 1))
-                dist = np.take_along_axis(d2, idx, axis=1)
-                ok = np.isfinite(dist)
-                outs.append(pd.DataFrame({"query_id": np.repeat(qk, idx.shape[1])[ok.reshape(-1)],
-                                          "neighbor_id": rk[idx].reshape(-1)[ok.reshape(-1)],
-                                          "distance": np.sqrt(dist.reshape(-1)[ok.reshape(-1)])}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    cand = pairs.select("qrows", "rrows").mapInPandas(block_knn, out_schema)
+    features = list(features)
+    spare = 1 if exclude_self else 0  # a query may meet itself among the nearest
+    refs, queries = _least_keys(_points(refs, key, features), k + spare).checkpoint(), _points(queries, key, features)
+    n = refs.count()
+    pivots = choose_pivots(refs, n) if n else np.zeros((1, len(features)))
+    rings = _rings(assign(refs, pivots)).checkpoint()
+    # one row per cell, so at most MAX_PIVOTS: extent, and the least radii
+    radii = F.slice(F.transform(F.array_sort("rows"), lambda r: r["radius"]), 1, k + spare)
+    extent = {r["cell"]: {"least": r["least"], "most": r["most"], "near": r["near"]} for r in rings.groupBy("cell").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.min_by(radii, "ring").alias("near")).collect()}
+    home = assign(queries, pivots)
+    spans = rings.select("cell", "ring", "least", "most")
+    after = F.lead("least").over(Window.partitionBy("cell").orderBy("ring"))
+    spans = spans.withColumn("_from", F.when(F.col("ring") == 0, F.lit(-math.inf)).otherwise(F.col("least"))).withColumn("_to", F.coalesce(after, F.lit(math.inf))).checkpoint()
+    first = home.join(spans, "cell").where("radius >= _from and radius < _to").select("k", "v", "cell", "ring").checkpoint()
+    found = _visit(first, rings, key_type, len(features), k, exclude_self).checkpoint()
+    seen = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("seen"))
+    known = first.join(seen, F.col("k") == F.col("query_id"), "left").select("k", "v", "seen")
+    reach = _reach(known, pivots, extent, k + spare) if extent else known.select("k", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("away"), F.lit(0.0).alias("far")).limit(0)
+    room = F.lit(SLACK) * (F.lit(1.0) + F.col("away") + F.col("most"))
+    wanted = reach.join(spans.select("cell", "ring", "least", "most"), "cell").where((F.col("away") - F.col("most") <= F.col("far") + room) & (F.col("least") - F.col("away") <= F.col("far") + room))
+    wanted = wanted.select("k", "v", "cell", "ring").join(first.select("k", "cell", "ring"), ["k", "cell", "ring"], "left_anti").checkpoint()
+    if counter is not None:
+        counter += [first.count() + wanted.count(), rings.count()]
+    cand = found.unionByName(_visit(wanted, rings, key_type, len(features), k, exclude_self))
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip_keep_null, recode
-from .stats import exact_median, non_null_counts
+from .stats import exact_medians
 
 # Recoding rules of the categorical columns (fixed values).
 EDUCATION_RECODE = {5: 4, 6: 4, 0: 4}
@@ -151,12 +151,9 @@ def impute_zero(df: DataFrame, columns=None) -> DataFrame:
 
 
 def fit_median(df: DataFrame, columns=MEDIAN_FILL_COLUMNS) -> dict:
-    """M3 fit: exact median per column (bounded-memory selection)."""
+    """M3 fit: exact median per column (bounded-memory selection, all columns in the same scans)."""
     cols = present(df, columns)
-    if not cols:
-        return {}
-    counts = non_null_counts(df, cols)
-    return {c: exact_median(df, c, counts[c]) for c in cols}
+    return exact_medians(df, cols) if cols else {}
 
 
 def fit_mode(df: DataFrame, columns=PAY_STATUS_COLUMNS) -> dict:

@@ -58,6 +58,25 @@ def class_counts(df: DataFrame, target: str) -> dict:
     return {r[0]: r[1] for r in df.groupBy(target).count().collect()}
 
 
+#: Copies that one row makes in one task at most.
+COPY_BLOCK = 1000
+
+
+def repeat_rows(df: DataFrame, copies, most: int, out: str = "copy") -> DataFrame:
+    """Each row ``copies`` times (none for 0), numbered from 1 in ``out``; ``most`` is the largest number of copies.
+
+    A row with many copies first becomes blocks of COPY_BLOCK numbers, which are dealt out over the tasks, and only
+    there the copies themselves.
+    """
+    counted = df.withColumn("_copies", copies).where(F.col("_copies") > 0)
+    if most <= COPY_BLOCK:
+        return counted.withColumn(out, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies").cast("bigint")))).drop("_copies")
+    blocks = counted.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {COPY_BLOCK})")))
+    dealt = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*[F.col(c) for c in df.columns], "_block"))
+    first = F.col("_block") * COPY_BLOCK
+    return dealt.withColumn(out, F.explode(F.sequence(first + 1, F.least(first + COPY_BLOCK, F.col("_copies").cast("bigint"))))).drop("_copies", "_block")
+
+
 def upsample(df: DataFrame, target: str, key="id") -> DataFrame:
     """Duplicate minority rows (round-robin in hash order) until classes are equal.
 
@@ -66,15 +85,15 @@ def upsample(df: DataFrame, target: str, key="id") -> DataFrame:
     counts = class_counts(df, target)
     major = max(counts, key=lambda c: (counts[c], c))
     n_major = counts[major]
-    parts = [df.where(F.col(target) == F.lit(major)).withColumn("copy", F.lit(1))]
+    parts = [df.where(F.col(target) == F.lit(major)).withColumn("copy", F.lit(1).cast("bigint"))]
     for cls, n in counts.items():
         if cls == major:
             continue
         sub = df.where(F.col(target) == F.lit(cls))
         ranked = rank_in_groups(sub, [target], hash_order(key), rank_col="_r")
         base, extra = divmod(n_major, n)
-        copies = F.lit(base) + F.when(F.col("_r") <= extra, 1).otherwise(0)
-        parts.append(ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("_r"))
+        copies = F.lit(base).cast("bigint") + F.when(F.col("_r") <= extra, 1).otherwise(0)
+        parts.append(repeat_rows(ranked, copies, base + 1).drop("_r"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -131,8 +150,8 @@ def smote(df: DataFrame, target: str, features, key: str = "id", k: int = SMOTE_
         nn = knn(minor, minor, features, k, key, exclude_self=True)
     base = rank_in_groups(minor.withColumn("_g", F.lit(0)), ["_g"], hash_order(key), rank_col="_r").drop("_g")
     per, extra = divmod(need, n_min)
-    copies = F.lit(per) + F.when(F.col("_r") <= extra, 1).otherwise(0)
-    reps = base.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).where(F.col("copy") >= 1)
+    copies = F.lit(per).cast("bigint") + F.when(F.col("_r") <= extra, 1).otherwise(0)
+    reps = repeat_rows(base, copies, per + 1)
     reps = reps.withColumn("_nn_rank", (F.conv(F.substring(F.sha2(F.concat(F.col(key).cast("string"), F.lit("#"),
                                                                              F.col("copy").cast("string")), 256), 1, 8),
                                                 16, 10).cast("bigint") % kk + 1).cast("int"))

@@ -2,54 +2,126 @@
 
 Spark's exact ``percentile``/``median`` aggregate merges a value->count map
 in one task, which is unbounded for a column with many distinct values. Here
-the k-th smallest value is found by narrowing a value bracket with
-``percentile_approx`` (a fixed-size sketch per task) and exact counts, until
-the bracket holds few enough rows to order them directly (a TakeOrdered of
-at most ``FINISH_ROWS`` rows). Each round is one scan; the bracket shrinks by
-about ``ACCURACY / 8`` per round, so 10^12 rows need three rounds.
+all ranks of all columns are found together by narrowing open brackets: one
+aggregate takes two cuts near every rank from ``percentile_approx`` (a
+fixed-size sketch per task), a second counts the values below, at and between
+the cuts. A rank that falls on a cut is answered by its count, so a bracket
+loses its cuts' ties in every round whatever the sketch says, and a constant
+column is done after one round. Brackets of at most ``FINISH_ROWS`` rows are
+finished together by their values' counts. Each round is two scans and leaves
+about ``8 / ACCURACY`` of a bracket's rows, so 10^12 rows need three rounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FINISH_ROWS = 100_000
 ACCURACY = 20_000
 
 
-def _bracket(df: DataFrame, c: str, lo, hi) -> DataFrame:
-    x = F.col(c)
-    cond = x.isNotNull()
-    if lo is not None:
-        cond = cond & (x >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (x <= F.lit(hi))
-    return df.where(cond).select(c)
+@dataclass(frozen=True)
+class _Bracket:
+    """The values of a column strictly between lo and hi (None: no bound), ``before`` of them at or below lo."""
+
+    column: str
+    lo: object
+    hi: object
+    before: int
+    inside: int
+
+    def holds(self) -> Column:
+        x = F.col(self.column)
+        cond = x.isNotNull()
+        if self.lo is not None:
+            cond = cond & (x > F.lit(self.lo))
+        if self.hi is not None:
+            cond = cond & (x < F.lit(self.hi))
+        return cond
+
+
+def _cut(df: DataFrame, wanted: dict) -> dict:
+    """One round: {bracket: ranks} -> {bracket: ranks} or, under the column's name and rank, a found value."""
+    brackets = list(wanted)
+    delta = 4.0 / ACCURACY
+    sketches = []
+    for i, b in enumerate(brackets):
+        near = sorted({min(1.0, max(0.0, (r - b.before - 1) / b.inside + d)) for r in wanted[b] for d in (-delta, delta)})
+        sketches.append(F.percentile_approx(F.when(b.holds(), F.col(b.column)), near, ACCURACY).alias(f"s{i}"))
+    sketch = df.agg(*sketches).first()
+    cuts = [sorted(set(sketch[f"s{i}"])) for i in range(len(brackets))]
+    counts = []
+    for i, b in enumerate(brackets):
+        x = F.col(b.column)
+        for j, c in enumerate(cuts[i]):
+            counts += [F.count_if(b.holds() & (x < F.lit(c))).alias(f"l{i}_{j}"), F.count_if(x == F.lit(c)).alias(f"e{i}_{j}")]
+    n = df.agg(*counts).first()
+    out: dict = {}
+    for i, b in enumerate(brackets):
+        edges = [(c, b.before + n[f"l{i}_{j}"], n[f"e{i}_{j}"]) for j, c in enumerate(cuts[i])]
+        for r in wanted[b]:
+            lo, hi, start, stop = b.lo, b.hi, b.before, b.before + b.inside
+            for c, below, ties in edges:
+                if r <= below:
+                    hi, stop = c, below
+                    break
+                if r <= below + ties:
+                    out[b.column, r] = c
+                    break
+                lo, start = c, below + ties
+            if (b.column, r) not in out:
+                out.setdefault(_Bracket(b.column, lo, hi, start, stop - start), []).append(r)
+    return out
+
+
+def select_ranks(df: DataFrame, ranks: dict, counts: dict | None = None) -> dict:
+    """{column: {rank: value}} for {column: 1-based ranks} among the non-null values (``counts`` of them)."""
+    ranks = {c: sorted(set(rs)) for c, rs in ranks.items() if rs}
+    if not ranks:
+        return {}
+    counts = counts or non_null_counts(df, list(ranks))
+    for c, rs in ranks.items():
+        if not 1 <= rs[0] <= rs[-1] <= counts[c]:
+            raise ValueError(f"ranks {rs} of {c} outside 1..{counts[c]}")
+    df = df.select(*ranks)
+    found: dict = {c: {} for c in ranks}
+    open_ = {_Bracket(c, None, None, 0, counts[c]): rs for c, rs in ranks.items()}
+    while True:
+        large = {b: rs for b, rs in open_.items() if b.inside > FINISH_ROWS}
+        if not large:
+            break
+        open_ = {b: rs for b, rs in open_.items() if b.inside <= FINISH_ROWS}
+        for key, value in _cut(df, large).items():
+            if isinstance(key, _Bracket):
+                open_[key] = value
+            else:
+                found[key[0]][key[1]] = value
+    # brackets of one column don't overlap; at most FINISH_ROWS rows each, one row per distinct value
+    for c in ranks:
+        mine = [b for b in open_ if b.column == c]
+        if mine:
+            inside = mine[0].holds()
+            for b in mine[1:]:
+                inside = inside | b.holds()
+            seen = sorted((r[0], r[1]) for r in df.where(inside).groupBy(c).count().collect())
+            for b in mine:
+                at, left = b.before, list(open_[b])
+                for value, n in seen:
+                    if (b.lo is None or value > b.lo) and (b.hi is None or value < b.hi):
+                        at += n
+                        while left and left[0] <= at:
+                            found[c][left.pop(0)] = value
+    return found
 
 
 def kth_values(df: DataFrame, c: str, k: int, n: int, count: int = 1) -> list:
     """Values of rank k .. k+count-1 (1-based) among the n non-null values of ``c``."""
-    if not 1 <= k <= n:
-        raise ValueError(f"rank {k} outside 1..{n}")
-    count = min(count, n - k + 1)
-    lo = hi = None
-    m, r = n, k
-    while m > FINISH_ROWS:
-        sub = _bracket(df, c, lo, hi)
-        delta = 4.0 / ACCURACY
-        qs = [max(0.0, (r - 1) / m - delta), min(1.0, (r + count - 1) / m + delta)]
-        new_lo, new_hi = sub.agg(F.percentile_approx(c, qs, ACCURACY)).first()[0]
-        x = F.col(c)
-        lt, inside = sub.agg(F.count_if(x < F.lit(new_lo)),
-                             F.count_if((x >= F.lit(new_lo)) & (x <= F.lit(new_hi)))).first()
-        if not (lt < r and r + count - 1 <= lt + inside) or inside >= m:
-            break  # the sketch missed its bound: finish on the current bracket
-        lo, hi, m, r = new_lo, new_hi, inside, r - lt
-        if lo == hi:  # all that is left ties: the ranks asked for hold this value
-            return [lo] * count
-    sub = _bracket(df, c, lo, hi)
-    return [row[0] for row in sub.orderBy(F.col(c).asc()).offset(r - 1).limit(count).collect()]
+    ranks = range(k, min(k + count, n + 1)) if k <= n else [k]
+    values = select_ranks(df, {c: ranks}, {c: n})[c]
+    return [values[r] for r in ranks]
 
 
 def non_null_counts(df: DataFrame, columns) -> dict:
@@ -57,16 +129,17 @@ def non_null_counts(df: DataFrame, columns) -> dict:
     return {c: row[c] for c in columns}
 
 
-def exact_median(df: DataFrame, c: str, n: int | None = None):
-    """Median as interpolated by DuckDB/pandas: mean of the two middle values."""
-    if n is None:
-        n = non_null_counts(df, [c])[c]
-    if n == 0:
-        return None
-    if n % 2 == 1:
-        return float(kth_values(df, c, (n + 1) // 2, n)[0])
-    a, b = kth_values(df, c, n // 2, n, count=2)
-    return (float(a) + float(b)) / 2.0
+def exact_medians(df: DataFrame, columns) -> dict:
+    """Median of every column, as interpolated by DuckDB/pandas (mean of the two middle values); None without values."""
+    counts = non_null_counts(df, columns)
+    ranks = {c: [(n + 1) // 2, n // 2 + 1] for c, n in counts.items() if n}
+    values = select_ranks(df, ranks, counts)
+    return {c: (float(values[c][ranks[c][0]]) + float(values[c][ranks[c][1]])) / 2.0 if c in ranks else None for c in columns}
+
+
+def exact_median(df: DataFrame, c: str):
+    """Median of one column."""
+    return exact_medians(df, [c])[c]
 
 
 def exact_quantile_cont(df: DataFrame, c: str, p: float, n: int | None = None):

@@ -183,7 +183,7 @@ SELECT id, y AS default_payment_next_month, CAST(unnest(range(1, k + 1)) AS INT)
 def upsample(spark, sf):
     """Minority rows copied round-robin until the classes are equal."""
     acc = views.accounts(spark, sf).select("id", FE.TARGET)
-    return S.upsample(acc, FE.TARGET).select("id", FE.TARGET, "copy")
+    return S.upsample(acc, FE.TARGET).select("id", FE.TARGET, F.col("copy").cast("int").alias("copy"))
 
 
 @query("downsample", f"""SELECT id, default_payment_next_month FROM (

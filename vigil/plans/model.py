@@ -7,14 +7,17 @@ import uuid
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from ..operators import features as FE
 from ..operators import labels as L
 from ..operators import model as MO
 from ..operators import training as TR
 from ..operators.metrics import classification_metrics
 from ..session import scratch_path
 from ..sources import views
+from .assurance import featured
 from .labels import segments
 from .registry import query
+from .sqlparts import FEATURE_CHAIN, SCALED, ZFIT, hash_bucket
 
 SA = ("scores", "accounts")
 _CACHE = {}
@@ -149,6 +152,55 @@ def smote(spark, sf):
     return oversample(fr.drop("split"), MO.TARGET, MO.FEATURES)
 
 
+@query("smote_counts", f"""WITH t AS (SELECT id, default_payment_next_month AS y FROM accounts WHERE {hash_bucket('id')} >= {MO.VAL_PER_MILLE}),
+c AS (SELECT y, count(*) AS n FROM t GROUP BY y),
+m AS (SELECT arg_min(y, n * 10 + y) AS y, max(n) - min(n) AS need FROM c)
+SELECT y AS label, false AS synthetic, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM t GROUP BY y
+UNION ALL SELECT y, true, need, (SELECT max(id) FROM t) + 1, (SELECT max(id) FROM t) + need FROM m WHERE need > 0""", ("accounts",))
+def smote_counts(spark, sf):
+    """Rows and ids of each class after balancing: equal counts, new ids after the largest."""
+    return smote(spark, sf).groupBy(F.col(MO.TARGET).alias("label"), "synthetic").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def _steps(spark, sf):
+    """Features in whole thousandths of a deviation (categories in thousands), so that distances are exact in any engine."""
+    df = featured(spark, sf)
+    z = FE.zscore_transform(df, FE.zscore_fit(df))
+    step = lambda c: F.round(F.col(c).cast("double") * 1000).cast("bigint")
+    return z.select("id", *[F.coalesce(step(c), F.lit(0)).alias(c) for c in MO.FEATURES])
+
+
+def _steps_sql(c):
+    if c not in SCALED:
+        return f"coalesce(CAST(round(CAST({c} AS DOUBLE) * 1000) AS BIGINT), 0) AS {c}"
+    z = f"({c} - (SELECT mean FROM zfit WHERE column_name = '{c}')) / nullif((SELECT std FROM zfit WHERE column_name = '{c}'), 0)"
+    return f"coalesce(CAST(round({z} * 1000) AS BIGINT), 0) AS {c}"
+
+
+_SQUARES = " + ".join(f"(q.{c} - r.{c}) * (q.{c} - r.{c})" for c in MO.FEATURES)
+_CHANGED = " + ".join(f"CAST(q.{c} <> r.{c} AS INTEGER)" for c in MO.FEATURES)
+
+
+@query("stored_counterfactual", f"""{FEATURE_CHAIN},
+{ZFIT},
+x AS (SELECT id, {", ".join(_steps_sql(c) for c in MO.FEATURES)} FROM feat),
+s AS (SELECT x.*, p1 >= 0.5 AS positive FROM x JOIN scores USING (id)),
+d AS (SELECT q.id, r.id AS neighbor_id, {_SQUARES} AS d2, {_CHANGED} AS changed FROM s q JOIN s r ON q.positive AND NOT r.positive)
+SELECT id, neighbor_id, round(sqrt(CAST(d2 AS DOUBLE)) / 1000, 9) AS distance, changed
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, neighbor_id) AS rn FROM d) WHERE rn = 1""", SA)
+def stored_counterfactual(spark, sf):
+    """R11 on stored scores: for every account scored 0.5 or more, the nearest account scored below, and how many features differ."""
+    from ..operators.neighbors import knn
+    scored = _steps(spark, sf).join(views.scores(spark, sf).select("id", (F.col("p1") >= 0.5).alias("positive")), "id").checkpoint()
+    pos, neg = scored.where("positive"), scored.where("not positive")
+    nn = knn(pos, neg, MO.FEATURES, 1).select(F.col("query_id").alias("id"), "neighbor_id", F.round(F.col("distance") / 1000, 9).alias("distance"))
+    a = pos.select("id", F.array(*MO.FEATURES).alias("a"))
+    b = neg.select(F.col("id").alias("neighbor_id"), F.array(*MO.FEATURES).alias("b"))
+    changed = F.size(F.filter(F.arrays_zip("a", "b"), lambda p: p["a"] != p["b"]))
+    return nn.join(a, "id").join(b, "neighbor_id").select("id", "neighbor_id", "distance", changed.alias("changed"))
+
+
 @query("nearest_counterfactual")
 def nearest_counterfactual(spark, sf):
     """For every account predicted to default, the nearest account predicted not to, and what differs."""
