@@ -7,6 +7,9 @@ probabilities leave the vector through ``vector_to_array``.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from . import features as FE
 from . import quality as Q
 from .metrics import classification_metrics
+from .preparation import VAL_PER_MILLE, AccountPreparation, AccountPreparationModel
 from .sampling import hash_split
 
 TARGET = FE.TARGET
@@ -27,21 +31,22 @@ FEATURES = (["limit_bal", "sex", "education", "marriage", "age"] + Q.PAY_STATUS_
 # Boosting settings of the reference runs (fixed values).
 GBT_PARAMS = dict(stepSize=0.05, maxIter=200, maxDepth=3, subsamplingRate=0.9, seed=42)
 FOREST_PARAMS = dict(numTrees=100, seed=42)
-VAL_PER_MILLE = 125
 
 
-def model_frame(accounts: DataFrame, fit_on: str = "train") -> DataFrame:
-    """L14 preparation: clean -> features -> split -> z-scale (fitted on ``fit_on`` rows).
+def model_frame(accounts: DataFrame, fit_on: str = "train", preparation: AccountPreparationModel | None = None) -> DataFrame:
+    """L14 preparation: clean -> features -> split -> z-scale, by a fitted ``preparation`` or one fitted on these rows."""
+    preparation = preparation or AccountPreparation(fitOn=fit_on).fit(accounts)
+    df = hash_split(preparation.transform(accounts), "id", cuts=((VAL_PER_MILLE, "val"),))
+    cols = [c for c in FEATURES if c in df.columns]
+    return df.fillna(0.0, subset=cols).select("id", "split", *cols, F.col(TARGET).cast("int").alias(TARGET))
 
-    A null derived value (zero credit limit) becomes 0 after scaling, the
-    column mean.
-    """
-    df = FE.engineer(FE.clean_accounts(accounts))
-    df = hash_split(df, "id", cuts=((VAL_PER_MILLE, "val"),))
-    fit_rows = df if fit_on == "all" else df.where(F.col("split") == fit_on)
-    scaled = FE.zscore_transform(df, FE.zscore_fit(fit_rows))
-    cols = [c for c in FEATURES if c in scaled.columns]
-    return scaled.fillna(0.0, subset=cols).select("id", "split", *cols, F.col(TARGET).cast("int").alias(TARGET))
+
+def model_sha256(model: PipelineModel, trees: tuple[list, list]) -> str:
+    """Hash of what decides a model's scores: the preparation's fitted values, and the trees' nodes and weights."""
+    nodes, weights = trees
+    parts = {"preparation": [s.values() for s in model.stages if isinstance(s, AccountPreparationModel)], "weights": weights,
+             "trees": [{k: v.tolist() for k, v in t.items() if k != "tree"} for t in nodes]}
+    return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
 
 
 def require_features(df: DataFrame, features=FEATURES) -> None:
@@ -84,17 +89,19 @@ def oof_probabilities(df: DataFrame, folds: DataFrame, features=FEATURES, label=
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark import StorageLevel
-    tagged = df.join(folds.select("id", "fold"), "id").persist(StorageLevel.MEMORY_AND_DISK)
+    tagged = df.join(folds.select("id", "fold"), "id")
+    fitted_on = tagged.persist(StorageLevel.MEMORY_AND_DISK)
     p = vector_to_array("probability")
 
     def one(f):
-        model = forest_pipeline(features, label, **overrides).fit(tagged.where(F.col("fold") != f))
+        model = forest_pipeline(features, label, **overrides).fit(fitted_on.where(F.col("fold") != f))
         scored = model.transform(tagged.where(F.col("fold") == f))
         return scored.select("id", F.col(label).alias("label"), p[0].alias("p0"), p[1].alias("p1"))
 
     # The k fits are independent: run them as concurrent Spark jobs.
     with ThreadPoolExecutor(max_workers=k) as pool:
         parts = list(pool.map(one, range(k)))
+    fitted_on.unpersist()
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -205,12 +205,14 @@ def impute_missing(df: DataFrame) -> DataFrame:
     """M2 + M3 + M4 in the reference's order.
 
     The fits scan the input several times (counts, medians, modes), so the
-    input is persisted once (memory, spilling to disk) for them.
+    input is persisted (memory, spilling to disk) while they run.
     """
     from pyspark import StorageLevel
     base = impute_zero(df).persist(StorageLevel.MEMORY_AND_DISK)
-    fills = fit_median(base)
-    modes = fit_mode(base)
+    try:
+        fills, modes = fit_median(base), fit_mode(base)
+    finally:
+        base.unpersist()
     return fill_values(fill_values(base, fills), modes, keep_type=True)
 
 

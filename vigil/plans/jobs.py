@@ -1,4 +1,4 @@
-"""End-to-end jobs: data assurance and scoring + governance.
+"""End-to-end jobs: data assurance, training, and scoring + governance.
 
 Each job writes its tables (parquet under ``out``), then records what it did
 in the append-only audit tables: events (S4), artifacts (S5) and the links
@@ -14,21 +14,28 @@ import os
 import uuid
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution as AT
 from ..operators import features as FE
 from ..operators import labels as L
+from ..operators import lineage as LI
 from ..operators import model as MO
 from ..operators import policy as PO
 from ..operators import quality as Q
+from ..operators import questions as QU
+from ..operators import training as TR
 from ..operators.fingerprint import fingerprint
+from ..operators.preparation import AccountPreparation
 from ..operators.sampling import hash_split, smote, stratified_folds
-from ..operators.treeshap import tree_attribution
+from ..operators.treeshap import tree_attribution, tree_table
 from ..session import scratch_path
 from ..sources import sinks, views
 from .fingerprint import DATA_VERSION, RULES_JSON, split_strategy
+from .labels import segments
 from .registry import query
 
 EVENT_SCHEMA = ("event_id string, created_at timestamp_ntz, trace_id string, client_transaction_id string, "
@@ -63,21 +70,41 @@ class AuditTrail:
         self.links.append((_id("link", event_id, policy_id, dataset_id, evidence_id), event_id, policy_id, dataset_id,
                            evidence_id))
 
+    def _new(self, table: str, key: str, rows: list, at) -> list:
+        """The rows whose id the table doesn't hold: a run that is repeated adds nothing twice. A run has a handful of rows."""
+        ids = [at(r) for r in rows]
+        try:
+            held = {r[0] for r in self.spark.read.schema(f"{key} string").parquet(os.path.join(self.root, table)).where(F.col(key).isin(ids)).collect()}
+        except AnalysisException:  # nothing was written yet
+            held = set()
+        return [r for r, i in zip(rows, ids) if i not in held]
+
+    def holds(self, event_type: str) -> bool:
+        """Whether this transaction has such an event already."""
+        try:
+            ev = self.spark.read.schema("client_transaction_id string, event_type string").parquet(os.path.join(self.root, "audit_event"))
+            return bool(ev.where((F.col("client_transaction_id") == self.txn) & (F.col("event_type") == event_type)).limit(1).count())
+        except AnalysisException:
+            return False
+
     def flush(self) -> None:
-        ev = self.spark.createDataFrame(self.events, EVENT_SCHEMA.replace("created_at timestamp_ntz", "created_at string"))
-        ev = ev.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
-        sinks.append_events(ev, os.path.join(self.root, "audit_event"))
-        frames = {t: self.spark.createDataFrame(rows) for t, rows in self.artifacts.items()}
+        """Artifacts and links first, events last: an event in the table means that all it points at is there."""
+        frames, keys = {}, {}
+        for table, rows in self.artifacts.items():
+            key = next(iter(rows[0]))
+            if new := self._new("artifacts", key, rows, lambda r, key=key: r[key]):
+                frames[table], keys[table] = self.spark.createDataFrame(new), [key]
         if frames:
-            keys = {t: [next(iter(rows[0]))] for t, rows in self.artifacts.items()}
             sinks.append_artifacts(frames, os.path.join(self.root, "artifacts"), keys)
-        if self.links:
-            self.spark.createDataFrame(self.links, "link_id string, event_id string, policy_id string, dataset_id string, "
-                                                   "evidence_id string").write.mode("append").parquet(
-                os.path.join(self.root, "event_link"))
+        if new := self._new("event_link", "link_id", self.links, lambda r: r[0]):
+            self.spark.createDataFrame(new, "link_id string, event_id string, policy_id string, dataset_id string, "
+                                            "evidence_id string").write.mode("append").parquet(os.path.join(self.root, "event_link"))
+        if new := self._new("audit_event", "event_id", self.events, lambda r: r[0]):
+            ev = self.spark.createDataFrame(new, EVENT_SCHEMA.replace("created_at timestamp_ntz", "created_at string"))
+            sinks.append_events(ev.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")), os.path.join(self.root, "audit_event"))
 
-    def fail(self, phase: str, error: Exception) -> None:
-        self.event(phase, "ERROR", f"{type(error).__name__}: {error}", {"error": type(error).__name__})
+    def fail(self, phase: str, error: Exception, event_type: str = "ERROR") -> None:
+        self.event(phase, event_type, f"{type(error).__name__}: {error}", {"error": type(error).__name__})
         self.flush()
 
 
@@ -136,12 +163,74 @@ def assurance_job(spark: SparkSession, sf: str, out: str, txn: str = "TXN-ASSURA
         raise
 
 
-def scoring_job(spark: SparkSession, sf: str, out: str, model, txn: str = "TXN-SCORING", trace: str = "trace-scoring",
+def training_job(spark: SparkSession, sf: str, out: str, run_id: str, model_version: str = "gb_model_v1", trace: str = "trace-training",
+                 run_ts: str = "2024-02-01 00:00:00", **gbt) -> str:
+    """SURVEY 3.2 as one Spark job: curriculum fits, the best model saved with its preparation, and the run's evidence; returns
+    the audit root. A run id that has completed is not run again, and one that was broken off adds nothing twice."""
+    trail = AuditTrail(spark, os.path.join(out, "audit"), f"TXN-TRAINING-{run_id}", trace, "Training_Agent", run_ts)
+    phase = "Phase2_ModelTraining"
+    if trail.holds("MODEL_TRAINING_COMPLETED"):
+        return trail.root
+    try:
+        trail.event(phase, "MODEL_TRAINING_STARTED", "Model training started", {"training_run_id": run_id})
+        accounts = views.accounts(spark, sf)
+        preparation = AccountPreparation().fit(accounts)
+        frame = MO.model_frame(accounts, preparation=preparation).persist(StorageLevel.MEMORY_AND_DISK)
+        train = segments(spark, sf).select("id", "quality_score", "segment").join(frame.where("split = 'train'"), "id")   # L10
+        epochs, models, best = TR.curriculum_train(spark, train, frame.where("split = 'val'"), MO.FEATURES, MO.TARGET, **gbt)  # L6 L8 L9
+        epochs_path, model_path, xai_path = (os.path.join(out, name) for name in ("epochs", "model", "explanations"))
+        sinks.write_table(epochs, epochs_path)                                            # S2
+        chosen = TR.best_epoch(spark.read.parquet(epochs_path)).first()                   # A11
+        model = PipelineModel([preparation, *models[best].stages])
+        model.write().overwrite().save(model_path)                                        # S6 S7
+        data = fingerprint(frame)                                                         # F5
+        dataset = trail.artifact("dataset_version", {"dataset_version": DATA_VERSION, "split_group": "training", "sha256": data.first().fingerprint,
+                                                     "row_count": frame.count(), "col_count": len(frame.columns) - 1}, "dataset_id")
+        phi, _ = tree_attribution(frame.where("split = 'val'"), models[best], MO.FEATURES)  # L11
+        sinks.write_table(AT.global_importance(phi), xai_path)                            # A9
+        frame.unpersist()
+        digest = MO.model_sha256(model, tree_table(spark, models[best].stages[-1]))
+        evidence = trail.artifact("evidence_pointer", {
+            "kind": "TRAINED_MODEL", "dvc_path": model_path, "sha256": digest, "model_name": "gb_model", "model_version": model_version,
+            "training_run_id": run_id, "epochs_path": epochs_path, "recorded_at": run_ts}, "evidence_id")
+        done = trail.event(phase, "MODEL_TRAINING_COMPLETED", f"Model training completed - Best ROC AUC: {chosen.val_roc_auc:.4f}" if chosen.val_roc_auc is not None else "Model training completed",
+                           {"model_evidence_id": evidence, "training_run_id": run_id, "model_version": model_version, "best_epoch": chosen.epoch,
+                            "best_roc_auc": chosen.val_roc_auc, "model_type": "GradientBoosting"})
+        trail.link(done, dataset_id=dataset, evidence_id=evidence)
+        xai = trail.artifact("evidence_pointer", {"kind": "XAI_EXPLANATION_REPORT", "dvc_path": xai_path, "training_run_id": run_id, "recorded_at": run_ts}, "evidence_id")
+        explained = trail.event(phase, "XAI_EXPLANATIONS_GENERATED", "Model explanations computed", {"xai_evidence_id": xai, "model_evidence_id": evidence})
+        trail.link(explained, evidence_id=xai)
+        trail.link(explained, evidence_id=evidence)
+        trail.flush()
+        return trail.root
+    except Exception as e:
+        trail.fail(phase, e, "MODEL_TRAINING_FAILED")
+        raise
+
+
+def _evidence(spark: SparkSession, root: str):
+    """Evidence rows; runs add columns of their own, so schemas are merged."""
+    return spark.read.option("mergeSchema", "true").parquet(os.path.join(root, "artifacts")).where("table_name = 'evidence_pointer'")
+
+
+def trained_model(spark: SparkSession, root: str) -> tuple[dict, PipelineModel]:
+    """The latest TRAINED_MODEL evidence under an audit root, and the pipeline that it points at."""
+    arts = _evidence(spark, root).where("kind = 'TRAINED_MODEL'")
+    row = arts.orderBy(F.col("recorded_at").desc(), F.col("evidence_id").desc()).first()
+    if row is None:
+        raise ValueError(f"no trained model is recorded under {root}")
+    return row.asDict(), PipelineModel.load(row.dvc_path)
+
+
+def scoring_job(spark: SparkSession, sf: str, out: str, trained: str, txn: str = "TXN-SCORING", trace: str = "trace-scoring",
                 run_ts: str = "2024-02-01 00:00:00") -> str:
-    """SURVEY 3.3 as one batch job over every account: score, attribute, evaluate, escalate."""
+    """SURVEY 3.3 as one batch job over every account: score, attribute, evaluate, escalate. Model, saved fills and scale, and
+    the model's version come from the evidence under ``trained``, a training run's audit root; nothing is fitted here."""
     trail = AuditTrail(spark, os.path.join(out, "audit"), txn, trace, "Prediction_Agent", run_ts)
     try:
-        frame = MO.model_frame(views.accounts(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)  # L14
+        evidence, full = trained_model(spark, trained)                                     # S6 S7
+        frame = MO.model_frame(views.accounts(spark, sf), preparation=full.stages[0])      # L14
+        model = PipelineModel(full.stages[1:])
         scored = MO.predict(model, frame).select("id", "p1")                               # L7
         preds = PO.prediction_record(scored).withColumn(                                  # L15
             "client_transaction_id", F.concat(F.lit("TXN-"), F.col("id").cast("string")))
@@ -149,7 +238,7 @@ def scoring_job(spark: SparkSession, sf: str, out: str, model, txn: str = "TXN-S
         pred_ev = trail.artifact("evidence_pointer", {"kind": "PREDICTION_RESULT", "dvc_path": os.path.join(out, "predictions")},
                                  "evidence_id")
         e1 = trail.event("Phase3_PredictionPipeline", "PREDICTION_EXECUTED", "Accounts scored",
-                         {"prediction_evidence_id": pred_ev})
+                         {"prediction_evidence_id": pred_ev, "model_evidence_id": evidence["evidence_id"], "model_version": evidence["model_version"]})
         trail.link(e1, evidence_id=pred_ev)
         phi, expected = tree_attribution(frame, model, MO.FEATURES)                        # L11
         sinks.write_table(phi, os.path.join(out, "attributions"))
@@ -159,9 +248,9 @@ def scoring_job(spark: SparkSession, sf: str, out: str, model, txn: str = "TXN-S
         e2 = trail.event("Phase3_PredictionPipeline", "XAI_EXPLANATIONS_GENERATED", "Attributions computed",
                          {"xai_evidence_id": xai_ev, "expected_value": expected})
         trail.link(e2, evidence_id=xai_ev)
-        preds = spark.read.parquet(os.path.join(out, "predictions")).withColumn("model_version", F.lit("gb_model_v1"))
+        preds = spark.read.parquet(os.path.join(out, "predictions")).withColumn("model_version", F.lit(evidence["model_version"]))
         decided = PO.decide(PO.evaluate(preds, AT.pack_drivers(phi)))                      # G1-G5
-        sinks.write_table(decided.select("id", "final_decision", "confidence_status", "violations"),
+        sinks.write_table(decided.select("id", "model_version", "provenance_allow", "final_decision", "confidence_status", "violations"),
                           os.path.join(out, "decisions"))
         esc = PO.escalations(decided, run_ts)                                             # G7
         sinks.write_table(esc, os.path.join(out, "escalations"))
@@ -203,15 +292,35 @@ def assurance_run(spark, sf):
 @query("scoring_run")
 def scoring_run(spark, sf):
     """SURVEY 3.3 end to end with the best curriculum model; the audit events the run appended."""
-    from .model import _trained
-    _, _, models, best = _trained(spark, sf)
-    return _events(spark, scoring_job(spark, sf, scratch_path(spark, f"scoring-{uuid.uuid4().hex}"), models[best]))
+    from .model import trained_root
+    return _events(spark, scoring_job(spark, sf, scratch_path(spark, f"scoring-{uuid.uuid4().hex}"), trained_root(spark, sf)))
+
+
+@query("training_run")
+def training_run(spark, sf):
+    """SURVEY 3.2 end to end; the audit events the run appended."""
+    from .model import trained_root
+    return _events(spark, trained_root(spark, sf))
+
+
+@query("answer_trained_model")
+def answer_trained_model(spark, sf):
+    """C15 over a training run's own audit tables: the model trained by the transaction, with its evidence."""
+    from .model import trained_root
+    return trained_answers(spark, trained_root(spark, sf))
+
+
+def trained_answers(spark, root):
+    ev = _events(spark, root)
+    target = QU.answer_target(ev, LI.event_edges(ev), "MODEL_TRAINING_COMPLETED", "TRAINED")
+    arts = _evidence(spark, root)
+    return target.join(arts, target.target_id == arts.evidence_id).select(
+        "client_transaction_id", F.col("target_id").alias("model_id"), F.lit("TrainedModel").alias("model_type"), "model_version", "sha256")
 
 
 @query("run_lineage")
 def run_lineage(spark, sf):
     """Lineage graph edges of an assurance run's own audit trail (typed by the payload keys it wrote)."""
-    from ..operators import lineage as LI
     root = assurance_job(spark, sf, scratch_path(spark, f"lineage-{uuid.uuid4().hex}"))
     ev = _events(spark, root)
     links = spark.read.parquet(os.path.join(root, "event_link"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -12,30 +13,36 @@ from ..operators import labels as L
 from ..operators import model as MO
 from ..operators import training as TR
 from ..operators.metrics import classification_metrics
+from ..operators.sampling import hash_split
 from ..session import scratch_path
 from ..sources import views
 from .assurance import featured
-from .labels import segments
 from .registry import query
 from .sqlparts import FEATURE_CHAIN, SCALED, ZFIT, hash_bucket
 
 SA = ("scores", "accounts")
-_CACHE = {}
 
 
 def frame(spark, sf):
     return MO.model_frame(views.accounts(spark, sf))
 
 
+def trained_root(spark, sf):
+    """The audit root of a training run on this data: a run is found by the data's fingerprint, so changed data trains anew."""
+    from ..operators.fingerprint import fingerprint
+    from .jobs import training_job
+    parts = [fingerprint(df).first().fingerprint for df in (views.accounts(spark, sf), views.pred_probs(spark, sf))]
+    run_id = hashlib.sha256("".join(parts).encode()).hexdigest()[:16]
+    return training_job(spark, sf, scratch_path(spark, f"training-{run_id}"), run_id)
+
+
 def _trained(spark, sf):
-    """Curriculum run shared by the queries of one session and data folder."""
-    key = (id(spark), sf)
-    if key not in _CACHE:
-        fr = frame(spark, sf).persist()
-        seg = segments(spark, sf).select("id", "quality_score", "segment").join(fr.where("split = 'train'"), "id")
-        epochs, models, best = TR.curriculum_train(spark, seg, fr.where("split = 'val'"), MO.FEATURES, MO.TARGET)
-        _CACHE[key] = (fr, epochs, models, best)
-    return _CACHE[key]
+    """(prepared accounts, epochs, pipeline of the best epoch) as the training run wrote them."""
+    from .jobs import trained_model
+    root = trained_root(spark, sf)
+    evidence, model = trained_model(spark, root)
+    fr = MO.model_frame(views.accounts(spark, sf), preparation=model.stages[0])
+    return fr, spark.read.parquet(evidence["epochs_path"]), PipelineModel(model.stages[1:])
 
 
 def _tree_table(spark, model: PipelineModel):
@@ -66,31 +73,33 @@ def best_epoch(spark, sf):
 @query("gbt_predict")
 def gbt_predict(spark, sf):
     """Label and P(default) for the validation rows with the best curriculum model."""
-    fr, _, models, best = _trained(spark, sf)
-    return MO.predict(models[best], fr.where("split = 'val'")).select("id", "prediction", "p1")
+    fr, _, model = _trained(spark, sf)
+    return MO.predict(model, fr.where("split = 'val'")).select("id", "prediction", "p1")
 
 
 @query("model_io")
 def model_io(spark, sf):
     """Best model saved and loaded back; the loaded model's tree table."""
-    _, _, models, best = _trained(spark, sf)
+    _, _, model = _trained(spark, sf)
     path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
-    models[best].write().overwrite().save(path)
+    model.write().overwrite().save(path)
     return _tree_table(spark, PipelineModel.load(path))
 
 
 @query("score_batch")
 def score_batch(spark, sf):
-    """The full scoring chain (clean, features, saved scaling, predict) for every account."""
-    fr, _, models, best = _trained(spark, sf)
-    return MO.predict(models[best], fr).select("id", "split", "prediction", "p1")
+    """The full scoring chain (clean, saved fills, features, saved scaling, predict) for every account; nothing is fitted."""
+    from .jobs import trained_model
+    _, model = trained_model(spark, trained_root(spark, sf))
+    accounts = hash_split(views.accounts(spark, sf), "id", cuts=((MO.VAL_PER_MILLE, "val"),))
+    return MO.predict(model, accounts).select("id", "split", "prediction", "p1")
 
 
 @query("oof_probabilities")
 def oof_probabilities(spark, sf):
     """L1: five-fold out-of-fold probabilities from 100-tree forests (train split)."""
     from ..operators.sampling import stratified_folds
-    fr = frame(spark, sf).where("split = 'train'").persist()
+    fr = frame(spark, sf).where("split = 'train'")
     folds = stratified_folds(fr.select("id", MO.TARGET), MO.TARGET)
     return MO.oof_probabilities(fr, folds)
 
@@ -131,8 +140,8 @@ def precision_recall(spark, sf):
 def tree_attribution(spark, sf):
     """Per-row, per-feature Shapley attributions (log-odds) of the best curriculum model, every account."""
     from ..operators.treeshap import tree_attribution as attribute
-    fr, _, models, best = _trained(spark, sf)
-    phi, _ = attribute(fr, models[best], MO.FEATURES)
+    fr, _, model = _trained(spark, sf)
+    phi, _ = attribute(fr, model, MO.FEATURES)
     return phi
 
 
@@ -140,8 +149,8 @@ def tree_attribution(spark, sf):
 def attribution_check(spark, sf):
     """L11 invariant: sum(phi) + expected value equals the model margin for every row."""
     from ..operators.treeshap import additivity_check
-    fr, _, models, best = _trained(spark, sf)
-    return additivity_check(fr, models[best], MO.FEATURES)
+    fr, _, model = _trained(spark, sf)
+    return additivity_check(fr, model, MO.FEATURES)
 
 
 @query("smote")
@@ -205,8 +214,8 @@ def stored_counterfactual(spark, sf):
 def nearest_counterfactual(spark, sf):
     """For every account predicted to default, the nearest account predicted not to, and what differs."""
     from ..operators.neighbors import knn
-    fr, _, models, best = _trained(spark, sf)
-    scored = MO.predict(models[best], fr).select("id", "prediction", *MO.FEATURES)
+    fr, _, model = _trained(spark, sf)
+    scored = MO.predict(model, fr).select("id", "prediction", *MO.FEATURES)
     pos = scored.where("prediction = 1")
     neg = scored.where("prediction = 0")
     nn = knn(pos, neg, MO.FEATURES, 1)
