@@ -246,3 +246,36 @@ def test_rules_record_follows_the_preparation(monkeypatch, module, name, value):
     assert FP.rules() == FP.RULES
     monkeypatch.setattr(module, name, value)
     assert FP.rules() != FP.RULES
+
+
+def test_agents_answer_lists_ten(spark):
+    from vigil.operators.questions import agent_counts
+    rows = [("T", f"agent-{i:02d}") for i in range(12) for _ in range(i + 1)] + [("U", "solo")]
+    got = agent_counts(spark.createDataFrame(rows, "client_transaction_id string, agent_name string"))
+    assert sorted((r.agent_name, r.event_count) for r in got.where("client_transaction_id = 'T'").collect()) == [(f"agent-{i:02d}", i + 1) for i in range(10)]
+    assert got.count() == 11
+
+
+def test_articles_in_blocks(spark, monkeypatch):
+    """Thousands of articles in blocks, rows in parts, ties, rows without a cosine; one scan of the vectors."""
+    import numpy as np
+
+    from vigil.operators import fairness as FA
+    monkeypatch.setattr(FA, "ARTICLE_BLOCK", 300)
+    monkeypatch.setattr(FA, "PART_ROWS", 40)
+    rng = np.random.default_rng(1)
+    articles = rng.integers(-3, 4, (1000, 4)).astype(float)
+    vectors = rng.integers(-3, 4, (150, 4)).astype(float)
+    table = spark.createDataFrame([(int(i), list(map(float, a))) for i, a in enumerate(articles)], "article long, vector array<double>")
+    rows = spark.createDataFrame([(int(i), list(map(float, v))) for i, v in enumerate(vectors)] + [(900, None), (901, [0.0] * 4)], "vec_id long, embedding array<float>")
+    out = FA.nearest_article(rows, table, "vec_id", "embedding")
+    got = {r.vec_id: (r.article, r.cosine) for r in out.collect()}
+    with np.errstate(invalid="ignore"):
+        unit = articles / np.linalg.norm(articles, axis=1)[:, None]
+    for i, v in enumerate(vectors):
+        if not v.any():
+            assert got[i] == (None, None)
+            continue
+        cos = np.nan_to_num(unit @ v / np.linalg.norm(v), nan=-9)
+        assert abs(got[i][1] - cos.max()) < 1e-9 and abs(cos[got[i][0]] - cos.max()) < 1e-9
+    assert got[900] == got[901] == (None, None) and len(got) == 152

@@ -102,3 +102,27 @@ def test_smote_need_below_the_minority(spark):
     df = spark.range(25).select("id", (F.col("id") * 7 % 25).cast("double").alias("a"), F.when(F.col("id") < 10, 1).otherwise(0).alias("y"))
     counts = {r.y: r["count"] for r in smote(df, "y", ["a"], k=3).groupBy("y").count().collect()}
     assert counts == {0: 15, 1: 15}
+
+
+def test_fingerprint_of_equal_rows(spark):
+    """A million equal rows are one leaf with their count: the longest list has one entry."""
+    from vigil.operators import fingerprint as FP
+    equal = spark.range(1_000_000).select(F.lit(1).alias("a"), F.lit("x").alias("b"))
+    one, few = FP.fingerprint(equal).first(), FP.fingerprint(equal.limit(3)).first()
+    assert one.row_count == 1_000_000 and few.row_count == 3 and one.fingerprint != few.fingerprint
+    leaves = FP.row_hashes(equal).groupBy("h").count().collect()
+    assert len(leaves) == 1
+    plan = FP.fingerprint(equal)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("collect_list(leaf") < plan.index("count(1)")  # the lists stand above the counting
+    mixed = equal.limit(5).unionByName(spark.createDataFrame([(2, "y")], "a int, b string"))
+    assert FP.fingerprint(mixed.repartition(4)).first() == FP.fingerprint(mixed.coalesce(1)).first()
+
+
+def test_profile_makes_no_text_of_cells(spark):
+    """Distinct values are counted by typed hashes: no cast of a cell to text, and few distinct values shuffle little."""
+    from vigil.operators.quality import schema_report
+    df = spark.range(50_000).select((F.col("id") % 3).alias("a"), F.when(F.col("id") % 2 == 0, 1.5).alias("b"), F.lit(None).cast("string").alias("c"), F.lit(-0.0).alias("d"))
+    report = schema_report(df.unionByName(df.withColumn("d", F.lit(0.0))), ["A", "b", "c", "d", "missing"])
+    assert "cast(" not in report._jdf.queryExecution().optimizedPlan().toString().replace("cast(id", "").lower().split("null_count")[0]
+    got = {r.column_name: (r.present, r.null_count, r.distinct_count) for r in report.collect()}
+    assert got == {"A": (True, 0, 3), "b": (True, 50_000, 1), "c": (True, 100_000, 0), "d": (True, 0, 1), "missing": (False, None, None)}

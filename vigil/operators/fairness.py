@@ -6,16 +6,19 @@ per-bin summaries (a handful of rows) are combined with small windows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Report constants (fixed values).
 DRIFT_BINS = 10
 PSI_ALERT = 0.2
 PSI_FLOOR = 1e-6
 LATENCY_SPIKE = 1.5
-# Article vectors compiled into one expression.
-ARTICLE_BLOCK = 100
+# Article vectors and rows that meet as matrices, on average.
+ARTICLE_BLOCK, PART_ROWS = 16_384, 65_536
 TRAILING_HOURS = 24
 
 
@@ -138,31 +141,59 @@ def spearman(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return j.agg(F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n_features"))
 
 
-def cosine(a, b_values):
-    """Cosine similarity of an array column with a literal vector."""
-    b = F.array(*[F.lit(float(x)) for x in b_values])
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    na = F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda acc, x: acc + x))
-    nb = float(sum(x * x for x in b_values)) ** 0.5
-    return dot / (na * F.lit(nb))
-
-
-def nearest_article(vectors: DataFrame, articles: dict, key: str, vec: str) -> DataFrame:
+def nearest_article(vectors: DataFrame, articles, key: str, vec: str) -> DataFrame:
     """Best article per vector by cosine (ties: smallest article id).
 
-    ``articles`` is a dict id -> vector (the stated article set). A block of
-    ``ARTICLE_BLOCK`` of them is compiled into one expression, so no pair table
-    is formed; with several blocks each gives a candidate per key, and the best
-    of a key (vectors have unique keys) is kept. Without articles the answer is null.
+    ``articles`` is a table (article, vector), or a dict of one. Rows are dealt to parts of about ``PART_ROWS`` and
+    articles to blocks of about ``ARTICLE_BLOCK``; every part meets every block as two matrices, a row's vector is read and
+    shuffled once for each block, and the best of its blocks is kept. Vectors have unique keys; those without a cosine (null,
+    or all zeros) have a null answer, and all do without articles.
     """
-    if not articles:
-        return vectors.select(key, F.lit(None).cast("int").alias("article"), F.lit(None).cast("double").alias("cosine"))
-    v, ordered = F.transform(F.col(vec), lambda x: x.cast("double")), sorted(articles.items())
-    found = None
-    for at in range(0, len(ordered), ARTICLE_BLOCK):
-        scored = F.array(*[F.struct(cosine(v, vals).alias("cos"), (-F.lit(aid)).alias("neg_id")) for aid, vals in ordered[at:at + ARTICLE_BLOCK]])
-        part = vectors.select(key, F.array_max(scored).alias("best"))
-        found = part if found is None else found.unionByName(part)
-    if len(ordered) > ARTICLE_BLOCK:
-        found = found.groupBy(key).agg(F.max("best").alias("best"))
-    return found.select(key, (-F.col("best.neg_id")).alias("article"), F.col("best.cos").alias("cosine"))
+    spark = vectors.sparkSession
+    if isinstance(articles, dict):
+        articles = spark.createDataFrame(sorted(articles.items()), "article int, vector array<double>")
+    n_articles = articles.count()
+    if not n_articles:
+        return vectors.select(key, F.lit(None).cast(articles.schema["article"].dataType).alias("article"), F.lit(None).cast("double").alias("cosine"))
+    n_blocks = -(-n_articles // ARTICLE_BLOCK)
+    n_parts = max(1, -(-vectors.count() // PART_ROWS))
+    left = vectors.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n_parts)).cast("int").alias("part"),
+                          F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    right = articles.select("article", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("article"), F.lit(n_blocks)).cast("int").alias("a_block"),
+                            F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("a_part"))
+    out = T.StructType([T.StructField("k", vectors.schema[key].dataType), T.StructField("article", articles.schema["article"].dataType), T.StructField("cosine", T.DoubleType())])
+
+    def matrix(column) -> np.ndarray:
+        rows = column.to_pylist()
+        width = max((len(r) for r in rows if r is not None), default=1)
+        return np.array([r if r is not None and len(r) == width else [np.nan] * width for r in rows], dtype=float).reshape(len(rows), width)
+
+    def best(rows: pa.Table, block: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"k": rows.column("k"), "article": block.column("article").slice(0, 0), "cosine": pa.array([], pa.float64())})
+        if block.num_rows:
+            block = block.sort_by("article")
+            a = matrix(block.column("vector"))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                a = a / np.sqrt((a * a).sum(axis=1))[:, None]
+        which, value = [], []
+        for at in range(0, rows.num_rows, 256):
+            x = matrix(rows.column("v").slice(at, 256))
+            if not block.num_rows or x.shape[1] != a.shape[1]:
+                which.append(np.zeros(len(x), np.int64))
+                value.append(np.full(len(x), np.nan))
+                continue
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = (x @ a.T) / np.sqrt((x * x).sum(axis=1))[:, None]
+            score = np.where(np.isnan(score), -np.inf, score)
+            which.append(score.argmax(axis=1))  # the first on ties
+            top = score[np.arange(len(x)), which[-1]]
+            value.append(np.where(np.isfinite(top), top, np.nan))
+        which, value = np.concatenate(which), np.concatenate(value)
+        none = np.isnan(value)
+        return pa.table({"k": rows.column("k"), "article": block.column("article").combine_chunks().take(pa.array(which, mask=none)), "cosine": pa.array(value, mask=none)})
+
+    found = left.groupBy("part", "block").cogroup(right.groupBy("a_part", "a_block")).applyInArrow(best, out).where(F.col("k").isNotNull())
+    if n_blocks > 1:
+        found = found.groupBy("k").agg(F.min_by("article", F.struct(F.col("cosine").isNull(), -F.col("cosine"), "article")).alias("article"), F.max("cosine").alias("cosine"))
+    return found.select(F.col("k").alias(key), "article", "cosine")

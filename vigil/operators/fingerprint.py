@@ -1,7 +1,9 @@
 """Order-insensitive dataset fingerprints (F4-F6) as a bounded-fan-in hash tree.
 
-Row hash = SHA-256 of the canonical row. Level 1 groups row hashes by their
-first six hex digits and hashes the sorted concatenation; level 2 groups
+Row hash = SHA-256 of the canonical row. Equal rows are counted first, before any
+list is made, so the leaves are (row hash, count) and a table of equal rows has
+one. Level 1 groups leaves by the hash's first six hex digits and hashes the
+sorted concatenation; level 2 groups
 those by three hex digits; the root hashes the level-2 hashes in order. Every
 group is a shuffle partition's worth of small strings (about n / 16.7M rows at
 level 1, at most 4096 children above), so no group grows with the table the
@@ -30,8 +32,9 @@ def row_hashes(df: DataFrame, columns=None, scale: int = 6) -> DataFrame:
 def fingerprint(df: DataFrame, columns=None, scale: int = 6) -> DataFrame:
     """one-row (fingerprint, row_count)."""
     h = row_hashes(df, columns, scale)
-    l1 = h.groupBy(F.substring("h", 1, LEVEL1_DIGITS).alias("b")).agg(
-        _sorted_hash("h").alias("bh"), F.count(F.lit(1)).alias("n"))
+    leaves = h.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    l1 = leaves.select(F.concat_ws(":", "h", "n").alias("leaf"), "h", "n").groupBy(F.substring("h", 1, LEVEL1_DIGITS).alias("b")).agg(
+        _sorted_hash("leaf").alias("bh"), F.sum("n").alias("n"))
     l2 = l1.groupBy(F.substring("b", 1, LEVEL2_DIGITS).alias("b2")).agg(
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "bh"))), lambda s: s["bh"]), ""),
                256).alias("b2h"), F.sum("n").alias("n"))

@@ -51,21 +51,22 @@ def require_columns(df: DataFrame, expected) -> None:
 def schema_report(df: DataFrame, expected) -> DataFrame:
     """P2 (table form): per expected column, presence, null and distinct counts.
 
-    Values are unpivoted to (column, value) and counted with one partially
-    aggregated group-by, instead of one count-distinct per column.
+    Nulls are counted in place. Distinct values are counted as (column number, 128-bit hash of the typed value), with
+    partial aggregation, so at most one small row per distinct value of a map task is shuffled and no cell becomes text.
     """
     spark = df.sparkSession
     have = present(df, expected)
     rows = [(c, c.lower() in {h.lower() for h in have}) for c in expected]
     flags = spark.createDataFrame(rows, "column_name string, present boolean")
     if have:
-        pairs = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c.lower()).alias("column_name"), F.col(c).cast("string").alias("value")) for c in have
-        ])).alias("p")).select("p.column_name", "p.value")
-        per_value = pairs.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-        stats = per_value.groupBy("column_name").agg(
-            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).cast("bigint").alias("null_count"),
-            F.count("value").alias("distinct_count"))
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(have)])
+        nulls = nulls.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c.lower()).alias("column_name"), F.col(f"n{i}").alias("null_count")) for i, c in enumerate(have)])).alias("p")).select("p.*")
+        cells = df.select(F.explode(F.array(*[
+            F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("a"), F.xxhash64(F.lit(i), F.lit("b"), c).alias("b"))) for i, c in enumerate(have)
+        ])).alias("p")).where(F.col("p").isNotNull()).select("p.*")
+        distinct = cells.groupBy("i", "a", "b").agg(F.lit(1)).groupBy("i").agg(F.count(F.lit(1)).alias("distinct_count"))
+        # One row per column on both sides.
+        stats = nulls.join(F.broadcast(distinct), "i", "left").select("column_name", F.col("null_count").cast("bigint").alias("null_count"), F.coalesce("distinct_count", F.lit(0)).cast("bigint").alias("distinct_count"))
     else:
         stats = spark.createDataFrame([], "column_name string, null_count bigint, distinct_count bigint")
     # Both sides have one row per expected column, so the broadcast is bounded.

@@ -122,6 +122,12 @@ def answer_timeline(events, n=10) -> DataFrame:
                   ["created_at", "event_id"]).withColumnRenamed("_pos", "position")
 
 
+def agent_counts(events, n=10) -> DataFrame:
+    """C17: events of the transaction's first n agents, by name."""
+    counts = events.groupBy("client_transaction_id", "agent_name").agg(F.count(F.lit(1)).alias("event_count"))
+    return _first(counts, n, ["agent_name"]).drop("_pos")
+
+
 def _lines(df, text, order_col="position", key="client_transaction_id") -> DataFrame:
     """Join the per-row texts of each transaction with newlines, in order."""
     packed = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), text.alias("t"))))
@@ -167,7 +173,7 @@ def render(questions: DataFrame, events: DataFrame, edges: DataFrame, evidence:
                                   F.date_format("created_at", TIME_FORMAT)))
     tl_text = tl_text.select("client_transaction_id", F.lit("timeline").alias("intent"),
                              F.concat(F.lit("**Event Timeline for "), txn, F.lit(":**\n"), F.col("body")).alias("body"))
-    ag = events.groupBy("client_transaction_id", "agent_name").agg(F.count(F.lit(1)).alias("event_count"))
+    ag = agent_counts(events)
     ag_text = _lines(ag, F.concat(b, F.lit(" "), F.col("agent_name"), F.lit(" ("), F.col("event_count").cast("string"),
                                   F.lit(" events)")), order_col="agent_name")
     ag_text = ag_text.select("client_transaction_id", F.lit("agents").alias("intent"),

@@ -317,13 +317,27 @@ def graph_stats(spark, sf):
     return LI.graph_stats(en.unionByName(an), ee.unionByName(le))
 
 
-@query("lineage_pattern", f"""WITH {GRAPH_SQL},
-edges AS (SELECT * FROM eedges UNION ALL SELECT * FROM ledges)
-SELECT p.src AS event_id, p.dst AS client_transaction_id, o.edge_type, o.dst_label AS target_label, o.dst AS target_id,
-  e.event_type, e.created_at
-FROM edges p JOIN edges o ON o.src = p.src AND o.src_label = 'Event' AND o.edge_type <> 'PART_OF'
-JOIN audit_event e ON e.event_id = p.src
-WHERE p.edge_type = 'PART_OF'""", ALL3)
+def _one_scan(of) -> str:
+    return "CASE event_type " + " ".join(f"WHEN '{t[0]}' THEN {of(t)}" for t in LI.EVENT_TYPE_MAP) + " END"
+
+
+def _artifact_sql(row) -> str:
+    if row[2] == "Error":
+        return "'err-' || event_id"
+    return "coalesce(" + ", ".join(f"nullif(json_extract_string(extra_payload, '$.{k}'), '')" for k in [*filter(None, row[1].split(",")), "k"]) + ")"
+
+
+# PART_OF is the event's own transaction; the other edges of an event are its typed artifact and its links.
+@query("lineage_pattern", f"""WITH ev AS MATERIALIZED (
+  SELECT event_id, client_transaction_id, event_type, created_at, {_one_scan(_artifact_sql)} AS artifact_id,
+    {_one_scan(lambda t: f"'{t[2]}'")} AS label, {_one_scan(lambda t: f"'{t[4]}'")} AS edge_type
+  FROM audit_event WHERE client_transaction_id IS NOT NULL),
+links AS (
+  SELECT l.event_id, 'HAS_EVIDENCE' AS edge_type, {_KIND_CASE} AS label, l.evidence_id AS dst FROM event_link l JOIN evidence_pointer p ON p.evidence_id = l.evidence_id
+  UNION ALL SELECT event_id, 'USES_DATA', 'Dataset', dataset_id FROM event_link WHERE dataset_id IS NOT NULL)
+SELECT event_id, client_transaction_id, edge_type, label AS target_label, artifact_id AS target_id, event_type, created_at FROM ev WHERE artifact_id IS NOT NULL
+UNION ALL
+SELECT ev.event_id, ev.client_transaction_id, links.edge_type, links.label, links.dst, ev.event_type, ev.created_at FROM links JOIN ev ON ev.event_id = links.event_id""", ALL3)
 def lineage_pattern(spark, sf):
     """(Transaction)<-[:PART_OF]-(Event)-[:T]->(X) over all edges."""
     t, _, ee, _, le = _graph(spark, sf)

@@ -52,7 +52,8 @@ def input_feature_hash(spark, sf):
 
 def _fp_sql(src):
     return f"""h AS (SELECT sha256({_canon_sql(_RAW, _TYPES)}) AS h FROM {src}),
-l1 AS (SELECT substr(h, 1, 6) AS b, sha256(string_agg(h, '' ORDER BY h)) AS bh, count(*) AS n FROM h GROUP BY 1),
+leaves AS (SELECT h, count(*) AS n FROM h GROUP BY h),
+l1 AS (SELECT substr(h, 1, 6) AS b, sha256(string_agg(h || ':' || n, '' ORDER BY h)) AS bh, sum(n) AS n FROM leaves GROUP BY 1),
 l2 AS (SELECT substr(b, 1, 3) AS b2, sha256(string_agg(bh, '' ORDER BY b)) AS b2h, sum(n) AS n FROM l1 GROUP BY 1),
 fp AS (SELECT sha256(string_agg(b2h, '' ORDER BY b2)) AS fingerprint, CAST(sum(n) AS BIGINT) AS row_count FROM l2)"""
 

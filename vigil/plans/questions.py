@@ -65,7 +65,8 @@ why AS (SELECT f.client_transaction_id, f.event_type, d.final_decision, d.confid
 {_target_sql("md", "TRAINED", "MODEL_TRAINING_COMPLETED")},
 tl AS (SELECT * FROM (SELECT client_transaction_id, event_id, event_type, created_at,
   row_number() OVER (PARTITION BY client_transaction_id ORDER BY created_at, event_id) AS pos FROM evs) WHERE pos <= 10),
-ag AS (SELECT client_transaction_id, agent_name, count(*) AS event_count FROM evs GROUP BY 1, 2),
+ag AS (SELECT * EXCLUDE (rn) FROM (SELECT client_transaction_id, agent_name, count(*) AS event_count,
+  row_number() OVER (PARTITION BY client_transaction_id ORDER BY agent_name) AS rn FROM evs GROUP BY 1, 2) WHERE rn <= 10),
 answers AS (
   SELECT client_transaction_id, 'why' AS intent, '**Transaction ' || client_transaction_id || ' Analysis:**' || chr(10) ||
     '{B} **Event Type**: ' || {_u('event_type')} || chr(10) || '{B} **Final Decision**: ' || {_u('final_decision')} || chr(10) ||
@@ -95,15 +96,10 @@ rendered AS (SELECT r.question_id, r.client_transaction_id, r.question, r.intent
   FROM routed r LEFT JOIN answers a ON a.client_transaction_id = r.client_transaction_id AND a.intent = r.intent)"""
 
 
-def _parts(spark, sf, reuse: bool = False):
-    """Audit tables and all edges; ``reuse`` keeps the edges (memory, spilling to disk)
-    for queries that read them several times."""
-    from pyspark import StorageLevel
+def _parts(spark, sf):
+    """Audit tables and all edges; a filter on the edge type drops the parts of the union that can't hold it."""
     t, en, ee, an, le = _graph(spark, sf)
-    edges = ee.unionByName(le)
-    if reuse:
-        edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
-    return t, edges
+    return t, ee.unionByName(le)
 
 
 @query("question_intent", f"WITH {Q_SQL}\nSELECT question_id, client_transaction_id, question, intent FROM routed", VIEWS)
@@ -204,7 +200,7 @@ def answer_agents(spark, sf):
 @query("question_answers", f"WITH {Q_SQL}\nSELECT * FROM rendered", VIEWS)
 def question_answers(spark, sf):
     """Rendered response for every question (or 'No audit records found')."""
-    t, edges = _parts(spark, sf, reuse=True)
+    t, edges = _parts(spark, sf)
     q = QU.question_table(t["audit_event"])
     return QU.render(q, t["audit_event"], edges, t["evidence_pointer"], decided(spark, sf))
 
@@ -228,19 +224,19 @@ hits AS (
   UNION ALL SELECT client_transaction_id, 'prediction', count(*) FROM pr GROUP BY 1
   UNION ALL SELECT client_transaction_id, 'model_lineage', count(*) FROM md GROUP BY 1
   UNION ALL SELECT client_transaction_id, 'timeline', count(*) FROM tl GROUP BY 1
-  UNION ALL SELECT client_transaction_id, 'agents', least(count(*), 10) FROM ag GROUP BY 1
+  UNION ALL SELECT client_transaction_id, 'agents', count(*) FROM ag GROUP BY 1
   UNION ALL SELECT client_transaction_id, 'fallback', count(*) FILTER (WHERE pos <= 5) FROM tl GROUP BY 1)
 SELECT r.question_id, r.intent, l.row_limit, coalesce(h.n, 0) AS n_rows
 FROM routed r JOIN limits l ON l.intent = r.intent
 LEFT JOIN hits h ON h.client_transaction_id = r.client_transaction_id AND h.intent = r.intent""", VIEWS)
 def template_limits(spark, sf):
     """T4: rows each question's intent returns under its limit (1 / 5 / 10)."""
-    t, edges = _parts(spark, sf, reuse=True)
+    t, edges = _parts(spark, sf)
     ev = t["audit_event"]
     lim = dict((i, n) for i, _, n in QU.INTENTS)
     c = lambda df, intent: df.groupBy("client_transaction_id").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "intent", F.lit(intent))
-    ag = ev.groupBy("client_transaction_id", "agent_name").count()
+    ag = QU.agent_counts(ev, lim["agents"])
     hits = [
         c(QU.answer_why(ev, edges, decided(spark, sf)), "why"),
         c(QU.answer_target(ev, edges, "DATA_HASH_SAVED", "CREATED", lim["data_hash"]), "data_hash"),
@@ -248,7 +244,7 @@ def template_limits(spark, sf):
         c(QU.answer_target(ev, edges, "PREDICTION_EXECUTED", "PREDICTED", lim["prediction"]), "prediction"),
         c(QU.answer_target(ev, edges, "MODEL_TRAINING_COMPLETED", "TRAINED", lim["model_lineage"]), "model_lineage"),
         c(QU.answer_timeline(ev, lim["timeline"]), "timeline"),
-        c(ag, "agents").withColumn("n", F.least(F.col("n"), F.lit(lim["agents"]))),
+        c(ag, "agents"),
         c(QU.answer_timeline(ev, lim["fallback"]), "fallback"),
     ]
     from functools import reduce

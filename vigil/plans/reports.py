@@ -185,8 +185,7 @@ def article_lookup(spark, sf):
     emb = tables.table(spark, sf, "embeddings")
     dims = emb.select(F.posexplode("embedding").alias("i", "x"), "label")
     cent = dims.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    # One vector per article label: bounded by the number of articles, not rows.
-    rows = cent.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v")).collect()
-    articles = {r["label"]: [s["m"] for s in r["v"]] for r in rows}
+    packed = F.array_sort(F.collect_list(F.struct("i", "m")))  # one vector's dimensions
+    articles = cent.groupBy(F.col("label").alias("article")).agg(F.transform(packed, lambda s: s["m"]).alias("vector"))
     out = FA.nearest_article(emb, articles, "vec_id", "embedding")
     return out.select("vec_id", F.col("article").cast("int").alias("article"), F.round("cosine", 6).alias("cosine"))

@@ -47,23 +47,17 @@ def hash_chain_verify(spark, sf):
     return CH.verify_chain(spark.read.parquet(path), tampered)
 
 
-_RUNS = {}
-
-
 def _stream(spark, sf):
-    key = (id(spark), sf)
-    if key not in _RUNS:
-        base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-        ev = views.audit_event(spark, sf)
-        src = f"{base}/source"
-        # Three deliveries, each drained by a restarted stream: the later half of the time range, the earlier half, all again.
-        first, last = ev.agg(F.min("created_at"), F.max("created_at")).first()
-        later = F.col("created_at") > F.lit(first + (last - first) / 2 if first else None)
-        for part in (ev.where(later), ev.where(~later), ev):
-            part.write.mode("append").parquet(src)
-            ST.run(spark, src, ev.schema, f"{base}/events", f"{base}/escalations", f"{base}/checkpoint")
-        _RUNS[key] = base
-    return _RUNS[key]
+    """The folder of a stream drained over this data."""
+    run = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    ev = views.audit_event(spark, sf)
+    # Three deliveries, each drained by a restarted stream: the later half of the time range, the earlier half, all again.
+    first, last = ev.agg(F.min("created_at"), F.max("created_at")).first()
+    later = F.col("created_at") > F.lit(first + (last - first) / 2 if first else None)
+    for part in (ev.where(later), ev.where(~later), ev):
+        part.write.mode("append").parquet(f"{run}/source")
+        ST.run(spark, f"{run}/source", ev.schema, f"{run}/events", f"{run}/escalations", f"{run}/checkpoint")
+    return run
 
 
 @query("audit_stream", "SELECT * FROM audit_event", AE)
@@ -71,7 +65,7 @@ def audit_stream(spark, sf):
     """Streamed events (out of order, each delivered twice) after de-duplication, equal to the batch table."""
     base = _stream(spark, sf)
     schema = views.audit_event(spark, sf).schema
-    return spark.read.schema(schema).parquet(f"{base}/events").drop("batch")
+    return ST.stored(spark, f"{base}/events", schema).select(*schema.names)
 
 
 @query("stream_escalations", """SELECT 'ESC-' || client_transaction_id || '-' || strftime(created_at, '%Y%m%d%H%M%S') AS escalation_id,
