@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .rolling import mix
 
 MAX_BYTES = 4 << 20
-#: Rows of one Arrow batch: with long documents (50 KB and more) a batch stays within some tens of MB.
+#: Rows and bytes of one Arrow batch.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 ROUTED = "bucket int, kind int, blob binary"
 #: kind of a routed row: records for the bucket of their name; for the bucket of their document, settled ranges, ranges
@@ -27,9 +28,10 @@ RANGES = "i8 i8 u4 u4"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session's Python tasks by rows."""
+    """Bound the Arrow batches of this session's Python tasks by rows and by bytes."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def buckets(spark: SparkSession) -> int:

@@ -23,21 +23,26 @@ def byte_table(family: int = 0) -> np.ndarray:
     return np.random.default_rng(1000 + family).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(4)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(family: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = BASE[family]
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """The first powers of a family's base and of its inverse: one table per family, as long as the longest block so far."""
+    if family not in _POWERS or len(_POWERS[family][0]) < size:
+        _POWERS.pop(family, None)
+        base = BASE[family]
+        up, down = np.full(size, base, np.uint64), np.full(size, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[family] = (np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down))
+    up, down = _POWERS[family]
+    return up[:size], down[:size]
 
 
 class Names:
     """Names of the substrings of a sequence of uint64 symbols."""
 
     def __init__(self, symbols: np.ndarray, family: int = 0):
-        size = 1 << max(12, int(len(symbols) + 1).bit_length())
-        up, self.down = _powers(family, size)
+        up, self.down = _powers(family, len(symbols) + 1)
         self.sums = np.zeros(len(symbols) + 1, np.uint64)
         np.cumsum(symbols * up[:len(symbols)], out=self.sums[1:])
 

@@ -33,6 +33,8 @@ from .rolling import Names, anchors, byte_table
 
 #: A perfect difference set modulo 57: each nonzero residue is the difference of exactly one pair.
 COVER, MODULUS = (0, 1, 3, 13, 32, 36, 43, 52), 57
+#: Bytes that a task names at a time: every byte has a dozen 64-bit numbers meanwhile.
+BLOCK_BYTES = 1 << 20
 #: Length of an anchor's gram as a share of the width.
 GRAM_SHARE = 2
 
@@ -113,7 +115,7 @@ def _anchor_map(width: int, n_buckets: int):
     before, after = width - gram, width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in bl.blocks(batches):
+        for batch, data, starts in bl.blocks(batches, max_bytes=BLOCK_BYTES):
             names = Names(byte_table()[data])
             ends = _ends(starts)
             grams = names.all(gram)
@@ -135,7 +137,7 @@ def _cover_map(width: int, n_buckets: int):
     sampled[list(COVER)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in bl.blocks(batches):
+        for batch, data, starts in bl.blocks(batches, max_bytes=BLOCK_BYTES):
             out = bl.passed(batch, n_buckets)
             if len(data):
                 names, ends = Names(byte_table()[data]), _ends(starts)
@@ -156,7 +158,7 @@ def _cover_map(width: int, n_buckets: int):
 
 def _merge_map(width: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in bl.blocks(batches):
+        for batch, data, starts in bl.blocks(batches, max_bytes=BLOCK_BYTES):
             out = bl.passed(batch, n_buckets)
             if len(data):
                 at = np.flatnonzero(bl.cover(batch, "asked", starts, len(data)))
@@ -208,7 +210,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = text.join(known.hint("shuffle_hash"), (text.k1 == known.d1) & (text.k2 == known.d2), "left").select("text", "settled", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in bl.blocks(batches):
+        for batch, data, starts in bl.blocks(batches, max_bytes=BLOCK_BYTES):
             gone = bl.cover(batch, "settled", starts, len(data))
             first = np.zeros(len(data) + 1, bool)
             first[starts] = True
