@@ -44,8 +44,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _points(df: DataFrame, key: str, features) -> DataFrame:
-    """k and v; rows with a null or NaN feature have no distance and are left out."""
-    out = df.select(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features]).alias("v"))
+    """k and v, written once as every step reads them; rows with a null or NaN feature have no distance and are left out."""
+    out = df.select(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features]).alias("v")).checkpoint()
     return out.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
 
 
@@ -154,7 +154,9 @@ def knn(queries: DataFrame, refs: DataFrame, features, k: int, key: str = "id",
     key_type = queries.schema[key].dataType
     features = list(features)
     spare = 1 if exclude_self else 0  # a query may meet itself among the nearest
-    refs, queries = _least_keys(_points(refs, key, features), k + spare).checkpoint(), _points(queries, key, features)
+    same = refs is queries
+    points = _points(queries, key, features)
+    refs, queries = _least_keys(points if same else _points(refs, key, features), k + spare).checkpoint(), points
     n = refs.count()
     pivots = choose_pivots(refs, n) if n else np.zeros((1, len(features)))
     rings = _rings(assign(refs, pivots)).checkpoint()

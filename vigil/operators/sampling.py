@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_fraction_key
+from ..session import checkpoint_dir
 from .ranking import rank_in_groups
 
 
@@ -127,7 +128,9 @@ def smote(df: DataFrame, target: str, features, key: str = "id", k: int = SMOTE_
     max(key) + 1, + 2, ... in (base rank, copy) order. Adds ``synthetic``.
     """
     from .neighbors import knn
-    # Rows and largest key per class in one aggregate (one row per class).
+    # Read by many steps below, so written once. Rows and largest key per class in one aggregate (one row per class).
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
     per_class = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("m")).collect()
     counts = {r[target]: r["n"] for r in per_class}
     max_id = max(r["m"] for r in per_class) if per_class else None

@@ -215,7 +215,7 @@ def nearest_counterfactual(spark, sf):
     """For every account predicted to default, the nearest account predicted not to, and what differs."""
     from ..operators.neighbors import knn
     fr, _, model = _trained(spark, sf)
-    scored = MO.predict(model, fr).select("id", "prediction", *MO.FEATURES)
+    scored = MO.predict(model, fr).select("id", "prediction", *MO.FEATURES).checkpoint()
     pos = scored.where("prediction = 1")
     neg = scored.where("prediction = 0")
     nn = knn(pos, neg, MO.FEATURES, 1)
