@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from vigil.llm import decontaminate, lattice_lm, license_scan, near_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
@@ -283,7 +284,7 @@ def test_urls(spark):
 def test_packing(frame, corpus, empty):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.TOKENIZER)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     want = []
     for d, t in corpus:
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4")

@@ -25,7 +25,8 @@ from . import blocks as bl
 from .near_dedup import LOWER
 from .rolling import mix, words
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Name of the vocabulary among the installed public tokenizers, where no path is given.
+VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁".encode()
 #: Documents that are left out of training have this remainder of crc32(id as text) by FOLDS.
 FOLDS, HELD_OUT = 7, 2
@@ -34,11 +35,12 @@ LONG, SLICE = 48, 1 << 14
 
 
 @lru_cache(2)
-def pieces(path: str) -> tuple[tuple[bytes, ...], np.ndarray]:
+def pieces(path: str | None) -> tuple[tuple[bytes, ...], np.ndarray]:
     """The vocabulary's pieces as bytes (the 256 single bytes among them) and their prior log probabilities, by rank (Zipf)."""
+    import public_tokenizers
     from sentencepiece import SentencePieceProcessor
 
-    model = SentencePieceProcessor(model_file=path)
+    model = SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
     found: dict[bytes, float] = {}
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
@@ -293,7 +295,7 @@ def _totals(found: list[tuple]):
     return which, np.bincount(which, count, minlength=len(text)).astype(np.int64), text
 
 
-def fit(documents: DataFrame, vocabulary: str, n_buckets: int) -> np.ndarray:
+def fit(documents: DataFrame, vocabulary: str | None, n_buckets: int) -> np.ndarray:
     """Log probabilities of the vocabulary's pieces and, last, of the end: expected uses over all segmentations of all training
     words, plus one half. The result has one number per piece, whatever the size of the corpus."""
     names, prior = pieces(vocabulary)
@@ -319,7 +321,7 @@ ANSWER = "block binary, kind int, bucket int, counts binary, words binary, ids b
 ANSWER_ARROW = pa.schema([("block", pa.binary()), ("kind", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("words", pa.binary()), ("ids", pa.binary())])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """All rows of docs with: held_out, n_tokens (words and one end), n_known (tokens that training has), train_tokens, base_score (log10 of the
     add-one word model), score (log10 probability of the text under the piece model).
 

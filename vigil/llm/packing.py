@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,9 +23,9 @@ from pyspark.sql import functions as F
 from vigil.session import scratch_path
 
 from . import blocks as bl
-from .rolling import words
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+#: Name of the vocabulary among the installed public tokenizers, where no path is given.
+TOKENIZER = "word_bpe_49k.json"
 CAPACITY, END = 2048, 0
 #: Tokens that one partition packs.
 PARTITION_TOKENS = 1 << 24
@@ -36,51 +35,44 @@ ROUNDS = 8
 
 
 @lru_cache(2)
-def _tokenizer(path: str):
+def _tokenizer(path: str | None):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
 
 
-_CACHE: dict[str, dict[bytes, bytes]] = {}
+_CACHE: dict[str | None, dict[bytes, bytes]] = {}
 
 
-def token_ids(path: str, text: list[bytes]) -> list[bytes]:
-    """Token ids of words, each as 32-bit numbers. This tokenizer drops white space and never joins across it, so a text's ids are its words' ids."""
+def token_ids(path: str | None, texts: list[list[bytes]]) -> list[bytes]:
+    """Token ids of texts given as words, as little-endian 32-bit numbers. This tokenizer drops white space and never joins across
+    it, so a text's ids are its words' ids, and a worker tokenizes a word once."""
     known = _CACHE.setdefault(path, {})
     if len(known) > CACHE_WORDS:
         known.clear()
-    new = [w for w in text if w not in known]
+    new = list(set().union(*texts) - known.keys())
     for at in range(0, len(new), 10_000):
         part = new[at:at + 10_000]
         for w, e in zip(part, _tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-    return [known[w] for w in text]
+            known[w] = np.array(e.ids, "<u4").tobytes()
+    return [b"".join([known[w] for w in words]) for words in texts]
 
 
-def _tokenize(path: str, capacity: int, keep_tokens: bool):
+def _tokenize(path: str | None, capacity: int, keep_tokens: bool):
+    end, step = np.array([END], "<u4").tobytes(), 4 * capacity
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, starts in bl.blocks(batches):
-            begin, end, doc, name_a = words(data, starts)
-            order, cuts = bl.split_by([name_a, words(data, starts, 1)[3]])
-            number = np.zeros(len(order), np.int64)
-            number[order] = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-            first, raw = order[cuts[:-1]], data.tobytes()
-            ids = token_ids(path, [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
-            size = np.array([len(i) for i in ids], np.int64) // 4
-            flat = np.frombuffer(b"".join(ids), np.uint32)
-            offset = np.concatenate([[0], np.cumsum(size)])
-            n_ids = size[number]
-            at = np.concatenate([[0], np.cumsum(n_ids)])
-            tokens = flat[np.repeat(offset[number] - at[:-1], n_ids) + np.arange(at[-1])] if len(number) else np.zeros(0, np.uint32)
-            cut = at[np.searchsorted(doc, np.arange(batch.num_rows + 1))]
+            raw = data.tobytes()
+            texts = [raw[a:b].split() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
             out: list[list] = [[], [], [], [], [], []]
-            for i in range(batch.num_rows):
-                mine = np.append(tokens[cut[i]:cut[i + 1]], np.uint32(END)).astype("<u4")
-                for piece, a in enumerate(range(0, len(mine), capacity)):
-                    part = mine[a:a + capacity]
-                    for to, v in zip(out, (i, piece, a, len(part), zlib.crc32(part.tobytes()), part.tobytes() if keep_tokens else None), strict=True):
+            for i, ids in enumerate(token_ids(path, texts)):
+                mine = ids + end
+                for piece, a in enumerate(range(0, len(mine), step)):
+                    part = mine[a:a + step]
+                    for to, v in zip(out, (i, piece, a // 4, len(part) // 4, zlib.crc32(part), part if keep_tokens else None), strict=True):
                         to.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:5]), pa.array(out[5], pa.binary())],
                                              names=["row", "piece", "start", "length", "ids_crc32", "tokens"])
@@ -160,11 +152,11 @@ def _pack(capacity: int, number: int, last: bool):
     return run
 
 
-def pack(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, keep_tokens: bool = True, partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, keep_tokens: bool = True, partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
     """One row per piece: docs' columns without the text, piece, start, length, ids_crc32, sequence_id, offset and, with
     keep_tokens, tokens (little-endian unsigned 32-bit ids).
 
-    A document is its tokens and the id 0; only documents of more than ``capacity`` are cut. Null and empty texts are the one id 0.
+    ``tokenizer`` is the path of a vocabulary file, or None for the installed one. A document is its tokens and the id 0; only documents of more than ``capacity`` are cut. Null and empty texts are the one id 0.
     Repeated rows are packed each. An empty table gives an empty result. Input columns with the names of results are replaced.
     """
     spark = docs.sparkSession
