@@ -16,29 +16,63 @@ from vigil.session import scratch_path
 
 #: The stages learn, link and count on the way; SQL expresses none of them, so they are tested against brute force.
 ORACLE_SQL = None
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one: an operator's result columns then can't take the place of an input's."""
+    return docs.select("doc_id", "text", F.struct(*[f"`{c}`" for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def _as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, unchanged; the rules are learned from ``labels`` of these documents.
+
+    Null and empty texts have no words and are rejected. Repeated rows are judged alike, null ids don't matter. An empty table gives
+    an empty result. All columns stay, also those named like a statistic.
+    """
     blocks.prepare(spark)
-    rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judge(docs, rules).where("kept").select(COLUMNS)
+    rules = quality_rules.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _as_before(quality_rules.judge(_held(docs), rules).where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.one_of_each(docs, size=5).select(COLUMNS)
+    """One document of each group that is linked by five-word shingles at a similarity of 0.8, unchanged.
+
+    Null and empty texts are linked with nothing and stay. Repeated rows are copies: one stays. Rows without an id are judged one
+    by one like others. An empty table gives an empty result. All columns stay.
+    """
+    return _as_before(near_dedup.one_of_each(_held(docs), size=5), docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(docs).withColumn("text", F.col("kept_text"))
-    return out.where("n_removed = 0 or trim(text) <> ''").withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+    """Documents without the 400-byte strings that start more than once in the table, n_chars counted anew; texts that lose all but
+    white space go.
+
+    Null and empty texts stay, a null as an empty text. Repeated rows lose what they share. An empty table gives an empty result.
+    All columns stay.
+    """
+    out = suffix_dedup.remove_repeats(_held(docs)).withColumn("text", F.col("kept_text")).where("n_removed = 0 or trim(text) <> ''")
+    n_chars = F.char_length("text").cast("long")
+    out = _as_before(out, docs)
+    return out.withColumn("n_chars", n_chars) if "n_chars" in docs.columns else out
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+    """Documents that hold no passage near an item of ``benchmark``, unchanged.
+
+    Null and empty texts hold none and stay. Repeated rows are judged alike. An empty table, or no items, changes nothing. All columns stay.
+    """
+    return _as_before(decontaminate.decontaminated(_held(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in sequences of at most 2048 tokens (see packing.pack); doc_id of each.
+
+    Null and empty texts are one end token. Repeated rows are packed each. An empty table gives an empty result. Other columns go.
+    """
     return packing.pack(docs.select("doc_id", "text"), keep_tokens=False)
 
 
