@@ -8,6 +8,7 @@ priority (then the longer, then the earlier) come first, and one that lies withi
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as bl
+from .license_signatures import SIGNATURES
 from .near_dedup import LOWER
 from .rolling import words
 
@@ -111,6 +113,7 @@ def make_rules() -> list[tuple[int, str, str, str]]:
         add(label, f"cc {short}|creative commons {full}", "licen", COMMONS_VERSIONS)
     for label, rows in SENTENCES.items():
         out += [(2, label, pattern, keyword) for pattern, keyword in rows]
+    out += [(2, label, pattern, keyword) for label, keyword, pattern in SIGNATURES]
     return sorted(out, key=lambda r: r[0])
 
 
@@ -124,30 +127,59 @@ GATES = {"grant": (["licens", "licenc", "released", "distributed", "available",
 
 @lru_cache(1)
 def _compiled():
-    """Rules by gate, as [(gate pattern, [(priority, label, pattern)])], and the automaton of all keywords."""
+    """Rules by gate, as [(numbers of the keywords of which one must occur, gate pattern, [(priority, label, pattern)])], and the automaton of all keywords."""
     gates: dict[str, list] = {}
     for p, label, pattern, gate in make_rules():
         gates.setdefault(gate, []).append((p, label, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)")))
+    keywords: dict[str, int] = {}
+    out = []
+    for gate, rules in gates.items():
+        # a keyword of several words may be broken by punctuation in the raw text, so its longest word stands for it there
+        mine = GATES[gate][0] if gate in GATES else [max(gate.split(), key=len)]
+        out.append(({keywords.setdefault(k, len(keywords)) for k in mine}, re.compile(GATES[gate][1] if gate in GATES else re.escape(gate)), rules))
     automaton = ahocorasick.Automaton()
-    for gate in gates:
-        for k in GATES[gate][0] if gate in GATES else [max(gate.split(), key=len)]:
-            automaton.add_word(k, k)
+    for k, number in keywords.items():
+        automaton.add_word(k, number)
     automaton.make_automaton()
-    return [(re.compile(GATES[g][1] if g in GATES else re.escape(g)), rules) for g, rules in gates.items()], automaton
+    return out, automaton
+
+
+class _Reach:
+    """The farthest end among intervals by their start, as a binary indexed tree of running maxima."""
+
+    def __init__(self, starts: list[int]):
+        self.starts = sorted(set(starts))
+        self.far = [-1] * (len(self.starts) + 1)
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_left(self.starts, start) + 1
+        while i < len(self.far):
+            self.far[i] = max(self.far[i], end)
+            i += i & -i
+
+    def upto(self, start: int) -> int:
+        """The farthest end of those that begin at ``start`` or before."""
+        i, out = bisect_right(self.starts, start), -1
+        while i:
+            out = max(out, self.far[i])
+            i -= i & -i
+        return out
 
 
 def resolve(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Detections (priority, start, end, label) that are kept: none lies within one that comes before it."""
     kept: list[tuple[int, int, int, str]] = []
+    reach = _Reach([d[1] for d in found])
     for d in sorted(set(found), key=lambda d: (d[0], d[1] - d[2], d[1], d[3])):
-        if not any(k[1] <= d[1] and d[2] <= k[2] for k in kept):
+        if reach.upto(d[1]) < d[2]:
             kept.append(d)
+            reach.add(d[1], d[2])
     return sorted(kept, key=lambda d: d[1:])
 
 
-def detect(joined: str, gates) -> list[tuple[int, int, int, str]]:
-    """Detections in words joined by one space, as character ranges."""
-    return resolve([(p, m.start(), m.end(), label) for gate, rules in gates if gate.search(joined) for p, label, pattern in rules for m in pattern.finditer(joined)])
+def detect(joined: str, gates, seen: set[int] | None = None) -> list[tuple[int, int, int, str]]:
+    """Detections in words joined by one space, as character ranges; seen: numbers of the keywords that the text holds (None: try all)."""
+    return resolve([(p, m.start(), m.end(), label) for keywords, gate, rules in gates if (seen is None or not seen.isdisjoint(keywords)) and gate.search(joined) for p, label, pattern in rules for m in pattern.finditer(joined)])
 
 
 WORD = np.zeros(256, bool)
@@ -174,19 +206,22 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
             begin, end, doc, _ = words(low, starts, keep=WORD)
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             raw = low.tobytes()
-            hits = np.fromiter((at for at, _ in automaton.iter(raw.decode("latin-1"))), np.int64)
-            candidates = set((np.searchsorted(starts, np.unique(hits), "right") - 1).tolist())
+            hits = np.array(list(automaton.iter(raw.decode("latin-1"))), np.int64).reshape(-1, 2)
+            seen: dict[int, set[int]] = {}
+            for i, k in np.unique(np.column_stack([np.searchsorted(starts, hits[:, 0], "right") - 1, hits[:, 1]]), axis=0).tolist():
+                seen.setdefault(i, set()).add(k)
             out: dict[str, list] = {n: [] for n in names[1:]}
             for i in range(batch.num_rows):
                 n_base, low_word, high_word, base_labels, labels, score, found = 0, None, None, set(), set(), 0.0, []
-                if i in candidates:
+                if i in seen:
                     parts = [raw[a:b] for a, b in zip(begin[first[i]:first[i + 1]].tolist(), end[first[i]:first[i + 1]].tolist(), strict=True)]
                     joined = b" ".join(parts).decode("utf-8", "replace")
+                    spaces = [m.start() for m in re.finditer(" ", joined)]
                     places = sorted((m.start(), label) for pattern, label in base for m in pattern.finditer(joined))
                     n_base, base_labels = len(places), {label for _, label in places}
                     if places:
-                        low_word, high_word = (joined.count(" ", 0, places[k][0]) for k in (0, -1))
-                    found = [{"label": label, "first_word": joined.count(" ", 0, a), "n_words": joined.count(" ", a, b) + 1, "priority": p} for p, a, b, label in detect(joined, gates)]
+                        low_word, high_word = (bisect_left(spaces, places[k][0]) for k in (0, -1))
+                    found = [{"label": label, "first_word": bisect_left(spaces, a), "n_words": bisect_left(spaces, b) - bisect_left(spaces, a) + 1, "priority": p} for p, a, b, label in detect(joined, gates, seen[i])]
                     labels = base_labels | {f["label"] for f in found}
                     score = max([SURE[f["priority"]] for f in found] + [SURE[5]] * bool(places), default=0.0)
                 for name, value in zip(names[1:], (n_base, low_word, high_word, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, found), strict=True):
