@@ -29,7 +29,7 @@ from .ranking import rank_in_groups
 
 BLOCK = 1024
 #: Pivots: one for about so many reference rows, and at most so many, as every task holds them.
-ROWS_PER_PIVOT, MAX_PIVOTS = 64, 4096
+ROWS_PER_PIVOT, MAX_PIVOTS = 1024, 4096
 #: Relative room for rounding in the bounds; too much only costs time.
 SLACK = 1e-9
 

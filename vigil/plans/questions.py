@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import questions as QU
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 from ..sources import views
 from .audit import GRAPH_SQL, _graph
 from .governance import GOV_SQL, decided
@@ -96,10 +96,15 @@ rendered AS (SELECT r.question_id, r.client_transaction_id, r.question, r.intent
   FROM routed r LEFT JOIN answers a ON a.client_transaction_id = r.client_transaction_id AND a.intent = r.intent)"""
 
 
-def _parts(spark, sf):
-    """Audit tables and all edges; a filter on the edge type drops the parts of the union that can't hold it."""
+def _parts(spark, sf, reuse: bool = False):
+    """Audit tables and all edges; ``reuse`` writes the edges once for queries that read them several times. Otherwise a filter
+    on the edge type drops the parts of the union that can't hold it."""
     t, en, ee, an, le = _graph(spark, sf)
-    return t, ee.unionByName(le)
+    edges = ee.unionByName(le)
+    if reuse:
+        checkpoint_dir(spark)
+        edges = edges.checkpoint()
+    return t, edges
 
 
 @query("question_intent", f"WITH {Q_SQL}\nSELECT question_id, client_transaction_id, question, intent FROM routed", VIEWS)
@@ -200,7 +205,7 @@ def answer_agents(spark, sf):
 @query("question_answers", f"WITH {Q_SQL}\nSELECT * FROM rendered", VIEWS)
 def question_answers(spark, sf):
     """Rendered response for every question (or 'No audit records found')."""
-    t, edges = _parts(spark, sf)
+    t, edges = _parts(spark, sf, reuse=True)
     q = QU.question_table(t["audit_event"])
     return QU.render(q, t["audit_event"], edges, t["evidence_pointer"], decided(spark, sf))
 
@@ -231,7 +236,7 @@ FROM routed r JOIN limits l ON l.intent = r.intent
 LEFT JOIN hits h ON h.client_transaction_id = r.client_transaction_id AND h.intent = r.intent""", VIEWS)
 def template_limits(spark, sf):
     """T4: rows each question's intent returns under its limit (1 / 5 / 10)."""
-    t, edges = _parts(spark, sf)
+    t, edges = _parts(spark, sf, reuse=True)
     ev = t["audit_event"]
     lim = dict((i, n) for i, _, n in QU.INTENTS)
     c = lambda df, intent: df.groupBy("client_transaction_id").agg(F.count(F.lit(1)).alias("n")).withColumn(
