@@ -260,7 +260,7 @@ def _count_map(n_buckets: int, keep_documents: bool):
             serial += 1
             block = f"{task}-{serial}-{len(data)}".encode()  # the same when the task runs again
             out = [(k, DISTINCT, block, count[a:b].tobytes(), b" ".join(text[a:b]), None)
-                   for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a or keep_documents]  # a bucket's totals go to every block
+                   for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             if keep_documents:
                 distinct, times = np.unique(doc * max(1, len(text)) + number, return_counts=True)
                 of, word = np.divmod(distinct, max(1, len(text)))
@@ -274,49 +274,49 @@ def _count_map(n_buckets: int, keep_documents: bool):
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch], through: list) -> list[tuple]:
-    """(block, counts, words) of the rows of kind DISTINCT; the others go to through."""
-    found = []
-    for batch in batches:
-        kind = batch.column("kind").to_numpy(zero_copy_only=False)
-        if (kind == HELD).any():
-            through.append(batch.filter(pa.array(kind == HELD)))
-        part = batch.filter(pa.array(kind == DISTINCT))
-        found += zip(*(part.column(c).to_pylist() for c in ("block", "counts", "words")), strict=True)
-    return found
+def _totals(found: list[tuple[bytes, bytes]]):
+    """The bucket's words from (counts, words) of its records: for each record's words their numbers, the training counts, and the
+    words' bytes in order of their numbers. It holds each different word once and a number for each word of a record."""
+    number: dict[bytes, int] = {}
+    which = [np.fromiter((number.setdefault(w, len(number)) for w in text.split(b" ")), np.int64) for _, text in found]
+    total = np.zeros(len(number), np.int64)
+    for (counts, _), w in zip(found, which, strict=True):
+        total[w] += np.frombuffer(counts, np.uint32)  # a record has a word once
+    return which, total, list(number)
 
 
-def _totals(found: list[tuple]):
-    """The bucket's words: for each record its word, and the words' training counts and bytes."""
-    raw = b" ".join(f[2] for f in found)
-    data = np.frombuffer(raw, np.uint8)
-    _, which, _, text = _distinct(raw, data, np.array([0, len(data)]))
-    count = np.concatenate([np.frombuffer(f[1], np.uint32) for f in found])
-    return which, np.bincount(which, count, minlength=len(text)).astype(np.int64), text
+#: Rows of fit()'s buckets that are no pieces: the training words, and how many different ones there are.
+TOKENS, KINDS = -1, -2
 
 
-def fit(documents: DataFrame, vocabulary: str | None, n_buckets: int) -> np.ndarray:
+def fit(documents: DataFrame, train_docs: int, vocabulary: str | None, n_buckets: int) -> tuple[np.ndarray, int, int]:
     """Log probabilities of the vocabulary's pieces and, last, of the end: expected uses over all segmentations of all training
-    words, plus one half. The result has one number per piece, whatever the size of the corpus."""
+    words, plus one half; the number of training words and of different ones. One number per piece, whatever the size of the corpus."""
     names, prior = pieces(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _gather(batches, [])
+        found = [r for batch in batches for r in zip(batch.column("counts").to_pylist(), batch.column("words").to_pylist(), strict=True)]
         if found:
             _, total, text = _totals(found)
             uses = Lattice(names, prior).expected([SPACE + w for w in text], total)
             some = np.flatnonzero(uses)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(uses[some])], names=["piece", "uses"])
+            piece = np.concatenate([some, [TOKENS, KINDS]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(np.concatenate([uses[some], [total.sum(), (total > 0).sum()]]))], names=["piece", "uses"])
 
     uses = documents.mapInArrow(_count_map(n_buckets, False), BLOCK).repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, "piece int, uses double")
-    total = np.zeros(len(names) + 1)
-    for r in uses.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # at most one row per piece
-        total[r["piece"]] = r["uses"]
-    total[-1] = documents.where("not held_out").count()
-    total += 0.5
-    return np.log(total / total.sum())
-
-
+    sums = {r["piece"]: r["uses"] for r in uses.groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}  # at most one row per piece
+    total = np.full(len(names) + 1, 0.5)
+    for piece, n in sums.items():
+        if piece >= 0:
+            total[piece] += n
+    total[-1] += train_docs
+    return np.log(total / total.sum()), int(sums.get(TOKENS, 0)), int(sums.get(KINDS, 0))
+
+
+#: Blocks that a bucket answers with one Arrow batch.
+ANSWERS = 200
+#: Text bytes of a bucket's share of the corpus, at most.
+BUCKET_BYTES = 64 << 20
 ANSWER = "block binary, kind int, bucket int, counts binary, words binary, ids binary"
 ANSWER_ARROW = pa.schema([("block", pa.binary()), ("kind", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("words", pa.binary()), ("ids", pa.binary())])
 
@@ -330,39 +330,37 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     bl.prepare(spark)
-    n_buckets = bl.buckets(spark)
     new = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     rest = [c for c in docs.columns if c not in new and c != text_col]
     out_of = F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(folds)) == held_out, F.lit(False))
     held = docs.select(F.struct(*[f"`{c}`" for c in rest]).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), out_of.alias("held_out"))
-    logp = fit(held.select("text", "held_out"), vocabulary, n_buckets)
+    size = held.agg(F.count_if(~F.col("held_out")).alias("train"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    train_docs, n_buckets = size["train"], max(bl.buckets(spark), -(-(size["bytes"] or 0) // BUCKET_BYTES))
+    logp, train_words, train_kinds = fit(held.select("text", "held_out"), train_docs, vocabulary, n_buckets)
     names, _ = pieces(vocabulary)
-    train_docs = held.where("not held_out").count()
+    tokens, kinds = train_words + train_docs, train_kinds + (1 if train_docs else 0)
     end = float(logp[-1])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        through: list = []
-        bucket = TaskContext.get().partitionId()
-        found = _gather(batches, through)
-        for batch in through:
-            yield batch.select(ANSWER_ARROW.names)
+        bucket, blocks_, found = TaskContext.get().partitionId(), [], []
+        for batch in batches:
+            kept = batch.column("kind").to_numpy(zero_copy_only=False) == HELD
+            if kept.any():  # documents go on at once, only words are gathered
+                yield batch.filter(pa.array(kept)).select(ANSWER_ARROW.names)
+            part = batch.filter(pa.array(~kept))
+            blocks_ += part.column("block").to_pylist()
+            found += zip(part.column("counts").to_pylist(), part.column("words").to_pylist(), strict=True)
         if found:
             which, total, text = _totals(found)
+            found.clear()
             score = Lattice(names, logp[:-1]).score([SPACE + w for w in text])
-            sums = np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()
-            at, out = 0, []
-            for block, counts, _ in found:
-                w = which[at:at + len(counts) // 4]
-                at += len(w)
-                out.append((block, DISTINCT, bucket, sums, bl.pack([total[w], score[w]]), None))
-            yield from bl.rows(out, ANSWER_ARROW)
+            for at in range(0, len(blocks_), ANSWERS):
+                yield from bl.rows([(block, DISTINCT, bucket, None, bl.pack([total[w], score[w]]), None) for block, w in zip(blocks_[at:at + ANSWERS], which[at:at + ANSWERS], strict=True)], ANSWER_ARROW)
 
     def close(table: pa.Table) -> pa.Table:
         parts = sorted(table.to_pylist(), key=lambda r: (-r["kind"], r["bucket"]))
         block, answers = parts[0], parts[1:]
         total, score = bl.unpack_all([a["words"] for a in answers], "i8 f8")
-        sums = np.array([np.frombuffer(a["counts"], np.int64) for a in answers]).sum(0)
-        tokens, kinds = int(sums[0]) + train_docs, int(sums[1]) + (1 if train_docs else 0)
         ids = pa.ipc.open_stream(block["ids"]).read_all()
         per_doc = np.frombuffer(block["counts"], np.uint32)
         word, times = bl.unpack(block["words"], "u4 u4")
