@@ -60,6 +60,8 @@ def test_selection_of_many_ranks(spark, monkeypatch):
     for c, rs in ranks.items():
         values = sorted(r[c] for r in rows if r[c] is not None)
         assert got[c] == {r: values[r - 1] for r in rs}
+    monkeypatch.setattr(stats, "SCAN_ROWS", 1)  # a finishing scan for each column, or one for all of a type
+    assert stats.select_ranks(df, ranks) == got
     assert stats.exact_medians(df, ["two", "holes"])["holes"] == float(np.median([r.holes for r in rows if r.holes is not None]))
     with pytest.raises(ValueError):
         stats.select_ranks(df, {"spread": [n + 1]})

@@ -84,10 +84,9 @@ def as_of_latest(facts: DataFrame, fact_time: str, events: DataFrame, event_time
     from pyspark import TaskContext
     from pyspark.sql import types as T
 
-    from ..session import checkpoint_dir
+    from ..session import written
 
     spark = facts.sparkSession
-    checkpoint_dir(spark)
     cols = facts.columns
     fx = facts.select(*cols, F.col(fact_time).alias("_t"), F.lit(1).alias("_tag"), F.lit(None).cast("string").alias("_v"))
     ev = events.select(*[F.lit(None).cast(t).alias(c) for c, t in facts.dtypes], F.col(event_time).alias("_t"),
@@ -110,7 +109,7 @@ def as_of_latest(facts: DataFrame, fact_time: str, events: DataFrame, event_time
                 last = filled.iloc[-1]
             yield pdf.assign(_pid=pid, _in=filled.where(filled.notna(), None))
 
-    staged = ordered.mapInPandas(fill, schema).checkpoint(eager=True)
+    staged = written(ordered.mapInPandas(fill, schema), "filled")
     # Last event value per task, then the value carried into each task.
     tails = staged.where(F.col("_tag") == 0).groupBy("_pid").agg(
         F.max_by("_v", F.struct("_t", "_v")).alias("_tail"))

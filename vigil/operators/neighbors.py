@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import written
 from .ranking import rank_in_groups
 
 BLOCK = 1024
@@ -45,7 +45,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _points(df: DataFrame, key: str, features) -> DataFrame:
     """k and v, written once as every step reads them; rows with a null or NaN feature have no distance and are left out."""
-    out = df.select(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features]).alias("v")).checkpoint()
+    out = written(df.select(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features]).alias("v")), "points")
     return out.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
 
 
@@ -150,16 +150,16 @@ def knn(queries: DataFrame, refs: DataFrame, features, k: int, key: str = "id",
 
     ``counter`` gets the number of (query, ring) visits and of rings, for tests and reports. An empty side gives no rows.
     """
-    checkpoint_dir(queries.sparkSession)
     key_type = queries.schema[key].dataType
     features = list(features)
     spare = 1 if exclude_self else 0  # a query may meet itself among the nearest
     same = refs is queries
     points = _points(queries, key, features)
-    refs, queries = _least_keys(points if same else _points(refs, key, features), k + spare).checkpoint(), points
+    refs, queries = written(_least_keys(points if same else _points(refs, key, features), k + spare), "refs"), points
     n = refs.count()
     pivots = choose_pivots(refs, n) if n else np.zeros((1, len(features)))
-    rings = _rings(assign(refs, pivots)).checkpoint()
+    # written, as ranking samples its rows before it orders them
+    rings = written(_rings(written(assign(refs, pivots), "cells")), "rings")
     # one row per cell, so at most MAX_PIVOTS: extent, and the least radii
     radii = F.slice(F.transform(F.array_sort("rows"), lambda r: r["radius"]), 1, k + spare)
     extent = {r["cell"]: {"least": r["least"], "most": r["most"], "near": r["near"]} for r in rings.groupBy("cell").agg(
@@ -167,15 +167,16 @@ def knn(queries: DataFrame, refs: DataFrame, features, k: int, key: str = "id",
     home = assign(queries, pivots)
     spans = rings.select("cell", "ring", "least", "most")
     after = F.lead("least").over(Window.partitionBy("cell").orderBy("ring"))
-    spans = spans.withColumn("_from", F.when(F.col("ring") == 0, F.lit(-math.inf)).otherwise(F.col("least"))).withColumn("_to", F.coalesce(after, F.lit(math.inf))).checkpoint()
-    first = home.join(spans, "cell").where("radius >= _from and radius < _to").select("k", "v", "cell", "ring").checkpoint()
-    found = _visit(first, rings, key_type, len(features), k, exclude_self).checkpoint()
+    spans = written(spans.withColumn("_from", F.when(F.col("ring") == 0, F.lit(-math.inf)).otherwise(F.col("least"))).withColumn("_to", F.coalesce(after, F.lit(math.inf))), "spans")
+    first = home.join(spans, "cell").where("radius >= _from and radius < _to").select("k", "v", "cell", "ring")
+    first = written(first, "homes")
+    found = written(_visit(first, rings, key_type, len(features), k, exclude_self), "found")
     seen = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("seen"))
     known = first.join(seen, F.col("k") == F.col("query_id"), "left").select("k", "v", "seen")
     reach = _reach(known, pivots, extent, k + spare) if extent else known.select("k", "v", F.lit(0).alias("cell"), F.lit(0.0).alias("away"), F.lit(0.0).alias("far")).limit(0)
     room = F.lit(SLACK) * (F.lit(1.0) + F.col("away") + F.col("most"))
     wanted = reach.join(spans.select("cell", "ring", "least", "most"), "cell").where((F.col("away") - F.col("most") <= F.col("far") + room) & (F.col("least") - F.col("away") <= F.col("far") + room))
-    wanted = wanted.select("k", "v", "cell", "ring").join(first.select("k", "cell", "ring"), ["k", "cell", "ring"], "left_anti").checkpoint()
+    wanted = written(wanted.select("k", "v", "cell", "ring").join(first.select("k", "cell", "ring"), ["k", "cell", "ring"], "left_anti"), "wanted")
     if counter is not None:
         counter += [first.count() + wanted.count(), rings.count()]
     cand = found.unionByName(_visit(wanted, rings, key_type, len(features), k, exclude_self))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import written
 
 
 def rank_in_groups(df: DataFrame, groups, order, rank_col: str = "rank", partitions: int | None = None) -> DataFrame:
@@ -25,7 +25,6 @@ def rank_in_groups(df: DataFrame, groups, order, rank_col: str = "rank", partiti
     groups = [groups] if isinstance(groups, str) else list(groups)
     order = [order] if isinstance(order, str) else list(order)
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in groups] + [o if not isinstance(o, str) else F.col(o) for o in order]
     numbered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
@@ -33,7 +32,7 @@ def rank_in_groups(df: DataFrame, groups, order, rank_col: str = "rank", partiti
                 .withColumn("_local", F.monotonically_increasing_id()))
     # monotonically_increasing_id = (partition << 33) + index within partition.
     numbered = numbered.withColumn("_local", F.col("_local") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-    numbered = numbered.checkpoint(eager=True)
+    numbered = written(numbered, "ranks")
     # Per (group, task): first local index and row count; tasks x groups rows.
     spans = numbered.groupBy(*groups, "_pid").agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,7 +62,6 @@ def prefix_sums(df: DataFrame, order, sum_cols, exclusive: bool = True, partitio
     order = [order] if isinstance(order, str) else list(order)
     sum_cols = [sum_cols] if isinstance(sum_cols, str) else list(sum_cols)
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     fields = list(df.schema.fields) + [T.StructField("_pid", T.IntegerType())] + \
@@ -82,7 +80,7 @@ def prefix_sums(df: DataFrame, order, sum_cols, exclusive: bool = True, partitio
                 extra[f"_loc_{c}"] = cs - v if excl else cs
             yield pdf.assign(**extra)
 
-    staged = ordered.mapInPandas(local, T.StructType(fields)).checkpoint(eager=True)
+    staged = written(ordered.mapInPandas(local, T.StructType(fields)), "sums")
     totals = staged.groupBy("_pid").agg(*[F.sum(F.col(c).cast("double")).alias(f"_tot_{c}") for c in sum_cols])
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(w), F.lit(0.0)).alias(f"_off_{c}")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_fraction_key
-from ..session import checkpoint_dir
+from ..session import written
 from .ranking import rank_in_groups
 
 
@@ -129,8 +129,7 @@ def smote(df: DataFrame, target: str, features, key: str = "id", k: int = SMOTE_
     """
     from .neighbors import knn
     # Read by many steps below, so written once. Rows and largest key per class in one aggregate (one row per class).
-    checkpoint_dir(df.sparkSession)
-    df = df.checkpoint()
+    df = written(df, "rows")
     per_class = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("m")).collect()
     counts = {r[target]: r["n"] for r in per_class}
     max_id = max(r["m"] for r in per_class) if per_class else None
@@ -162,8 +161,9 @@ def smote(df: DataFrame, target: str, features, key: str = "id", k: int = SMOTE_
     pick = nn.select(F.col("query_id").alias(key), F.col("rank").alias("_nn_rank"), F.col("neighbor_id").alias("_nb"))
     nbr = minor.select(F.col(key).alias("_nb"), *[F.col(c).alias(f"_n_{c}") for c in features])
     joined = reps.join(pick, [key, "_nn_rank"]).join(nbr, "_nb")
-    synth = joined.select(key, "_r", "copy", *[
-        (F.col(c) + F.col("_u") * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in features])
+    # Written, as the sampling of the range partitions below would run the neighbour search a second time.
+    synth = written(joined.select(key, "_r", "copy", *[
+        (F.col(c) + F.col("_u") * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in features]), "synthetic")
     numbered = rank_in_groups(synth.withColumn("_g", F.lit(0)), ["_g"], ["_r", "copy"], rank_col="_seq")
     new_rows = numbered.select((F.lit(max_id) + F.col("_seq")).alias(key), *features,
                                F.lit(minority).cast(df.schema[target].dataType).alias(target),

@@ -15,11 +15,15 @@ about ``8 / ACCURACY`` of a bracket's rows, so 10^12 rows need three rounds.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FINISH_ROWS = 100_000
+#: Rows that the brackets of one finishing scan hold together at most (or one column's).
+SCAN_ROWS = 4 * FINISH_ROWS
 ACCURACY = 20_000
 
 
@@ -99,22 +103,36 @@ def select_ranks(df: DataFrame, ranks: dict, counts: dict | None = None) -> dict
                 open_[key] = value
             else:
                 found[key[0]][key[1]] = value
-    # brackets of one column don't overlap; at most FINISH_ROWS rows each, one row per distinct value
-    for c in ranks:
+    _finish(df, open_, found)
+    return found
+
+
+def _finish(df: DataFrame, open_: dict, found: dict) -> None:
+    """Ranks of small brackets, from the counts of the values inside (one row per distinct value).
+
+    Columns of one type share a scan, as long as their brackets hold at most SCAN_ROWS rows together.
+    """
+    types, scans = dict(df.dtypes), []
+    for c in sorted({b.column for b in open_}, key=lambda c: (types[c], c)):
         mine = [b for b in open_ if b.column == c]
-        if mine:
-            inside = mine[0].holds()
-            for b in mine[1:]:
-                inside = inside | b.holds()
-            seen = sorted((r[0], r[1]) for r in df.where(inside).groupBy(c).count().collect())
-            for b in mine:
+        rows = sum(b.inside for b in mine)
+        if not scans or scans[-1]["type"] != types[c] or scans[-1]["rows"] + rows > SCAN_ROWS:
+            scans.append({"type": types[c], "rows": 0, "columns": []})
+        scans[-1]["rows"] += rows
+        scans[-1]["columns"].append((c, mine))
+    for scan in scans:
+        inside = [reduce(or_, [b.holds() for b in mine]) for _, mine in scan["columns"]]
+        cells = F.array(*[F.when(cond, F.struct(F.lit(i).alias("i"), F.col(c).alias("v"))) for i, (cond, (c, _)) in enumerate(zip(inside, scan["columns"]))])
+        rows = df.where(reduce(or_, inside)).select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).groupBy("x.i", "x.v").count().collect()
+        for i, (c, mine) in enumerate(scan["columns"]):
+            seen = sorted((r["v"], r["count"]) for r in rows if r["i"] == i)
+            for b in mine:  # brackets of one column don't overlap
                 at, left = b.before, list(open_[b])
                 for value, n in seen:
                     if (b.lo is None or value > b.lo) and (b.hi is None or value < b.hi):
                         at += n
                         while left and left[0] <= at:
                             found[c][left.pop(0)] = value
-    return found
 
 
 def kth_values(df: DataFrame, c: str, k: int, n: int, count: int = 1) -> list:

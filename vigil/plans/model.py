@@ -14,7 +14,7 @@ from ..operators import model as MO
 from ..operators import training as TR
 from ..operators.metrics import classification_metrics
 from ..operators.sampling import hash_split
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import views
 from .assurance import featured
 from .registry import query
@@ -201,7 +201,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, neighbor_id) AS
 def stored_counterfactual(spark, sf):
     """R11 on stored scores: for every account scored 0.5 or more, the nearest account scored below, and how many features differ."""
     from ..operators.neighbors import knn
-    scored = _steps(spark, sf).join(views.scores(spark, sf).select("id", (F.col("p1") >= 0.5).alias("positive")), "id").checkpoint()
+    scored = written(_steps(spark, sf).join(views.scores(spark, sf).select("id", (F.col("p1") >= 0.5).alias("positive")), "id"), "scored")
     pos, neg = scored.where("positive"), scored.where("not positive")
     nn = knn(pos, neg, MO.FEATURES, 1).select(F.col("query_id").alias("id"), "neighbor_id", F.round(F.col("distance") / 1000, 9).alias("distance"))
     a = pos.select("id", F.array(*MO.FEATURES).alias("a"))
@@ -215,7 +215,7 @@ def nearest_counterfactual(spark, sf):
     """For every account predicted to default, the nearest account predicted not to, and what differs."""
     from ..operators.neighbors import knn
     fr, _, model = _trained(spark, sf)
-    scored = MO.predict(model, fr).select("id", "prediction", *MO.FEATURES).checkpoint()
+    scored = written(MO.predict(model, fr).select("id", "prediction", *MO.FEATURES), "scored")
     pos = scored.where("prediction = 1")
     neg = scored.where("prediction = 0")
     nn = knn(pos, neg, MO.FEATURES, 1)

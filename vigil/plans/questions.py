@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import questions as QU
-from ..session import checkpoint_dir, scratch_path
+from ..session import scratch_path, written
 from ..sources import views
 from .audit import GRAPH_SQL, _graph
 from .governance import GOV_SQL, decided
@@ -102,8 +102,7 @@ def _parts(spark, sf, reuse: bool = False):
     t, en, ee, an, le = _graph(spark, sf)
     edges = ee.unionByName(le)
     if reuse:
-        checkpoint_dir(spark)
-        edges = edges.checkpoint()
+        edges = written(edges, "edges")
     return t, edges
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that fix the meaning of a query.
 SEMANTIC_CONF = {
@@ -81,6 +82,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a table in the shared folder: later steps and lost executors read it instead of repeating the plan.
+
+    Unlike ``checkpoint()``, which runs the last stage once to count and once more to save, this runs every stage once.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written intermediate."""
     return os.path.join(checkpoint_dir(spark), name)
