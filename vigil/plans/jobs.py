@@ -113,7 +113,7 @@ def assurance_job(spark: SparkSession, sf: str, out: str, txn: str = "TXN-ASSURA
     """SURVEY 3.1 as one Spark job; returns the audit root."""
     trail = AuditTrail(spark, os.path.join(out, "audit"), txn, trace, "DataAssuranceAgent", run_ts)
     try:
-        acc = Q.dedupe_keep_first(views.accounts(spark, sf), ["id"])                       # D1
+        acc = Q.dedupe_keep_first(views.accounts(spark, sf, position=True), ["id"], ["position"]).drop("position")  # D1, first of the input
         clean = FE.clean_accounts(acc)                                                   # P1 P8 P9 M2-M4
         sinks.write_table(clean, os.path.join(out, "interim"))                           # S2
         clean = spark.read.parquet(os.path.join(out, "interim"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -22,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def in_file_order(scan: DataFrame, name: str = "position") -> DataFrame:
+    """A scan of files with ``name``: a struct that orders its rows as they stand in the input (file, start of the split, row).
+
+    Two rows are compared by the last part only within one split, which one task reads from start to end, so the order doesn't
+    depend on how the scan is divided. It has to stand right on the scan.
+    """
+    return scan.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias(name))
+
+
 # Raw account schema of the credit table: integers everywhere except the
 # credit limit (fixed values from the account feature configuration).
 RAW_ACCOUNT_COLUMNS = (

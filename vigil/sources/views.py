@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import in_file_order, table
 
 PAY_STATUS = ["pay_0", "pay_2", "pay_3", "pay_4", "pay_5", "pay_6"]
 BILL_AMT = [f"bill_amt{i}" for i in range(1, 7)]
@@ -24,7 +24,7 @@ PHI_FEATURES = [("LIMIT_BAL", 0), ("SEX", 1), ("EDUCATION", 2), ("MARRIAGE", 3),
                 ("utilization_rate", 9)]
 
 
-def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def accounts(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
     """Credit accounts: one row per customer, six most recent orders pivoted.
 
     The six latest orders per customer come from ``row_number() <= 6``; Spark
@@ -32,7 +32,8 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer holding a large share of orders still ships at most six rows per
     map task. The pivot is a hash aggregate on the same key, and the customer
     table joins the (already key-partitioned) result without another
-    shuffle of the aggregate side.
+    shuffle of the aggregate side. With ``position`` the rows carry the
+    place of their customer in the input.
     """
     orders = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority")
@@ -51,7 +52,9 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
                       .otherwise(F.lit(0))).alias(TARGET))
     per_customer = recent.groupBy("o_custkey").agg(*aggs)
 
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    cust = table(spark, sf_dir, "customer")
+    place = ["position"] if position else []
+    cust = (in_file_order(cust) if position else cust).select("c_custkey", "c_acctbal", "c_nationkey", *place)
     key = F.col("c_custkey")
     joined = cust.join(per_customer, cust.c_custkey == per_customer.o_custkey, "left")
     return joined.select(
@@ -65,6 +68,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         # A customer without orders has one null-extended row in the SQL form,
         # whose CASE yields 0.
         F.coalesce(F.col(TARGET), F.lit(0)).alias(TARGET),
+        *place,
     )
 
 
