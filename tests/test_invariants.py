@@ -17,6 +17,7 @@ from vigil.operators.sampling import smote
 from vigil.operators import stats
 from vigil.operators.stats import exact_median, exact_quantile_cont, kth_values
 from vigil.operators.treeshap import compile_tree, margin_batch, shap_batch, tree_table
+from vigil.session import written
 from vigil.sources import views
 
 
@@ -142,6 +143,37 @@ def test_knn_prunes(spark, monkeypatch):
     assert visits[4000] < 8 * visits[1000]
 
 
+def test_knn_writes_grow_with_the_rows(spark, monkeypatch):
+    """Even where nothing can be ruled out, what is written grows with the rows, not with the pairs of rows and rings."""
+    monkeypatch.setattr(neighbors, "BLOCK", 32)
+    monkeypatch.setattr(neighbors, "ROWS_PER_PIVOT", 32)
+    features, sizes = [f"f{i}" for i in range(12)], {}
+    for n in (500, 2000):
+        tables = []
+
+        def write(df, name="table", tables=tables):
+            tables.append(written(df, name))
+            return tables[-1]
+
+        monkeypatch.setattr(neighbors, "written", write)
+        points = np.random.default_rng(n).uniform(-1, 1, (n, 12))
+        df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id long, " + ", ".join(f"{f} double" for f in features))
+        assert knn(df, df, features, 3, exclude_self=True).count() == 3 * n
+        packed = {"rows", "queries", "found"}
+        sizes[n] = sum(t.select(F.sum(sum([F.size(c) for c in t.columns if c in packed], F.lit(1)))).first()[0] or 0 for t in tables)
+    assert sizes[2000] < 5 * sizes[500]
+
+
+def test_knn_large_and_odd_values(spark):
+    """Distances are exact where squares lose digits or overflow, and rows at no finite distance are no neighbours."""
+    rows = [(1, 1e9, 0.0), (2, 1e9 + 1, 0.0), (3, 1e9 + 3, 1e-3), (4, 1e9 + 3, 0.0), (5, 1e9 + 3, 0.0), (6, float("inf"), 0.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    got = knn_rows(knn(df.where("id < 3"), df, ["a", "b"], 3, exclude_self=True))
+    assert got == {1: [(2, 1.0), (4, 3.0), (5, 3.0)], 2: [(1, 1.0), (4, 2.0), (5, 2.0)]}
+    far = spark.createDataFrame([(7, 1e154, 0.0), (8, -1e153, 0.0), (9, 0.0, 1e160)], df.schema)
+    assert [n for n, _ in knn_rows(knn(far.where("id = 7"), far.where("id < 9"), ["a", "b"], 2))[7]] == [7, 8]
+
+
 def test_smote_parity_ids_and_bounds(spark):
     rng = np.random.default_rng(3)
     rows = [(i, float(rng.normal()), float(rng.normal()), 1 if i < 12 else 0) for i in range(60)]
