@@ -274,3 +274,17 @@ def test_results_equal_under_repartitioning(spark):
     d1 = sorted(map(tuple, dedupe_keep_first(li.repartition(1), ["education"], ["limit_bal", "id"]).collect()))
     d7 = sorted(map(tuple, dedupe_keep_first(li.repartition(7), ["education"], ["limit_bal", "id"]).collect()))
     assert d1 == d7
+
+
+def test_top_drivers_are_dealt_before_they_are_sorted(spark):
+    """The scan makes all features' rows of its ids; nothing may sort them before the shuffle by id."""
+    from vigil.operators.attribution import top_drivers_long
+    phi = spark.range(50).select("id", F.explode(F.array(*[F.struct(F.lit(f"f{i}").alias("feature"), ((F.col("id") * 7 + i * 3) % 11 - 5).cast("double").alias("phi")) for i in range(8)])).alias("p")).select("id", "p.*")
+    out = top_drivers_long(phi, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(id" in plan and "Sort [" not in plan[plan.index("Exchange hashpartitioning(id"):]
+    expected = {}
+    for r in phi.collect():
+        expected.setdefault(r.id, []).append((-abs(r.phi), r.feature, r.phi))
+    got = {(r.id, r["rank"]): (r.feature, r.phi) for r in out.collect()}
+    assert got == {(i, n): (f, v) for i, rows in expected.items() for n, (_, f, v) in enumerate(sorted(rows)[:3], 1)}

@@ -28,9 +28,14 @@ FEATURE_GROUPS = {
 
 
 def top_drivers_long(phi: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The k largest |phi| per id (ties by feature name), signed value kept."""
+    """The k largest |phi| per id (ties by feature name), signed value kept.
+
+    The rows are dealt by id before they are sorted: a scan task makes every feature's row of its ids, and the limit that the
+    planner puts in front of the shuffle would sort all of them there.
+    """
     w = Window.partitionBy("id").orderBy(F.abs("phi").desc(), F.col("feature"))
-    return phi.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+    dealt = phi.repartition(int(phi.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    return dealt.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         "id", F.col("rank").cast("int").alias("rank"), "feature", "phi")
 
 
