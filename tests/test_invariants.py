@@ -276,6 +276,27 @@ def test_results_equal_under_repartitioning(spark):
     assert d1 == d7
 
 
+def test_forest_partitions_follow_the_rows(spark, monkeypatch):
+    """A forest holds each row with its count in every tree, so no task of a fold's fit may hold the whole table."""
+    rows = spark.range(600).select("id", F.lit("train").alias("split"), (F.col("id") % 2).cast("int").alias(MO.TARGET), (F.col("id") % 13).cast("double").alias("a")).coalesce(1)
+    folds = rows.select("id", (F.col("id") % 5).cast("int").alias("fold"))
+    most, pipeline = [], MO.forest_pipeline
+
+    class Watched:
+        def __init__(self, *args, **kwargs):
+            self.inner = pipeline(*args, **kwargs)
+
+        def fit(self, data):
+            most.append(data.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+            return self.inner.fit(data)
+
+    monkeypatch.setattr(MO, "forest_pipeline", Watched)
+    monkeypatch.setattr(MO, "FOREST_ROWS_PER_PARTITION", 100, raising=False)
+    out = MO.oof_probabilities(rows, folds, ["a"], numTrees=3).collect()
+    assert sorted(r.id for r in out) == list(range(600)) and all(abs(r.p0 + r.p1 - 1) < 1e-9 for r in out)
+    assert len(most) == 5 and max(most) <= 200
+
+
 def test_top_drivers_are_dealt_before_they_are_sorted(spark):
     """The scan makes all features' rows of its ids; nothing may sort them before the shuffle by id."""
     from vigil.operators.attribution import top_drivers_long

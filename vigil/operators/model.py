@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import features as FE
 from . import quality as Q
+from ..session import written
 from .metrics import classification_metrics
 from .preparation import VAL_PER_MILLE, AccountPreparation, AccountPreparationModel
 from .sampling import hash_split
@@ -31,6 +32,7 @@ FEATURES = (["limit_bal", "sex", "education", "marriage", "age"] + Q.PAY_STATUS_
 # Boosting settings of the reference runs (fixed values).
 GBT_PARAMS = dict(stepSize=0.05, maxIter=200, maxDepth=3, subsamplingRate=0.9, seed=42)
 FOREST_PARAMS = dict(numTrees=100, seed=42)
+FOREST_ROWS_PER_PARTITION = 50_000
 
 
 def model_frame(accounts: DataFrame, fit_on: str = "train", preparation: AccountPreparationModel | None = None) -> DataFrame:
@@ -89,19 +91,25 @@ def oof_probabilities(df: DataFrame, folds: DataFrame, features=FEATURES, label=
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark import StorageLevel
-    tagged = df.join(folds.select("id", "fold"), "id")
-    fitted_on = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    tagged = written(df.join(folds.select("id", "fold"), "id"), "tagged")
+    # A forest keeps a row with its count in every tree, many times the size of the file, so a task gets a bounded number of rows.
+    parts = -(-tagged.count() // FOREST_ROWS_PER_PARTITION)
+    if parts > 1:
+        tagged = tagged.repartition(parts, "id").sortWithinPartitions("id")
+    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
     p = vector_to_array("probability")
 
     def one(f):
-        model = forest_pipeline(features, label, **overrides).fit(fitted_on.where(F.col("fold") != f))
+        model = forest_pipeline(features, label, **overrides).fit(tagged.where(F.col("fold") != f))
         scored = model.transform(tagged.where(F.col("fold") == f))
-        return scored.select("id", F.col(label).alias("label"), p[0].alias("p0"), p[1].alias("p1"))
+        return written(scored.select("id", F.col(label).alias("label"), p[0].alias("p0"), p[1].alias("p1")), "oof")
 
     # The k fits are independent: run them as concurrent Spark jobs.
-    with ThreadPoolExecutor(max_workers=k) as pool:
-        parts = list(pool.map(one, range(k)))
-    fitted_on.unpersist()
+    try:
+        with ThreadPoolExecutor(max_workers=k) as pool:
+            parts = list(pool.map(one, range(k)))
+    finally:
+        tagged.unpersist()
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
