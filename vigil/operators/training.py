@@ -58,25 +58,33 @@ def curriculum_train(spark: SparkSession, seg: DataFrame, val: DataFrame, featur
 
     from pyspark import StorageLevel
 
-    from .model import GBT_PARAMS, evaluate, gbt_fit
+    from .boosting import gbt_fits
+    from .model import GBT_PARAMS, evaluate, require_features
 
-    seed = gbt_overrides.pop("seed", GBT_PARAMS["seed"])
+    params = {**GBT_PARAMS, **gbt_overrides}
+    seed = params.pop("seed")
     val = val.persist(StorageLevel.MEMORY_AND_DISK)
-    staged, rows_of = {}, {}
-    for phase, data in curriculum_datasets(seg, percent).items():
+    staged, rows_of, seeds_of, epoch = {}, {}, {}, 0
+    datasets = curriculum_datasets(seg, percent)
+    for phase, count in PHASES:
+        data = datasets[phase]
+        require_features(data, features)
         rows_of[phase] = data.count()
         parts = max(2, -(-rows_of[phase] // ROWS_PER_PARTITION))
         staged[phase] = data.repartition(parts, "id").sortWithinPartitions("id").persist(StorageLevel.MEMORY_AND_DISK)
+        seeds_of[phase] = list(range(seed + epoch, seed + epoch + count))
+        epoch += count
 
-    def fit_one(epoch, phase):
-        model = gbt_fit(staged[phase], features, label, seed=seed + epoch - 1, **gbt_overrides)
+    phases = [phase for phase, count in PHASES for _ in range(count)]
+    # The fits are independent, so they grow together: a job adds up a tree level of all ten.
+    models = gbt_fits([(staged[phase], seeds_of[phase]) for phase, _ in PHASES], features, label, **params)
+
+    def evaluate_one(epoch, phase, model):
         m = evaluate(model, val, label)
         return model, (epoch, phase, rows_of[phase], m["accuracy"], m["f1"], m["roc_auc"])
 
-    phases = [phase for phase, count in PHASES for _ in range(count)]
-    # The fits are independent: submit them as concurrent Spark jobs.
     with ThreadPoolExecutor(max_workers=len(phases)) as pool:
-        done = list(pool.map(fit_one, range(1, len(phases) + 1), phases))
+        done = list(pool.map(evaluate_one, range(1, len(phases) + 1), phases, models))
     for data in [*staged.values(), val]:
         data.unpersist()
     rows = [row for _, row in done]
