@@ -4,7 +4,7 @@ MLlib's ``GBTClassifier`` runs a job per level for every fit of its own. Here th
 once and held as blocks of bounded size, a level's job adds up (count, sum, sum of squares) per fit, node, feature and bin,
 and only these sums reach the driver, which picks the splits. The method is MLlib's (its thresholds, draws, gains, leaves
 and losses), and so is the result: a ``GBTClassificationModel``. Draws come from ``rand`` over the same partitions and are
-MLlib's own. Only where there are more than 10,000 rows do the thresholds differ: MLlib takes them from a sample of about
+MLlib's own; splits of equal gain may fall differently where rounding does. Only where there are more than 10,000 rows do the thresholds differ: MLlib takes them from a sample of about
 that many rows, and so does this, but from another sample.
 """
 
@@ -31,7 +31,7 @@ from ..session import scratch_path, written
 
 BINS, SAMPLE_ROWS = 32, 10_000
 #: Rows of a block, which is what one task reads; sums of so many tasks meet in one; trees after which the margins are stored anew.
-BLOCK_ROWS, FAN, REFRESH = 65_536, 16, 5
+BLOCK_ROWS, FAN, REFRESH = 65_536, 64, 5
 DRAWS_PER_WORD = 62
 EPSILON = 2.220446049250313e-16
 ALWAYS_LEFT = (0, 255)
@@ -155,7 +155,8 @@ def _level_sums(m: int, offsets: list[int], width: int, recent: dict, growing: d
                 if fit not in growing:
                     continue
                 b, (levels, is_open) = bins[k if len(bins) > 1 else 0], growing[fit]
-                label = 4.0 * y / (1.0 + np.exp(2.0 * y * margins[fit])) if m else y
+                # Rounded once, as MLlib's exp nearly always is: splits of equal gain then fall alike.
+                label = 4.0 * y / (1.0 + np.exp((2.0 * y * margins[fit]).astype(np.longdouble)).astype(float)) if m else y
                 word, bit = divmod(offsets[fit] + m, DRAWS_PER_WORD)
                 drawn = (draws[word] >> bit) & 1 == 1
                 n_open = sum(is_open)
