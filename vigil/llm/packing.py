@@ -29,7 +29,7 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY, END = 2048, 0
 #: Tokens that one partition packs.
 PARTITION_TOKENS = 1 << 24
-#: Words whose tokens a Python worker remembers; above that it starts anew.
+#: Words whose tokens a Python worker remembers (some 180 bytes each, kept for its next tasks); above that it starts anew.
 CACHE_WORDS = 1_500_000
 ROUNDS = 8
 
@@ -46,11 +46,11 @@ def _tokenizer(path: str | None):
 _CACHE: dict[str | None, dict[bytes, bytes]] = {}
 
 
-def token_ids(path: str | None, texts: list[list[bytes]]) -> list[bytes]:
+def token_ids(path: str | None, texts: list[list[bytes]], cache_words: int = CACHE_WORDS) -> list[bytes]:
     """Token ids of texts given as words, as little-endian 32-bit numbers. This tokenizer drops white space and never joins across
     it, so a text's ids are its words' ids, and a worker tokenizes a word once."""
     known = _CACHE.setdefault(path, {})
-    if len(known) > CACHE_WORDS:
+    if len(known) > cache_words:
         known.clear()
     new = list(set().union(*texts) - known.keys())
     for at in range(0, len(new), 10_000):
@@ -60,7 +60,7 @@ def token_ids(path: str | None, texts: list[list[bytes]]) -> list[bytes]:
     return [b"".join([known[w] for w in words]) for words in texts]
 
 
-def _tokenize(path: str | None, capacity: int, keep_tokens: bool):
+def _tokenize(path: str | None, capacity: int, keep_tokens: bool, cache_words: int = CACHE_WORDS):
     end, step = np.array([END], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def _tokenize(path: str | None, capacity: int, keep_tokens: bool):
             raw = data.tobytes()
             texts = [raw[a:b].split() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
             out: list[list] = [[], [], [], [], [], []]
-            for i, ids in enumerate(token_ids(path, texts)):
+            for i, ids in enumerate(token_ids(path, texts, cache_words)):
                 mine = ids + end
                 for piece, a in enumerate(range(0, len(mine), step)):
                     part = mine[a:a + step]
@@ -152,12 +152,13 @@ def _pack(capacity: int, number: int, last: bool):
     return run
 
 
-def pack(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, keep_tokens: bool = True, partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, keep_tokens: bool = True, partition_tokens: int = PARTITION_TOKENS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: docs' columns without the text, piece, start, length, ids_crc32, sequence_id, offset and, with
     keep_tokens, tokens (little-endian unsigned 32-bit ids).
 
     ``tokenizer`` is the path of a vocabulary file, or None for the installed one. A document is its tokens and the id 0; only documents of more than ``capacity`` are cut. Null and empty texts are the one id 0.
     Repeated rows are packed each. An empty table gives an empty result. Input columns with the names of results are replaced.
+    ``cache_words`` weighs a worker's memory against its time and changes no result.
     """
     spark = docs.sparkSession
     bl.prepare(spark)
@@ -171,7 +172,7 @@ def pack(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None,
         df.write.parquet(path := scratch_path(spark, f"{name}-{part}"))
         return spark.read.schema(df.schema).parquet(path)
 
-    pool = written(held.mapInArrow(_tokenize(tokenizer, capacity, keep_tokens), kind).withColumn("own", F.xxhash64(F.monotonically_increasing_id())), "pieces")
+    pool = written(held.mapInArrow(_tokenize(tokenizer, capacity, keep_tokens, cache_words), kind).withColumn("own", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     done = []
     before = -1
     for number in range(ROUNDS):

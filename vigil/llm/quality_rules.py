@@ -67,6 +67,15 @@ def text_stats(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     return {c: out[c].astype(np.int64) for c in COUNTS}
 
 
+def _stats_map(through: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, starts in bl.blocks(batches, max_bytes=bl.SMALL_BYTES):
+            stats = text_stats(data, starts)
+            yield pa.RecordBatch.from_arrays([batch.column("text") if through else pa.nulls(batch.num_rows, pa.string()), batch.column("row"), *(pa.array(stats[c]) for c in COUNTS)], names=["text", "row", *COUNTS])
+
+    return run
+
+
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the statistics' names, plus COUNTS of each text; null texts count as empty."""
     keep = [c for c in docs.columns if c not in COUNTS]
@@ -74,14 +83,8 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     through = docs.schema[text_col].dataType == StringType()  # then the text itself comes back from the task, sent once
     rest = [c for c in keep if not (through and c == text_col)]
     held = docs.select(text.cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[f"`{c}`" for c in rest]).alias("row"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, starts in bl.blocks(batches):
-            stats = text_stats(data, starts)
-            yield pa.RecordBatch.from_arrays([batch.column("text") if through else pa.nulls(batch.num_rows, pa.string()), batch.column("row"), *(pa.array(stats[c]) for c in COUNTS)], names=["text", "row", *COUNTS])
-
     kind = held.schema["row"].dataType.simpleString()
-    out = held.mapInArrow(run, f"text string, row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    out = held.mapInArrow(_stats_map(through), f"text string, row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
     return out.select(*[F.col("text" if through and c == text_col else f"row.`{c}`").alias(c) for c in keep], *COUNTS)
 
 
